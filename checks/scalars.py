@@ -1,0 +1,182 @@
+"""Checks of the scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import inputs as i
+from checks.base import check, near
+from checks.tables import pairs_of, _PAIRS
+from opsdiff.functions import judge as j
+from opsdiff.functions import text as t
+
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_KEYS = ", ".join(_LINE)
+
+
+@check("proc_name", """WITH x AS (SELECT o_orderkey, ([' ' || o_orderkey || ' /usr/sbin/' || o_orderpriority, o_orderkey::VARCHAR, o_orderpriority || '  ',
+  '', o_custkey || E'\\t' || o_orderstatus || ' -d', '-' || o_custkey])[o_orderkey % 6 + 1] AS instance FROM orders),
+w AS (SELECT *, list_filter(regexp_split_to_array(instance, '\\s+'), lambda s: s <> '') AS ws FROM x)
+SELECT o_orderkey, CASE WHEN len(ws) >= 2 THEN regexp_replace(ws[2], '^.*/', '')
+  WHEN len(ws) = 1 AND NOT regexp_matches(ws[1], '^[+-]?[0-9]+$') THEN ws[1] ELSE '' END AS name FROM w""")
+def proc_name(spark, sf_dir):
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    forms = F.array(
+        F.concat(F.lit(" "), key, F.lit(" /usr/sbin/"), "o_orderpriority"), key,
+        F.concat("o_orderpriority", F.lit("  ")), F.lit(""),
+        F.concat(customer, F.lit("\t"), "o_orderstatus", F.lit(" -d")), F.concat(F.lit("-"), customer),
+    )
+    instance = F.get(forms, (F.col("o_orderkey") % 6).cast("int"))
+    return i.table(spark, sf_dir, "orders").select("o_orderkey", t.proc_name(instance).alias("name"))
+
+
+def _labelled(spark, sf_dir):
+    rows = pairs_of(spark, sf_dir)
+    instance = F.when(F.col("l_suppkey") % 2 == 0, "").otherwise(F.col("l_suppkey").cast("string"))
+    return rows.withColumns({
+        "instance": instance, "delta": j.pct_change(F.col("a"), F.col("b")), "name": F.lit("m.x"),
+    })
+
+
+_LABELLED = f"""p AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'm.x' ELSE 'm.x[' || l_suppkey || ']' END AS name,
+  CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = b THEN 0 WHEN a = 0 THEN NULL ELSE (b - a) / abs(a) * 100 END AS delta
+  FROM ({_PAIRS}))"""
+
+
+@check("evidence_line", f"""WITH {_LABELLED} SELECT {_KEYS}, CASE WHEN delta IS NOT NULL THEN name || ' Δ' || printf('%+.1f', delta) || '%'
+  WHEN a IS NULL AND b IS NOT NULL THEN name || ' (new)' WHEN b IS NULL THEN name || ' (gone)' ELSE name END AS line FROM p""")
+def evidence_line(spark, sf_dir):
+    c = F.col
+    return _labelled(spark, sf_dir).select(
+        *_LINE, t.evidence_line(c("name"), c("instance"), c("a"), c("b"), c("delta")).alias("line")
+    )
+
+
+@check("headline", f"""WITH {_LABELLED} SELECT {_KEYS}, name || ' ' || CASE WHEN delta IS NOT NULL THEN CASE WHEN delta < 0 THEN '' ELSE '+' END ||
+  CASE WHEN abs(delta) > 999 THEN 'spike' ELSE trunc(delta)::INT || '%' END
+  WHEN a IS NULL AND b IS NOT NULL THEN 'appeared' ELSE 'anomaly' END AS headline FROM p""")
+def headline(spark, sf_dir):
+    c = F.col
+    return _labelled(spark, sf_dir).select(
+        *_LINE, t.headline(c("name"), c("instance"), c("a"), c("b"), c("delta")).alias("headline")
+    )
+
+
+_SIZES = """x AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice / 100 WHEN 1 THEN -o_totalprice WHEN 2 THEN o_totalprice * 100
+  WHEN 3 THEN o_totalprice * 1e5 ELSE NULL END AS v FROM orders)"""
+
+
+def _sizes(spark, sf_dir):
+    price, way = F.col("o_totalprice"), F.col("o_orderkey") % 5
+    value = (
+        F.when(way == 0, price / 100).when(way == 1, -price).when(way == 2, price * 100)
+        .when(way == 3, price * 1e5)
+    )
+    return i.table(spark, sf_dir, "orders").select("o_orderkey", value.alias("v"))
+
+
+@check("fmt_val", f"""WITH {_SIZES} SELECT o_orderkey, CASE WHEN v IS NULL THEN '—' WHEN abs(v) >= 1e9 THEN printf('%.2fG', v / 1e9)
+  WHEN abs(v) >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN abs(v) >= 1e4 THEN printf('%.2fk', v / 1e3)
+  WHEN v = 0 THEN '0' ELSE printf('%.2f', v) END AS text FROM x""")
+def fmt_val(spark, sf_dir):
+    return _sizes(spark, sf_dir).select("o_orderkey", t.fmt_val(F.col("v")).alias("text"))
+
+
+@check("fmt_num")
+def fmt_num(spark, sf_dir):
+    # No SQL: DuckDB has no rounding with ties away from zero on the exact value.
+    small = i.table(spark, sf_dir, "lineitem").select(
+        *_LINE, t.fmt_num(F.col("l_discount") * F.col("l_tax") / F.col("l_quantity")).alias("text")
+    )
+    return small
+
+
+@check("delta_text", f"""WITH {_LABELLED} SELECT {_KEYS}, CASE WHEN a IS NULL AND b IS NOT NULL THEN '⊕' WHEN b IS NULL AND a IS NOT NULL THEN '⊖'
+  WHEN delta IS NULL THEN '∞' ELSE printf('%+.1f', delta) || '%' END AS text FROM p""")
+def delta_text(spark, sf_dir):
+    kind = j.row_kind(F.col("a"), F.col("b"), F.lit("watch"))
+    return _labelled(spark, sf_dir).select(*_LINE, t.delta_text(kind, F.col("delta")).alias("text"))
+
+
+@check("ago_text", """WITH x AS (SELECT event_id, epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(ts) - event_id % 2 * 864000000 AS ms FROM events)
+SELECT event_id, CASE WHEN ms < 60000 THEN 'just now' WHEN ms < 3600000 THEN ms // 60000 || 'm ago'
+  WHEN ms < 86400000 THEN ms // 3600000 || 'h ago' ELSE ms // 86400000 || 'd ago' END AS ago FROM x""")
+def ago_text(spark, sf_dir):
+    ms = (
+        F.unix_millis(F.lit("2024-01-31").cast("timestamp"))
+        - F.unix_millis(F.col("ts").cast("timestamp")) - F.col("event_id") % 2 * 864000000
+    )
+    return i.table(spark, sf_dir, "events").select("event_id", t.ago_text(ms).alias("ago"))
+
+
+@check("md_escape", """WITH x AS (SELECT page_id, replace(replace(url, 'example', 'ex|am`ple'), '?', '?a=long&value=with|many&parts=') AS s FROM pages)
+SELECT page_id, translate(CASE WHEN strlen(s) > 60 THEN left(s, 57) || '...' ELSE s END, '|`', '  ') AS s FROM x""")
+def md_escape(spark, sf_dir):
+    s = F.replace(F.replace(F.col("url"), F.lit("example"), F.lit("ex|am`ple")), F.lit("?"),
+                  F.lit("?a=long&value=with|many&parts="))
+    return i.table(spark, sf_dir, "pages").select("page_id", t.md_escape(s).alias("s"))
+
+
+@check("hash12", "SELECT doc_id, sha256(text)[1:24] AS h FROM documents")
+def hash12(spark, sf_dir):
+    return i.table(spark, sf_dir, "documents").select("doc_id", t.hash12(F.col("text")).alias("h"))
+
+
+@check("first_quoted", "SELECT page_id, regexp_extract(html, '\"([^\"]*)\"', 1) AS q FROM pages")
+def first_quoted(spark, sf_dir):
+    return i.table(spark, sf_dir, "pages").select("page_id", t.first_quoted(F.col("html")).alias("q"))
+
+
+@check("valid_metric", """SELECT o_orderkey, regexp_matches(replace(o_orderpriority, '-', CASE WHEN o_orderkey % 2 = 0 THEN '.' ELSE 'a' END), '^[A-Za-z][A-Za-z0-9._]*$') AS direct,
+  regexp_matches('p' || replace(o_orderpriority, '-', '.'), '^[A-Za-z][A-Za-z0-9._]*$') AS led FROM orders""")
+def valid_metric(spark, sf_dir):
+    part = F.when(F.col("o_orderkey") % 2 == 0, ".").otherwise("a")
+    priority = F.col("o_orderpriority")
+    return i.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        t.valid_metric(F.replace(priority, F.lit("-"), part)).alias("direct"),
+        t.valid_metric(F.concat(F.lit("p"), F.replace(priority, F.lit("-"), F.lit(".")))).alias("led"),
+    )
+
+
+@check("parse_when", """SELECT event_id, CASE event_id % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL
+  WHEN 0 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END::TIMESTAMP AS t FROM events""")
+def parse_when(spark, sf_dir):
+    formats = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss",
+               "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "MM-dd HH:mm"]
+    texts = F.array(*[F.date_format("ts", f) for f in formats])
+    return i.table(spark, sf_dir, "events").select(
+        "event_id", t.parse_when(F.get(texts, (F.col("event_id") % 6).cast("int"))).alias("t")
+    )
+
+
+@check("parse_duration", """SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN user_id * 3600.0::DOUBLE WHEN 1 THEN 5400.0 + user_id WHEN 2 THEN user_id / 1000.0
+  ELSE NULL END + 3e-8, 4) AS seconds FROM events WHERE user_id > 0""")
+def parse_duration(spark, sf_dir):
+    user = F.col("user_id").cast("string")
+    texts = F.array(
+        F.concat(user, F.lit("h")), F.concat(F.lit("1h30m"), user, F.lit("s")),
+        F.concat(user, F.lit("ms")), user, F.concat(F.lit("-"), user, F.lit("s")),
+    )
+    events = i.table(spark, sf_dir, "events").where("user_id > 0")
+    return events.select(
+        "event_id",
+        near(t.duration_seconds(F.get(texts, (F.col("event_id") % 5).cast("int")))).alias("seconds"),
+    )
+
+
+@check("clean_lines", """WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),
+  lambda s: regexp_replace(s, '^[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')), lambda s: s <> '') AS l FROM documents)
+SELECT doc_id, len(l) AS n, sha256(array_to_string(l, chr(10))) AS digest FROM x""")
+def clean_lines(spark, sf_dir):
+    return i.table(spark, sf_dir, "documents").withColumn("l", t.clean_lines(F.col("text"))).select(
+        "doc_id", F.size("l").cast("bigint").alias("n"), F.sha2(F.array_join("l", "\n"), 256).alias("digest")
+    )
+
+
+@check("fixed_decimals", f"SELECT {_KEYS}, printf('%.2f', l_extendedprice * l_discount) AS d2, printf('%.1f', l_quantity * l_tax) AS d1 FROM lineitem")
+def fixed_decimals(spark, sf_dir):
+    return i.table(spark, sf_dir, "lineitem").select(
+        *_LINE, t.fixed(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("d2"),
+        t.fixed(F.col("l_quantity") * F.col("l_tax"), 1).alias("d1"),
+    )
