@@ -238,7 +238,7 @@ def state_diff_sql(side_a: str, side_b: str, group: str = "host") -> str:
     keys = [g.strip() for g in group.split(",")]
     using = ", ".join([*keys, "section", "key"])
     last = f"SELECT {group}, section, key, arg_max(value, seq) AS value, arg_max(note, seq) AS note FROM ({{}}) GROUP BY ALL"
-    title = f"SELECT {group}, section, max(title_) AS title FROM (SELECT {group}, section, key, arg_max(title, seq) AS title_ FROM ({{}}) GROUP BY ALL) GROUP BY ALL"
+    title = f"SELECT {group}, section, max(title) AS title FROM ({{}}) GROUP BY ALL"
     on_t = ", ".join([*keys, "section"])
     return f"""changes AS (
   SELECT {", ".join("d." + k for k in keys)}, d.section, coalesce(tb.title, ta.title) AS title, d.key, d.kind, d.old, d.new, d.note,

@@ -107,27 +107,32 @@ def retained(table: DataFrame, now: datetime, keep_days: int = 7) -> DataFrame:
 def _diff(sided: DataFrame, group: list[str]) -> DataFrame:
     """Changes between the two sides of every group.
 
-    ``sided`` has (group, section, title, key, value, note, seq, side).  Both
-    sides meet in one grouping on (group, section, key): no join, and of a key
+    ``sided`` has (group, section, key, value, note, seq, side) and, unless
+    sections have their built-in titles, title.  Both sides meet in one grouping on (group, section, key): no join, and of a key
     delivered twice the last (greatest seq) stands.
     """
-    last = F.struct("seq", "value", "note", "title")
+    side = F.col("side")
+    last = F.struct("seq", "value", "note")
     keyed = sided.groupBy(*group, "section", "key").agg(
-        F.max(F.when(F.col("side") == "a", last)).alias("old"),
-        F.max(F.when(F.col("side") == "b", last)).alias("new"),
-    )
-    # A section is titled by B, else by A; the title may stand on another key.
-    titles = keyed.groupBy(*group, "section").agg(
-        F.coalesce(
-            F.max(F.nullif("new.title", F.lit(""))), F.max(F.nullif("old.title", F.lit(""))),
-            F.lit(""),
-        ).alias("title")
+        F.max(F.when(side == "a", last)).alias("old"),
+        F.max(F.when(side == "b", last)).alias("new"),
     )
     has_a, has_b = F.col("old").isNotNull(), F.col("new").isNotNull()
     changed = keyed.withColumn(
         "kind", change_kind(has_a, has_b, F.col("old.value"), F.col("new.value"))
     ).where(F.col("kind").isNotNull())
-    return changed.join(titles, [*group, "section"]).select(
+    if "title" in sided.columns:
+        # A section is titled by B, else by A, whichever of its facts changed.
+        title = F.nullif("title", F.lit(""))
+        titles = sided.groupBy(*group, "section").agg(
+            F.coalesce(
+                F.max(F.when(side == "b", title)), F.max(F.when(side == "a", title)), F.lit("")
+            ).alias("title")
+        )
+        changed = changed.join(titles, [*group, "section"])
+    else:
+        changed = changed.withColumn("title", section_title(F.col("section")))
+    return changed.select(
         *group, "section", "title", "key", "kind",
         F.col("old.value").alias("old"), F.col("new.value").alias("new"),
         F.when(has_b, F.col("new.note")).otherwise(F.col("old.note")).alias("note"),
@@ -135,17 +140,14 @@ def _diff(sided: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _side(facts: DataFrame, side: Column) -> DataFrame:
+def _side(facts: DataFrame, side: Column, group: list[str], titled: bool) -> DataFrame:
     have = facts.columns
-    return facts.withColumns({
-        "side": side,
-        "title": F.col("title") if "title" in have else section_title(F.col("section")),
-        "note": F.coalesce("note", F.lit("")) if "note" in have else F.lit(""),
-        "seq": F.col("seq") if "seq" in have else F.lit(0),
-    })
-
-
-_SIDED = ["section", "title", "key", "value", "note", "seq", "side"]
+    note = F.coalesce("note", F.lit("")) if "note" in have else F.lit("")
+    title = [F.col("title") if "title" in have else section_title(F.col("section")).alias("title")]
+    return facts.select(
+        *group, "section", *(title if titled else []), "key", "value", note.alias("note"),
+        (F.col("seq") if "seq" in have else F.lit(0)).alias("seq"), side.alias("side"),
+    )
 
 
 def state_diff(
@@ -156,9 +158,9 @@ def state_diff(
     A section that one side had to skip shows all its facts as added or
     removed; pass ``skipped(host, section)`` to leave such sections out.
     """
-    cols = ["host", *_SIDED]
-    both = _side(facts_a, F.lit("a")).select(*cols).unionByName(
-        _side(facts_b, F.lit("b")).select(*cols)
+    titled = "title" in facts_a.columns or "title" in facts_b.columns
+    both = _side(facts_a, F.lit("a"), ["host"], titled).unionByName(
+        _side(facts_b, F.lit("b"), ["host"], titled)
     )
     changes = _diff(both, ["host"])
     if skipped is None:
@@ -184,9 +186,9 @@ def diff_pairs(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     if "date" in facts.columns:
         ends = ends.withColumn("date", F.to_date("taken"))
         on.append("date")
-    sided = _side(facts.join(ends, on), F.col("side"))
     group = ["host", "a_taken", "b_taken"]
-    return _diff(sided.select(*group, *_SIDED), group)
+    titled = "title" in facts.columns
+    return _diff(_side(facts.join(ends, on), F.col("side"), group, titled), group)
 
 
 def consecutive_pairs(headers: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdiff.operators.dedupe import missing_metrics
-from opsdiff.operators.windows import SERIES, _dates, between, check_window, scan_window, time_literal
+from opsdiff.operators.windows import (
+    SERIES, between, check_window, day_filter, scan_window, time_literal,
+)
+from opsdiff.sources.catalog import short_list
 
 POINTS = 600
 MIN_STEP = timedelta(seconds=10)
@@ -42,9 +45,16 @@ def series_name() -> Column:
 
 
 def _in_group(samples: DataFrame, metrics: list[str] | DataFrame) -> DataFrame:
-    """Samples of the metrics of a group; a table of names is joined, a list is filtered."""
+    """Samples of the metrics of a group.
+
+    A list, or a table of a few names such as a preset, becomes a filter that
+    reaches the scan; a longer table is joined.
+    """
     if isinstance(metrics, DataFrame):
-        return samples.join(metrics.select("metric").distinct(), "metric", "left_semi")
+        names = short_list(metrics)
+        if names is None:
+            return samples.join(metrics.select("metric"), "metric", "left_semi")
+        metrics = names
     return samples.where(F.col("metric").isin(metrics))
 
 
@@ -86,14 +96,25 @@ def trend(
 def fill_grid(
     points: DataFrame, start: datetime, end: datetime, step: timedelta
 ) -> DataFrame:
-    """Adds a NULL point for every step a series has no value in, so that gaps stay gaps."""
-    first = time_literal(points, "bucket", start)
-    last = time_literal(points, "bucket", end - timedelta(microseconds=1))
+    """Adds a NULL point for every step a series has no value in, so that gaps stay gaps.
+
+    Every point also yields the empty steps up to the next point of its series,
+    and the first one those since ``start``: the points are read once, and a
+    series has no more rows than the window has steps.
+    """
+    series = Window.partitionBy(*SERIES).orderBy("bucket")
+    bucket = F.col("bucket")
     by = F.make_dt_interval(secs=F.lit(step.total_seconds()))
-    grid = points.select(*SERIES).distinct().select(
-        *SERIES, F.explode(F.sequence(first, last, by)).alias("bucket")
+    tick = F.make_dt_interval(secs=F.lit(1e-6))
+    first = F.when(F.lag("bucket").over(series).isNull(), time_literal(points, "bucket", start))
+    until = F.coalesce(F.lead("bucket").over(series), time_literal(points, "bucket", end))
+    spans = points.select(
+        *SERIES, "bucket", "value", F.coalesce(first, bucket).alias("_from"), until.alias("_until")
     )
-    return grid.join(points, [*SERIES, "bucket"], "left")
+    return spans.select(
+        *SERIES, bucket.alias("_own"), "value",
+        F.explode(F.sequence(F.col("_from"), F.col("_until") - tick, by)).alias("bucket"),
+    ).select(*SERIES, "bucket", F.when(F.col("bucket") == F.col("_own"), F.col("value")).alias("value"))
 
 
 def overlay(
@@ -111,7 +132,7 @@ def overlay(
     ts = F.col("ts")
     now, before = between(samples, start, end), between(samples, start - shift, end - shift)
     scanned = samples.where(
-        _dates(samples, start, end) | _dates(samples, start - shift, end - shift)
+        day_filter(samples, start, end) | day_filter(samples, start - shift, end - shift)
     ).where(now | before)
     moved = ts + F.make_dt_interval(secs=F.lit(shift.total_seconds()))
     sides = F.filter(

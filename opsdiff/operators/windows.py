@@ -72,7 +72,7 @@ def between(df: DataFrame, start: datetime, end: datetime, ts: str = "ts") -> Co
     return (F.col(ts) >= time_literal(df, ts, start)) & (F.col(ts) < time_literal(df, ts, end))
 
 
-def _dates(df: DataFrame, start: datetime, end: datetime) -> Column:
+def day_filter(df: DataFrame, start: datetime, end: datetime) -> Column:
     """Partition filter for tables laid out by ``date``."""
     if "date" not in df.columns:
         return F.lit(True)
@@ -85,7 +85,7 @@ def scan_window(
 ) -> DataFrame:
     """Samples in [start, end), of the given metrics when there is a list."""
     check_window(start, end)
-    out = samples.where(_dates(samples, start, end) & between(samples, start, end))
+    out = samples.where(day_filter(samples, start, end) & between(samples, start, end))
     return out if metrics is None else out.where(F.col("metric").isin(metrics))
 
 
@@ -258,8 +258,8 @@ def paired_means(
         in_a = between(samples, windows.a_start, windows.a_end)
         in_b = between(samples, windows.b_start, windows.b_end)
         scanned = samples.where(
-            _dates(samples, windows.a_start, windows.a_end)
-            | _dates(samples, windows.b_start, windows.b_end)
+            day_filter(samples, windows.a_start, windows.a_end)
+            | day_filter(samples, windows.b_start, windows.b_end)
         )
         keys = SERIES
     scanned = scanned.where(in_a | in_b)

@@ -23,17 +23,27 @@ from opsdiff.plans.reports import DiffReport, ProcReport, StateReport
 LINE_ORDER = ["part", "major", "block", "minor", "text", "sub"]
 
 
-def _lines(
-    df: DataFrame, part: int | Column, line: Column, major=0, block="", minor=0, text="", sub=0
-) -> DataFrame:
+def _line(
+    part: int | Column, line: str | Column, major=0, block="", minor=0, text="", sub=0,
+    when: Column | None = None,
+) -> Column:
+    """One line with its place in the report; NULL where ``when`` does not hold."""
+
     def col(x, kind: str) -> Column:
         return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
 
-    return df.select(
-        "host", col(part, "int").alias("part"), col(major, "double").alias("major"),
-        col(block, "string").alias("block"), col(minor, "double").alias("minor"), col(text, "string").alias("text"),
-        col(sub, "int").alias("sub"), line.alias("line"),
+    made = F.struct(
+        col(part, "int").alias("part"), col(major, "double").alias("major"),
+        col(block, "string").alias("block"), col(minor, "double").alias("minor"),
+        col(text, "string").alias("text"), col(sub, "int").alias("sub"),
+        col(line, "string").alias("line"),
     )
+    return made if when is None else F.when(when, made)
+
+
+def _lines(df: DataFrame, *lines: Column) -> DataFrame:
+    """All lines that one table gives, in one pass over it."""
+    return df.select("host", F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -49,8 +59,11 @@ def write_lines(lines: DataFrame, path: str) -> None:
     ordered.select(F.concat_ws("\t", "host", "line").alias("value")).write.mode("overwrite").text(path)
 
 
-def _aligned(rows: DataFrame, keys: list[str], cells: list[Column]) -> DataFrame:
-    """Adds ``line``: the cells in columns as wide as their widest cell, two blanks between.
+def _aligned(
+    rows: DataFrame, keys: list[str], cells: list[Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``line``, the cells in columns as wide as their widest cell and two
+    blanks between, and the table of blocks.
 
     Widths are one aggregate per block, joined back.
     """
@@ -60,7 +73,8 @@ def _aligned(rows: DataFrame, keys: list[str], cells: list[Column]) -> DataFrame
         *[F.max(F.length(f"_c{i}")).alias(f"_w{i}") for i in range(last)]
     )
     padded = [F.rpad(F.col(f"_c{i}"), F.col(f"_w{i}") + 2, F.lit(" ")) for i in range(last)]
-    return named.join(widths, keys).withColumn("line", F.concat(*padded, F.col(f"_c{last}")))
+    lines = named.join(widths, keys).withColumn("line", F.concat(*padded, F.col(f"_c{last}")))
+    return lines, widths
 
 
 def _span(start: datetime, end: datetime) -> str:
@@ -85,15 +99,7 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
     found = report.findings
     rule = F.col("rule_idx")
     tag = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("conclusion"))
-    head = [
-        _lines(report.counts.join(found.select("host").distinct(), "host", "left_anti"), 0,
-               F.lit("[diagnosis] no known pattern matched, the rows follow.")),
-        _lines(found, 0, tag, major=rule, sub=0),
-        _lines(found, 0, F.concat(F.lit("  evidence: "), F.array_join("evidence", " · ")), major=rule, sub=1),
-        _lines(found.where(F.coalesce(F.size("next"), F.lit(0)) > 0), 0,
-               F.concat(F.lit("  next: "), F.array_join("next", "  |  ")), major=rule, sub=2),
-        _lines(found, 0, F.lit(""), major=rule, sub=3),
-    ]
+    has_next = F.coalesce(F.size("next"), F.lit(0)) > 0
 
     def tail(column: str, name: str) -> Column:
         n = F.col(column)
@@ -107,11 +113,7 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
         f"[A {_span(w.a_start, w.a_end)}] vs [B {_span(w.b_start, w.b_end)}]"
         f" · threshold {w.threshold_pct:.0f}%"
     )
-    head += [
-        _lines(report.counts, 1, counts),
-        _lines(report.counts, 1, F.lit(window), sub=1),
-        _lines(report.counts, 1, F.lit(""), sub=2),
-    ]
+    diagnosed = found.select("host").distinct().withColumn("diagnosed", F.lit(True))
     shown = report.rows if show_all else focus(report.rows)
     kind = F.col("kind")
     name = F.when(
@@ -124,13 +126,25 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
         F.when(kind == "new", "appeared").otherwise(kind),
         F.coalesce("units", F.lit("")),
     ]
-    body = _aligned(shown, ["host", "category", "cat_idx"], cells)
-    titles = shown.select("host", "category", "cat_idx").distinct()
+    body, blocks = _aligned(shown, ["host", "category", "cat_idx"], cells)
+    category = F.col("cat_idx")
     return _union([
-        *head,
-        _lines(titles, 2, F.concat(F.lit("—— "), "category", F.lit(" ——")), major=F.col("cat_idx"), minor=-1),
-        _lines(body, 2, F.col("line"), major=F.col("cat_idx"), minor=F.col("metric_idx"),
-               text=F.col("instance")),
+        _lines(
+            report.counts.join(diagnosed, "host", "left"),
+            _line(0, "[diagnosis] no known pattern matched, the rows follow.",
+                  when=F.col("diagnosed").isNull()),
+            _line(1, counts), _line(1, window, sub=1), _line(1, "", sub=2),
+        ),
+        _lines(
+            found,
+            _line(0, tag, major=rule),
+            _line(0, F.concat(F.lit("  evidence: "), F.array_join("evidence", " · ")), major=rule, sub=1),
+            _line(0, F.concat(F.lit("  next: "), F.array_join("next", "  |  ")), major=rule, sub=2,
+                  when=has_next),
+            _line(0, "", major=rule, sub=3),
+        ),
+        _lines(blocks, _line(2, F.concat(F.lit("—— "), "category", F.lit(" ——")), major=category, minor=-1)),
+        _lines(body, _line(2, F.col("line"), major=category, minor=F.col("metric_idx"), text=F.col("instance"))),
     ])
 
 
@@ -140,36 +154,17 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
 def proc_lines(report: ProcReport, now: datetime) -> DataFrame:
     """Restarts, then processor and memory rows that changed; ages are relative to ``now``."""
     w: Windows = report.windows
-    rows = report.rows
-    hosts = rows.select("host").distinct()
-    now_ms = F.lit(now.timestamp() * 1000.0)
-    head = [
-        _lines(hosts, 0, F.lit("process report")),
-        _lines(hosts, 0, F.lit(
-            f"  A {w.a_start:%m-%d %H:%M} ~ {w.a_end:%H:%M}"), sub=1),
-        _lines(hosts, 0, F.lit(
-            f"  B {w.b_start:%m-%d %H:%M} ~ {w.b_end:%H:%M}  (threshold {w.threshold_pct:.0f}%)"), sub=2),
-        _lines(hosts, 0, F.lit(""), sub=3),
-    ]
-    restarted = report.restarts
-    who = restarted.select("host").distinct()
-    line = F.concat(
-        F.lit("  "), "name", F.lit("  "),
-        restart_text(F.col("start_a"), F.col("start_b"), now_ms),
-    )
-    head += [
-        _lines(who, 1, F.lit("⟳ restarted between the windows"), major=0),
-        _lines(restarted, 1, line, major=1, text=F.col("name")),
-        _lines(who, 1, F.lit(""), major=2),
-    ]
-    # One block of rows per measure, in the order cpu, mem.
-    rows = rows.withColumn("measure", F.when(F.col("metric") == "cpu", 2).otherwise(3))
+    rows = report.rows.withColumn("measure", F.when(F.col("metric") == "cpu", 2).otherwise(3))
     measure = F.col("measure")
-    counted = rows.groupBy("host", "measure").agg(
-        F.count_if(F.col("verdict") != "flat").alias("shown")
-    )
+    ages = restart_text(F.col("start_a"), F.col("start_b"), F.lit(now.timestamp() * 1000.0))
     title = F.when(measure == 2, "== Processor time (more is worse) ==").otherwise("== Memory ==")
-    body = _aligned(
+    # One block of rows per measure, in the order cpu, mem.
+    blocks = rows.groupBy("host", "measure").agg(
+        F.count_if(F.col("verdict") != "flat").alias("shown"),
+        F.count_if("restarted").alias("restarts"),
+    )
+    once, restarted = measure == 2, (measure == 2) & (F.col("restarts") > 0)
+    body, _ = _aligned(
         focus(rows, "verdict"), ["host", "measure"],
         [
             F.concat(F.lit("  "), "name", F.when(F.col("restarted"), " ⟳").otherwise("")),
@@ -178,12 +173,28 @@ def proc_lines(report: ProcReport, now: datetime) -> DataFrame:
         ],
     )
     return _union([
-        *head,
-        _lines(counted, measure, F.concat(title, F.lit("  ("), "shown", F.lit(" changed)")), major=-1),
-        _lines(counted.where("shown = 0"), measure, F.lit("  nothing changed much"), major=0),
-        _lines(body, measure, F.col("line"), major=F.col("verdict_rank"),
-               minor=-F.col("weight"), text=F.col("name")),
-        _lines(counted, measure, F.lit(""), major=len(PROC_KINDS) + 1),
+        _lines(
+            blocks,
+            _line(0, "process report", when=once),
+            _line(0, f"  A {w.a_start:%m-%d %H:%M} ~ {w.a_end:%H:%M}", sub=1, when=once),
+            _line(0, f"  B {w.b_start:%m-%d %H:%M} ~ {w.b_end:%H:%M}  (threshold {w.threshold_pct:.0f}%)",
+                  sub=2, when=once),
+            _line(0, "", sub=3, when=once),
+            _line(1, "⟳ restarted between the windows", major=0, when=restarted),
+            _line(1, "", major=2, when=restarted),
+            _line(measure, F.concat(title, F.lit("  ("), "shown", F.lit(" changed)")), major=-1),
+            _line(measure, "  nothing changed much", when=F.col("shown") == 0),
+            _line(measure, "", major=len(PROC_KINDS) + 1),
+        ),
+        _lines(
+            report.restarts,
+            _line(1, F.concat(F.lit("  "), "name", F.lit("  "), ages), major=1, text=F.col("name")),
+        ),
+        _lines(
+            body,
+            _line(measure, F.col("line"), major=F.col("verdict_rank"), minor=-F.col("weight"),
+                  text=F.col("name")),
+        ),
     ])
 
 
@@ -227,20 +238,26 @@ def state_lines(report: StateReport) -> DataFrame:
         .when(kind == "removed", F.concat(F.lit("  - "), key, F.lit("  (was "), "old", F.lit(")")))
         .otherwise(F.concat(F.lit("  ~ "), key, F.lit(": "), "old", F.lit(" → "), "new"))
     )
-    rank = F.col("section_rank")
-    some = pairs.where("n > 0")
+    rank, block, n = F.col("section_rank"), F.col("section"), F.col("n")
+    count = n.cast("string")
     return _union([
-        _lines(pairs, 0, F.lit("state report")),
-        _lines(pairs, 0, F.concat(F.lit("  A "), _moment("a_taken")), sub=1),
-        _lines(pairs, 0, F.concat(F.lit("  B "), _moment("b_taken")), sub=2),
-        _lines(pairs, 0, F.lit(""), sub=3),
-        _lines(pairs.where("n = 0"), 1, F.lit("Both moments are identical, nothing changed.")),
-        _lines(some, 1, F.concat(F.lit("▲ "), F.col("n").cast("string"), F.lit(" changes"))),
-        _lines(some, 1, F.lit(""), sub=1),
-        _lines(sections, 2, F.concat(F.lit("== "), "title", F.lit(" ==  ("), F.col("n").cast("string"), F.lit(")")),
-               major=rank, block=F.col("section"), minor=-1),
-        _lines(changes, 2, change, major=rank, block=F.col("section"), text=key),
-        _lines(sections, 2, F.lit(""), major=rank, block=F.col("section"), minor=1),
+        _lines(
+            pairs,
+            _line(0, "state report"),
+            _line(0, F.concat(F.lit("  A "), _moment("a_taken")), sub=1),
+            _line(0, F.concat(F.lit("  B "), _moment("b_taken")), sub=2),
+            _line(0, "", sub=3),
+            _line(1, "Both moments are identical, nothing changed.", when=n == 0),
+            _line(1, F.concat(F.lit("▲ "), count, F.lit(" changes")), when=n > 0),
+            _line(1, "", sub=1, when=n > 0),
+        ),
+        _lines(
+            sections,
+            _line(2, F.concat(F.lit("== "), "title", F.lit(" ==  ("), count, F.lit(")")),
+                  major=rank, block=block, minor=-1),
+            _line(2, "", major=rank, block=block, minor=1),
+        ),
+        _lines(changes, _line(2, change, major=rank, block=block, text=key)),
     ])
 
 
@@ -264,25 +281,26 @@ def markdown_lines(report: StateReport, title: str = "Change impact") -> DataFra
         F.lit("⚠️ **"), F.col("n").cast("string"), F.lit(" changes** - 🟢 "), "added",
         F.lit(" added · 🟡 "), "modified", F.lit(" modified · ⚪ "), "removed", F.lit(" removed"),
     )
-    rank = F.col("section_rank")
-    some = pairs.where("n > 0")
+    rank, block, n = F.col("section_rank"), F.col("section"), F.col("n")
 
-    def table(text: Column, sub: int, minor: int) -> DataFrame:
-        return _lines(sections, 2, text, major=rank, block=F.col("section"), sub=sub, minor=minor)
+    def table(text: str | Column, sub: int, minor: int = -1) -> Column:
+        return _line(2, text, major=rank, block=block, minor=minor, sub=sub)
 
     return _union([
-        _lines(pairs, 0, F.lit(f"## {title}")),
-        _lines(pairs, 0, F.lit(""), sub=1),
-        _lines(pairs, 0, F.concat(F.lit("- Baseline A: "), code(_moment("a_taken"))), sub=2),
-        _lines(pairs, 0, F.concat(F.lit("- Compare B: "), code(_moment("b_taken"))), sub=3),
-        _lines(pairs, 0, F.lit(""), sub=4),
-        _lines(pairs.where("n = 0"), 1, F.lit("✅ **Nothing changed** - both moments are identical.")),
-        _lines(some, 1, total),
-        _lines(some, 1, F.lit(""), sub=1),
-        table(F.concat(F.lit("### "), "title", F.lit(" ("), F.col("n").cast("string"), F.lit(")")), 0, -1),
-        table(F.lit(""), 1, -1),
-        table(F.lit("| | Item | Change |"), 2, -1),
-        table(F.lit("|---|---|---|"), 3, -1),
-        _lines(changes, 2, row, major=rank, block=F.col("section"), text=F.col("key")),
-        table(F.lit(""), 0, 1),
+        _lines(
+            pairs,
+            _line(0, f"## {title}"), _line(0, "", sub=1),
+            _line(0, F.concat(F.lit("- Baseline A: "), code(_moment("a_taken"))), sub=2),
+            _line(0, F.concat(F.lit("- Compare B: "), code(_moment("b_taken"))), sub=3),
+            _line(0, "", sub=4),
+            _line(1, "✅ **Nothing changed** - both moments are identical.", when=n == 0),
+            _line(1, total, when=n > 0), _line(1, "", sub=1, when=n > 0),
+        ),
+        _lines(
+            sections,
+            table(F.concat(F.lit("### "), "title", F.lit(" ("), n.cast("string"), F.lit(")")), 0),
+            table("", 1), table("| | Item | Change |", 2), table("|---|---|---|", 3),
+            table("", 0, minor=1),
+        ),
+        _lines(changes, _line(2, row, major=rank, block=block, text=F.col("key"))),
     ])

@@ -112,6 +112,12 @@ def builtin_catalog(spark: SparkSession) -> Catalog:
     )
 
 
+def short_list(names: DataFrame) -> list[str] | None:
+    """Metric names of a configuration table, or None when there are too many for a filter."""
+    found = [r["metric"] for r in names.select("metric").limit(MAX_IN_LIST + 1).collect()]
+    return found if len(found) <= MAX_IN_LIST else None
+
+
 def _lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
@@ -220,12 +226,11 @@ def load_catalog(spark: SparkSession, path: str) -> Catalog:
     ).select("metric", "m.*")
     full = with_defaults(unique).select(*_METRICS.names)
     has_presets = bool(doc.where(F.col("doc.presets").isNotNull()).count())
-    names = [r["metric"] for r in full.select("metric").limit(MAX_IN_LIST + 1).collect()]
     return Catalog(
         metrics=hint_small(full, full.count()),
         presets=presets.select(*_PRESETS.names) if has_presets else builtin_catalog(spark).presets,
         categories=categories.select("category", "cat_idx"),
-        names=names if len(names) <= MAX_IN_LIST else None,
+        names=short_list(full),
     )
 
 
