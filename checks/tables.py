@@ -183,7 +183,7 @@ def category_counts(spark, sf_dir):
     return diff.category_counts(diff.focus(diff_rows(spark, sf_dir)))
 
 
-@check("magnitude_bars", i.DIFF + """SELECT host, metric, instance, round(scale + 3e-8, 4) AS scale, round(least(50, abs(delta_pct) / scale * 50) + 3e-8, 4) AS bar
+@check("magnitude_bars", i.DIFF + """SELECT host, metric, instance, round(scale + 3e-8, 4) AS scale, CASE WHEN delta_pct IS NOT NULL THEN round(least(50, abs(delta_pct) / scale * 50) + 3e-8, 4) END AS bar
 FROM (SELECT *, greatest(100, max(abs(delta_pct)) OVER (PARTITION BY host)) AS scale FROM rows_)""")
 def magnitude_bars(spark, sf_dir):
     return rounded(diff.with_bars(diff_rows(spark, sf_dir)), "scale", "bar").select(

@@ -123,8 +123,11 @@ def with_bars(rows: DataFrame) -> DataFrame:
     scales = rows.groupBy("host").agg(
         F.greatest(F.lit(MIN_SCALE), F.max(F.abs("delta_pct"))).alias("scale")
     )
-    bar = F.least(F.lit(MAX_BAR), F.abs("delta_pct") / F.col("scale") * MAX_BAR)
-    return rows.join(scales, "host").withColumn("bar", bar)
+    # A row without a percentage has no bar.
+    length = F.least(F.lit(MAX_BAR), F.abs("delta_pct") / F.col("scale") * MAX_BAR)
+    return rows.join(scales, "host").withColumn(
+        "bar", F.when(F.col("delta_pct").isNotNull(), length)
+    )
 
 
 def top_worst(rows: DataFrame, n: int = 5) -> DataFrame:

@@ -18,19 +18,29 @@ def read_trend_csv(spark: SparkSession, path: str, host: str) -> DataFrame:
     header = spark.read.option("header", True).csv(path).columns
     if len(header) < 2:
         raise ValueError("the file has no series; the window may have no data")
-    # Read by position: series names may repeat or differ in blanks only.
+    # Read by position: series names may repeat or differ in blanks only.  A row with
+    # fewer cells than the header is marked as malformed and kept with its text.
     names = [f"c{i}" for i in range(len(header))]
-    schema = ", ".join(f"{n} STRING" for n in names)
-    raw = _cells(spark, path, schema)
+    schema = ", ".join(f"{n} STRING" for n in [*names, "_row"])
+    rows = (
+        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_row").csv(path)
+    )
+    bare = F.regexp_replace("_row", '"[^"]*"', "")
+    n_cells = F.coalesce(F.length(bare) - F.length(F.translate(bare, ",", "")) + 1, F.lit(len(names)))
     time = strip(F.col("c0"))
-    cells = F.array(*[
-        F.struct(F.lit(h.strip()).alias("series"), F.col(n).alias("cell"))
-        for h, n in zip(header[1:], names[1:])
-    ])
+    cells = F.slice(
+        F.array(*[
+            F.struct(F.lit(h.strip()).alias("series"), F.col(n).alias("cell"))
+            for h, n in zip(header[1:], names[1:])
+        ]),
+        F.lit(1), n_cells - 1,
+    )
     cell = strip(F.col("cell"))
-    number = cell.try_cast("double")
+    # A cast would take 1.5f and 1.5d for numbers as Java does.
+    number = F.when(~cell.rlike(r"[0-9.][fFdD]$"), cell.try_cast("double"))
     return (
-        raw.select(
+        rows.select(
             F.lit(host).alias("host"),
             F.when(
                 time.rlike(r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}:\d{2}(\.\d+)?$"),
@@ -38,15 +48,6 @@ def read_trend_csv(spark: SparkSession, path: str, host: str) -> DataFrame:
             ).alias("bucket"),
             F.inline(cells),
         )
-        .where(F.col("bucket").isNotNull() & F.col("cell").isNotNull())
+        .where(F.col("bucket").isNotNull())
         .select("host", "series", "bucket", F.when(~F.isnan(number), number).alias("value"))
     )
-
-
-def _cells(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    # An empty cell is '' and a column the row does not have is NULL.
-    return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("emptyValue", "").option("nullValue", "\u0000")
-        .csv(path)
-    )
