@@ -14,6 +14,7 @@ from opsdiff.functions import text as t
 from opsdiff.operators import dedupe, diff, proc, rules, state, trend, triage, windows
 from opsdiff.operators.chunks import DAY
 from opsdiff.plans import reports
+from opsdiff.session import shared_dir
 from opsdiff.sources.catalog import builtin_catalog, resource_of
 from opsdiff.sources.rules import builtin_rules
 
@@ -317,7 +318,9 @@ flags AS (SELECT host, bool_or(flag) AS regressed FROM (
 SELECT b.*, c.* EXCLUDE (host), m.n_missing, f.regressed FROM full_board b JOIN counts c ON b.host = c.host
   JOIN missing m ON b.host = m.host JOIN flags f ON b.host = f.host""")
 def compare_report(spark, sf_dir):
-    report = reports.compare(i.samples(spark, sf_dir), i.HALVES)
+    report = reports.compare(
+        i.samples(spark, sf_dir), i.HALVES, keep=shared_dir(spark, "diff-rows")
+    )
     missing = report.missing.groupBy("host").agg(F.count("*").alias("n"))
     return (
         rounded(report.triage, "worst_pct")

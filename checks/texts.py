@@ -90,8 +90,8 @@ _EXPECTED = [
 ]
 
 
-def _filled(form: str):
-    out = F.lit(form)
+def _filled(form):
+    out = form
     for mark, column in [("{k}", "o_orderkey"), ("{c}", "o_custkey"), ("{s}", "o_orderstatus")]:
         out = F.replace(out, F.lit(mark), F.col(column).cast("string"))
     return out
@@ -100,13 +100,12 @@ def _filled(form: str):
 def listing_captures(spark, sf_dir):
     """One capture per order: a blank line, the line, an unrelated short line."""
     way = (F.col("o_orderkey") % len(_LISTINGS)).cast("int")
-    paths = F.array(*[_filled(path) for path, _ in _LISTINGS])
-    lines = F.array(*[_filled(line) for _, line in _LISTINGS])
+    forms = F.get(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(x).alias("line")) for p, x in _LISTINGS]), way)
     single = F.col("path").startswith("/proc/sys/") | F.col("path").startswith("nft") | (F.col("path") == "getenforce")
     return i.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("host"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("taken"),
-        F.get(paths, way).alias("path"), F.get(lines, way).alias("line"),
+        _filled(forms["path"]).alias("path"), _filled(forms["line"]).alias("line"),
     ).withColumn(
         "content", F.when(single, F.col("line")).otherwise(F.concat(F.lit("\n  "), "line", F.lit(" \n\n")))
     )

@@ -9,12 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space in the Unicode sense; Spark's trim() and \s cover less.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNICODE_BLANKS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = rf"[\s{_UNICODE_BLANKS}]"
+NO_SPACE = rf"[^\s{_UNICODE_BLANKS}]"
+BLANKS = (
+    " \t\n\v\f\r\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 METRIC_NAME = r"^[A-Za-z][A-Za-z0-9._]*$"
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def words(s: Column) -> Column:
@@ -34,13 +40,13 @@ def clean_lines(text: Column) -> Column:
 
 def proc_name(instance: Column) -> Column:
     """Command name in an instance such as ``1234 /usr/sbin/nginx``; '' when there is none."""
-    ws = words(instance)
-    only = word(ws, 0)
-    is_number = only.rlike(r"^[+-]?\d+$") & only.try_cast("bigint").isNotNull()
+    text = strip(instance)
+    is_number = text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull()
+    second = rf"^{NO_SPACE}+{SPACE}+(?:{NO_SPACE}*/)?({NO_SPACE}*)"
     return (
-        F.when(F.size(ws) >= 2, F.regexp_replace(word(ws, 1), "^.*/", ""))
-        .when((F.size(ws) == 1) & ~is_number, only)
-        .otherwise("")
+        F.when(text.rlike(SPACE), F.regexp_extract(text, second, 1))
+        .when(is_number, "")
+        .otherwise(text)
     )
 
 

@@ -3,9 +3,8 @@
 A capture is what an agent shipped: ``captures(host, taken, path, content)``,
 one row per file or command output, ``path`` being the file path or the command
 words.  Parsing is one narrow pass: every capture becomes an array of facts in
-one expression and is exploded, so nothing is shuffled but the few rows that
-need another capture of the same snapshot to decide (fallback commands) and
-repeated listening sockets.
+one expression and is exploded, so nothing is shuffled but the few captures
+that another one of the same snapshot can replace (fallback commands).
 """
 
 from __future__ import annotations
@@ -72,6 +71,15 @@ def per_line(lines: Column, make) -> Column:
     return F.filter(made, lambda f: f.isNotNull())
 
 
+def first_of_key(facts: Column) -> Column:
+    """Of facts with equal keys the first one: sorted by key, each next to the one before."""
+    by_key = F.array_sort(F.transform(facts, lambda f: F.struct(f["key"], f["seq"], f.alias("fact"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(by_key, lambda x: x["key"]))
+    paired = F.zip_with(by_key, before, lambda x, key: F.struct(
+        x["fact"].alias("fact"), (x["key"].isNotNull() & ~x["key"].eqNullSafe(key)).alias("first")))
+    return F.transform(F.filter(paired, lambda p: p["first"]), lambda p: p["fact"])
+
+
 def single(section: str, key: str | Column, value: Column, when: Column | None = None) -> Column:
     key = F.lit(key) if isinstance(key, str) else key
     one = F.array(fact(section, key, value))
@@ -184,7 +192,7 @@ def _listen(path: Column, lines: Column) -> list[tuple[Column, Column]]:
         key = F.concat_ws(" ", word(ws, 0), word(ws, 4))
         return F.when(F.size(ws) >= 5, fact("listen", key, proc, note=proc, seq=i))
 
-    return [(path == SOCKETS, per_line(lines, socket))]
+    return [(path == SOCKETS, first_of_key(per_line(lines, socket)))]
 
 
 def _firewall(path: Column, content: Column, lines: Column) -> list[tuple[Column, Column]]:
@@ -300,18 +308,9 @@ def parse_facts(captures: DataFrame) -> DataFrame:
     when states are compared.
     """
     chosen = preferred_captures(captures.select("host", "taken", "path", "content"))
-    facts = chosen.select(
+    return chosen.select(
         "host", "taken", F.inline(capture_facts(F.col("path"), F.col("content")))
     )
-    listen = F.col("section") == "listen"
-    rest = ["value", "note", "seq"]
-    first = (
-        facts.where(listen)
-        .groupBy("host", "taken", "section", "key")
-        .agg(F.min(F.struct("seq", "value", "note")).alias("f"))
-        .select("host", "taken", "section", "key", *[f"f.{c}" for c in rest])
-    )
-    return facts.where(~listen).unionByName(first)
 
 
 def parse_sections(captures: DataFrame, facts: DataFrame) -> DataFrame:

@@ -25,6 +25,14 @@ from opsdiff.sources.rules import Rules, builtin_rules
 from opsdiff.sources.snapshots import load_marker, save_marker
 
 
+def stored(df: DataFrame, path: str | None) -> DataFrame:
+    """The table written to ``path`` and read back, so that its readers share one computation."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Report:
     """Tables of a report by name; the base table can be kept while several are read."""
 
@@ -61,18 +69,19 @@ class DiffReport(Report):
 
 def compare(
     samples: DataFrame, windows: Windows | DataFrame, catalog: Catalog | None = None,
-    rules: Rules | None = None, hosts: DataFrame | None = None,
+    rules: Rules | None = None, hosts: DataFrame | None = None, keep: str | None = None,
 ) -> DiffReport:
     """Regression report: rows, findings, board of five blocks, counts, metrics not recorded.
 
-    Use it as a context (``with compare(...) as report``) to compute the rows
-    once for all tables.  ``hosts`` lists hosts that have to show up on the
+    All tables are made from the rows.  ``keep`` names a folder on shared storage
+    where the rows are written first; without it, use the report as a context
+    (``with compare(...) as report``) to keep them on the executors.  ``hosts`` lists hosts that have to show up on the
     board even when they recorded nothing.
     """
     spark = samples.sparkSession
     catalog = catalog or builtin_catalog(spark)
     rules = rules or builtin_rules(spark)
-    rows = window_diff(samples, catalog, windows)
+    rows = stored(window_diff(samples, catalog, windows), keep)
     found = findings(rows, rules)
     board = triage(rows, hosts)
     everyone = rows.select("host").distinct() if hosts is None else hosts
@@ -102,10 +111,11 @@ class ProcReport(Report):
 
 
 def proc_report(
-    samples: DataFrame, windows: Windows | DataFrame, hosts: DataFrame | None = None
+    samples: DataFrame, windows: Windows | DataFrame, hosts: DataFrame | None = None,
+    keep: str | None = None,
 ) -> ProcReport:
     """Process report: processor and memory rows, restarts, hosts that have no process data."""
-    rows = proc_diff(samples, windows)
+    rows = stored(proc_diff(samples, windows), keep)
     return ProcReport(
         rows=rows,
         restarts=restarts(rows),
@@ -134,11 +144,11 @@ def _state_report(changes: DataFrame, pairs: DataFrame) -> StateReport:
 
 def state_report(
     facts: DataFrame, a: datetime | None = None, b: datetime | None = None,
-    since: timedelta = DAY, headers: DataFrame | None = None,
+    since: timedelta = DAY, headers: DataFrame | None = None, keep: str | None = None,
 ) -> StateReport:
     """Change report of every host between two of its snapshots (see choose_pair)."""
     pairs = choose_pair(headers_of(facts) if headers is None else headers, a, b, since)
-    return _state_report(diff_pairs(facts, pairs), pairs)
+    return _state_report(stored(diff_pairs(facts, pairs), keep), pairs)
 
 
 def verify_start(facts: DataFrame, path: str, name: str | None = None, now: datetime | None = None) -> str:
