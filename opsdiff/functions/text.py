@@ -8,10 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space in the Unicode sense; Spark's trim() and \s cover less.
-_UNICODE_BLANKS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-SPACE = rf"[\s{_UNICODE_BLANKS}]"
-NO_SPACE = rf"[^\s{_UNICODE_BLANKS}]"
+# (?U): \s stands for white space in the Unicode sense, here spelled out for trimming.
 BLANKS = (
     " \t\n\v\f\r\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
@@ -25,7 +22,7 @@ def strip(s: Column) -> Column:
 
 def words(s: Column) -> Column:
     """Words of a line, as an array."""
-    return F.filter(F.split(s, f"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
 
 
 def word(ws: Column, position: int) -> Column:
@@ -42,9 +39,9 @@ def proc_name(instance: Column) -> Column:
     """Command name in an instance such as ``1234 /usr/sbin/nginx``; '' when there is none."""
     text = strip(instance)
     is_number = text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull()
-    second = rf"^{NO_SPACE}+{SPACE}+(?:{NO_SPACE}*/)?({NO_SPACE}*)"
+    second = r"(?U)^\S+\s+(?:\S*/)?(\S*)"
     return (
-        F.when(text.rlike(SPACE), F.regexp_extract(text, second, 1))
+        F.when(text.rlike(r"(?U)\s"), F.regexp_extract(text, second, 1))
         .when(is_number, "")
         .otherwise(text)
     )

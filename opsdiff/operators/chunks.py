@@ -55,34 +55,47 @@ def with_previous(
 
 def latest_at_or_before(
     anchors: DataFrame, times: DataFrame, key: str, anchor: str, ts: str, out: str,
-    chunk: timedelta = DAY,
+    chunk: timedelta = DAY, salts: int = 8,
 ) -> DataFrame:
     """Adds ``out`` to every anchor: the greatest ``ts`` of its key that is not later.
 
     An as-of join on time alone: both sides meet in one running maximum per
     (key, chunk), and chunks without an earlier time take the maximum so far.
+    Anchors are spread over ``salts`` shares of a chunk and the (fewer, distinct)
+    times are copied to each share, so that a busy key and day is split as well.
     """
+    seen = F.col(ts)
+    distinct = times.select(key, ts).distinct()
     asks = anchors.select(
         F.col(key), F.col(anchor).alias("_at"), F.lit(1).alias("_side"),
         F.lit(None).cast(times.schema[ts].dataType).alias("_seen"),
         F.struct(*anchors.columns).alias("_row"),
     )
-    marks = times.select(
-        F.col(key), F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.col(ts).alias("_seen"),
+    marks = distinct.select(
+        F.col(key), seen.alias("_at"), F.lit(0).alias("_side"), seen.alias("_seen"),
         F.lit(None).cast(asks.schema["_row"].dataType).alias("_row"),
     )
-    both = marks.unionByName(asks).withColumn("_chunk", chunk_of(F.col("_at"), chunk))
+    at_chunk = chunk_of(F.col("_at"), chunk)
+    salted = asks.withColumn(
+        "_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")
+    ).unionByName(
+        marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ).withColumn("_chunk", at_chunk)
     running = (
-        Window.partitionBy(key, "_chunk")
+        Window.partitionBy(key, "_chunk", "_salt")
         .orderBy("_at", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = both.withColumn("_near", F.max("_seen").over(running)).where("_side = 1")
+    inside = salted.withColumn("_near", F.max("_seen").over(running)).where("_side = 1")
+    # Chunks with anchors take the last time of all chunks before them.
+    edges = asks.select(key, at_chunk.alias("_chunk"), F.lit(None).cast(times.schema[ts].dataType).alias("_seen")).unionByName(
+        marks.select(key, at_chunk.alias("_chunk"), "_seen")
+    )
     earlier = (
         Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        both.groupBy(key, "_chunk")
+        edges.groupBy(key, "_chunk")
         .agg(F.max("_seen").alias("_top"))
         .select(key, "_chunk", F.max("_top").over(earlier).alias("_carried"))
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsdiff.functions.text import SPACE, clean_lines, first_quoted, hash12, strip, word, words
+from opsdiff.functions.text import clean_lines, first_quoted, hash12, strip, word, words
 from opsdiff.operators.state import is_volatile
 from opsdiff.sources.fixed_values import (
     CONFIG_FILES, CRON_FILES, KEY_FILES, SECURITY_SYSCTL, STATE_SECTIONS,

@@ -37,12 +37,9 @@ def _by_name(means: DataFrame, sides: dict[str, str]) -> DataFrame:
             top(PROC_RSS_METRIC).alias(f"rss{side}"),
             top(PROC_START_METRIC).alias(f"start{side}"),
         ]
-    return (
-        means.withColumn("name", proc_name(F.col("instance")))
-        .where(F.col("name") != "")
-        .groupBy("host", "name")
-        .agg(*aggregates)
-    )
+    # Nameless instances are dropped as one group, not tested row by row.
+    named = means.groupBy("host", proc_name(F.col("instance")).alias("name")).agg(*aggregates)
+    return named.where(F.col("name") != "")
 
 
 def proc_samples(means: DataFrame) -> DataFrame:

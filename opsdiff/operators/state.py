@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from opsdiff.operators.chunks import DAY, latest_at_or_before, with_previous
 from opsdiff.operators.windows import time_literal
+from opsdiff.session import broadcast_if_small
 from opsdiff.sources.fixed_values import SECURITY_SYSCTL, STATE_SECTIONS, VOLATILE_SYSCTL
 
 CHANGE_KINDS = ["added", "removed", "modified"]
@@ -186,6 +187,8 @@ def diff_pairs(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     if "date" in facts.columns:
         ends = ends.withColumn("date", F.to_date("taken"))
         on.append("date")
+    # Pairs of one report, two rows per host, spare the facts a shuffle by (host, taken).
+    ends = broadcast_if_small(ends)
     group = ["host", "a_taken", "b_taken"]
     titled = "title" in facts.columns
     return _diff(_side(facts.join(ends, on), F.col("side"), group, titled), group)

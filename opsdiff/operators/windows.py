@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdiff.operators.chunks import HOUR, chunk_of, micros
+from opsdiff.session import broadcast_if_small
 
 MAX_WINDOW_DAYS = 32
 SERIES = ["host", "metric", "instance"]
@@ -139,12 +140,10 @@ def _steps(samples: DataFrame, keys: list[str], chunk: timedelta, step) -> DataF
     """
     point = F.struct(micros(F.col("ts")).alias("us"), F.col("value").alias("value"))
     # Of samples with equal time the greatest value stands, whatever the input order.
-    # One shuffle by (keys, chunk) serves this, the window and the sums per chunk.
+    # Copies of a sample are merged where they are read, before any shuffle.
     unique = (
-        samples.select(*keys, "ts", "value", chunk_of(F.col("ts"), chunk).alias("_chunk"))
-        .repartition(*keys, "_chunk")
-        .groupBy(*keys, "_chunk", "ts").agg(F.max("value").alias("value"))
-        .select(*keys, "_chunk", point.alias("p"))
+        samples.groupBy(*keys, "ts").agg(F.max("value").alias("value"))
+        .select(*keys, chunk_of(F.col("ts"), chunk).alias("_chunk"), point.alias("p"))
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy("p.us")
     amount, span = step(F.lag("p").over(inside), F.col("p"))
@@ -248,8 +247,15 @@ def paired_means(
     if metrics is not None:
         samples = samples.where(F.col("metric").isin(metrics))
     if isinstance(windows, DataFrame):
-        scanned = samples.join(windows, "host")
+        # The span of all windows cuts the scan; the few rows per host meet the
+        # samples by broadcast, or by a shuffle when there are very many hosts.
         ts = F.col("ts")
+        span = windows.select(
+            F.least("a_start", "b_start").alias("lo"), F.greatest("a_end", "b_end").alias("hi")
+        )
+        scanned = samples.where(
+            (ts >= span.agg(F.min("lo")).scalar()) & (ts < span.agg(F.max("hi")).scalar())
+        ).join(broadcast_if_small(windows), "host")
         in_a = (ts >= F.col("a_start")) & (ts < F.col("a_end"))
         in_b = (ts >= F.col("b_start")) & (ts < F.col("b_end"))
         keys = [*SERIES, "threshold_pct"]

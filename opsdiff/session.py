@@ -22,8 +22,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 
-# A table this short may be sent to every executor.
-SMALL_TABLE_ROWS = 50_000
+# Tables up to this many rows (some tens of megabytes) may be sent to every executor.
+SMALL_TABLE_ROWS = 500_000
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
@@ -31,9 +31,13 @@ def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> Dat
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
-def hint_small(df: DataFrame, n_rows: int) -> DataFrame:
-    """Ask for a broadcast only when the counted size allows it; else joins shuffle."""
-    return F.broadcast(df) if n_rows <= SMALL_TABLE_ROWS else df
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Asks for a broadcast when the counted size allows it; else joins shuffle.
+
+    Counts the table, so it is meant for tables of parameters: catalogs, rules,
+    windows per host, pairs of snapshots.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdiff.functions.text import METRIC_NAME, valid_metric
-from opsdiff.session import hint_small, small_table
+from opsdiff.session import broadcast_if_small, small_table
 from opsdiff.sources import fixed_values as fixed
 
 CATALOG_JSON = (
@@ -227,7 +227,7 @@ def load_catalog(spark: SparkSession, path: str) -> Catalog:
     full = with_defaults(unique).select(*_METRICS.names)
     has_presets = bool(doc.where(F.col("doc.presets").isNotNull()).count())
     return Catalog(
-        metrics=hint_small(full, full.count()),
+        metrics=broadcast_if_small(full),
         presets=presets.select(*_PRESETS.names) if has_presets else builtin_catalog(spark).presets,
         categories=categories.select("category", "cat_idx"),
         names=short_list(full),

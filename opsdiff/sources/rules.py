@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsdiff.functions.judge import SEVERITIES
 from opsdiff.functions.text import valid_metric
-from opsdiff.session import hint_small, small_table
+from opsdiff.session import broadcast_if_small, small_table
 from opsdiff.sources import fixed_values as fixed
 from opsdiff.sources.catalog import raise_first, read_json_document
 
@@ -96,10 +96,9 @@ def load_rules(spark: SparkSession, path: str) -> Rules:
         )
     )
     raise_first(problems, "rules")
-    n = conditions.count()
     return Rules(
-        conditions=hint_small(conditions.select(*_CONDITIONS.names), n),
-        heads=hint_small(rules.select(*_HEADS.names), n),
+        conditions=broadcast_if_small(conditions.select(*_CONDITIONS.names)),
+        heads=broadcast_if_small(rules.select(*_HEADS.names)),
     )
 
 
