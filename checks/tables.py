@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from checks import inputs as i
 from checks.base import check, near, rounded
 from opsdiff.functions import judge as j
-from opsdiff.functions import text as t
 from opsdiff.operators import dedupe, diff, proc, rules, state, trend, triage, windows
 from opsdiff.operators.chunks import DAY
 from opsdiff.plans import reports

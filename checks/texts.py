@@ -10,7 +10,6 @@ from checks import inputs as i
 from checks import tables
 from checks.base import check, near
 from opsdiff.operators import facts as etl
-from opsdiff.operators.state import state_diff
 from opsdiff.plans import reports, text_reports
 from opsdiff.session import shared_dir
 from opsdiff.sources import report_json, snapshots, summary_text

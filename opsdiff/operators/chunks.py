@@ -17,6 +17,12 @@ HOUR = timedelta(hours=1)
 DAY = timedelta(days=1)
 
 
+def chunk_for(span: timedelta) -> timedelta:
+    """Chunk of a time span: a thousandth, so that a series that holds a third of all rows
+    is cut into a thousand pieces, but not below a minute."""
+    return max(span / 1000, timedelta(minutes=1))
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch, for TIMESTAMP and TIMESTAMP_NTZ alike."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -88,7 +94,7 @@ def latest_at_or_before(
     )
     inside = salted.withColumn("_near", F.max("_seen").over(running)).where("_side = 1")
     # Chunks with anchors take the last time of all chunks before them.
-    edges = asks.select(key, at_chunk.alias("_chunk"), F.lit(None).cast(times.schema[ts].dataType).alias("_seen")).unionByName(
+    edges = asks.select(key, at_chunk.alias("_chunk"), "_seen").unionByName(
         marks.select(key, at_chunk.alias("_chunk"), "_seen")
     )
     earlier = (

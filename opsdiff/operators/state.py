@@ -109,8 +109,9 @@ def _diff(sided: DataFrame, group: list[str]) -> DataFrame:
     """Changes between the two sides of every group.
 
     ``sided`` has (group, section, key, value, note, seq, side) and, unless
-    sections have their built-in titles, title.  Both sides meet in one grouping on (group, section, key): no join, and of a key
-    delivered twice the last (greatest seq) stands.
+    sections have their built-in titles, title.  Both sides meet in one grouping
+    on (group, section, key): no join, and of a key delivered twice the last
+    (greatest seq) stands.
     """
     side = F.col("side")
     last = F.struct("seq", "value", "note")
@@ -166,7 +167,7 @@ def state_diff(
     changes = _diff(both, ["host"])
     if skipped is None:
         return changes
-    return changes.join(skipped.select("host", "section").distinct(), ["host", "section"], "left_anti")
+    return changes.join(skipped.select("host", "section"), ["host", "section"], "left_anti")
 
 
 def diff_pairs(facts: DataFrame, pairs: DataFrame) -> DataFrame:

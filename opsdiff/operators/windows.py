@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsdiff.operators.chunks import HOUR, chunk_of, micros
+from opsdiff.operators.chunks import HOUR, chunk_for, chunk_of, micros
 from opsdiff.session import broadcast_if_small
 
 MAX_WINDOW_DAYS = 32
@@ -101,12 +101,12 @@ def window_means(samples: DataFrame, start: datetime, end: datetime) -> DataFram
 
 
 def time_weighted_means(
-    samples: DataFrame, start: datetime, end: datetime, chunk: timedelta = HOUR
+    samples: DataFrame, start: datetime, end: datetime, chunk: timedelta | None = None
 ) -> DataFrame:
     """As window_means, but a value counts for the time until the next sample of its
     series (the last one until the end of the window)."""
     scanned = scan_window(samples, start, end).where(F.col("value").isNotNull())
-    held = _steps(scanned, SERIES, chunk, _held_value)
+    held = _steps(scanned, SERIES, chunk or chunk_for(end - start), _held_value)
     close = micros(F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
     stop = close + int((end - start).total_seconds() * 1e6)
     tail = stop - F.col("last.us")
@@ -218,14 +218,16 @@ def _paired_instants(samples: DataFrame, in_a: Column, in_b: Column, keys: list[
     )
 
 
-def _paired_counters(samples: DataFrame, in_a: Column, in_b: Column, keys: list[str]) -> DataFrame:
+def _paired_counters(
+    samples: DataFrame, in_a: Column, in_b: Column, keys: list[str], chunk: timedelta
+) -> DataFrame:
     sides = F.filter(
         F.array(F.when(in_a, F.lit("a")), F.when(in_b, F.lit("b"))), lambda s: s.isNotNull()
     )
     units = ["units"] if "units" in samples.columns else []
     sided = samples.select(*keys, *units, "ts", "value", F.explode(sides).alias("side"))
     val, side = F.col("val"), F.col("side")
-    rates = counter_rates(sided, [*keys, *units, "side"])
+    rates = counter_rates(sided, [*keys, *units, "side"], chunk)
     unit = F.max_by("units", F.struct(side, "units")) if units else F.lit("")
     return rates.groupBy(*keys).agg(
         unit.alias("units"),
@@ -258,7 +260,7 @@ def paired_means(
         ).join(broadcast_if_small(windows), "host")
         in_a = (ts >= F.col("a_start")) & (ts < F.col("a_end"))
         in_b = (ts >= F.col("b_start")) & (ts < F.col("b_end"))
-        keys = [*SERIES, "threshold_pct"]
+        keys, chunk = [*SERIES, "threshold_pct"], HOUR
     else:
         check_windows(windows)
         in_a = between(samples, windows.a_start, windows.a_end)
@@ -268,11 +270,12 @@ def paired_means(
             | day_filter(samples, windows.b_start, windows.b_end)
         )
         keys = SERIES
+        chunk = chunk_for(max(windows.a_end - windows.a_start, windows.b_end - windows.b_start))
     scanned = scanned.where(in_a | in_b)
     if "kind" in samples.columns:
         is_counter = F.col("kind") == "counter"
         means = _paired_instants(scanned.where(~is_counter), in_a, in_b, keys).unionByName(
-            _paired_counters(scanned.where(is_counter), in_a, in_b, keys)
+            _paired_counters(scanned.where(is_counter), in_a, in_b, keys, chunk)
         )
     else:
         means = _paired_instants(scanned, in_a, in_b, keys)

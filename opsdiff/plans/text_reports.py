@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdiff.functions.judge import PROC_KINDS
-from opsdiff.functions.text import bracketed, delta_text, fmt_val, md_escape
+from opsdiff.functions.text import delta_text, fmt_val, md_escape
 from opsdiff.operators.diff import focus
 from opsdiff.operators.proc import restart_text
 from opsdiff.operators.windows import Windows

@@ -92,8 +92,12 @@ class Catalog:
         return self.presets.where(F.col("preset") == name)
 
 
-def builtin_catalog(spark: SparkSession) -> Catalog:
+def builtin_catalog(spark: SparkSession, slim: bool = False) -> Catalog:
+    """The built-in catalog, or its slim profile without high-cardinality metrics."""
     rows = builtin_rows()
+    if slim:
+        rows = [r for r in rows if not r["metric"].startswith(tuple(fixed.SLIM_LEAVES_OUT))]
+        rows = [{**r, "metric_idx": n} for n, r in enumerate(rows)]
     presets = [
         {"preset": key, "label": label, "pos": pos, "metric": metric}
         for key, label, metrics in fixed.TREND_PRESETS

@@ -166,6 +166,13 @@ network.ip.reasmfails                 worse_up     -      -
 # Metrics whose regression may turn a resource block red carry "core" above;
 # metrics whose instances are folded into one line carry "fold".
 
+# The slim catalog, for a main-signal view, leaves out metrics that start like this.
+SLIM_LEAVES_OUT = [
+    "kernel.all.entropy.", "kernel.percpu.", "mem.vmstat.thp_", "mem.vmstat.pgactivate",
+    "mem.vmstat.pgdeactivate", "disk.dm.", "disk.md.", "network.tcpconn.",
+    "network.tcp.delayedacks", "network.icmp.", "network.ip.",
+]
+
 # Category -> resource block; other categories belong to no block.
 RESOURCE_OF_CATEGORY = {
     "CPU": "cpu",

@@ -1,7 +1,6 @@
 import hashlib
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from opsdiff.operators import facts as etl

@@ -1,8 +1,5 @@
 from datetime import datetime
 
-import pytest
-from pyspark.sql import functions as F
-
 from opsdiff.operators import proc
 from opsdiff.operators.windows import Windows
 from opsdiff.plans.reports import proc_report

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +72,13 @@ def test_builtin_catalog(spark):
     assert cat.builtin_catalog(spark).presets.select("preset").distinct().count() == 8
 
 
+def test_slim_catalog(spark):
+    slim = cat.builtin_catalog(spark, slim=True)
+    assert slim.metrics.count() == len(slim.names) == 109
+    assert slim.metrics.agg(F.max("metric_idx")).first()[0] == 108
+    assert "kernel.percpu.cpu.user" not in slim.names and "network.tcp.retranssegs" in slim.names
+
+
 def metric(name, **extra):
     return {"metric": name, "label": name, "category": "C", "polarity": "worse_up", **extra}
 

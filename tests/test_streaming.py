@@ -1,5 +1,3 @@
-from datetime import datetime, timedelta
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +6,7 @@ from opsdiff.session import shared_dir
 from opsdiff.sources.catalog import builtin_catalog
 from opsdiff.sources.rules import builtin_rules
 from opsdiff.streaming import feeds, means
-from tests.helpers import SAMPLE, at, dicts, samples, tuples
+from tests.helpers import SAMPLE, at, samples, tuples
 
 SNAP = "host string, taken timestamp, sections array<struct<name:string,items:array<struct<key:string,value:string,note:string>>>>"
 
