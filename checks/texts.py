@@ -237,7 +237,8 @@ def verify_report(spark, sf_dir):
 
 
 def _week(spark, sf_dir):
-    return reports.state_report(i.facts(spark, sf_dir), since=timedelta(days=7))
+    keep = shared_dir(spark, "changes")
+    return reports.state_report(i.facts(spark, sf_dir), since=timedelta(days=7), keep=keep)
 
 
 @check("state_lines", f"""WITH {i.FACTS}, {tables._CHOSEN} SELECT host, CASE kind WHEN 'added' THEN '  + ' || key || ' = ' || new || '  ' || note

@@ -13,7 +13,7 @@ BLANKS = (
     " \t\n\v\f\r\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-METRIC_NAME = r"^[A-Za-z][A-Za-z0-9._]*$"
+METRIC_NAME = r"^[A-Za-z][A-Za-z0-9._]*\z"
 
 
 def strip(s: Column) -> Column:
@@ -177,7 +177,7 @@ def valid_metric(s: Column) -> Column:
 
 def parse_when(s: Column) -> Column:
     """Local time with or without seconds, 'T' or blank between; NULL when malformed."""
-    shape = r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"
+    shape = r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\z"
     return F.when(s.rlike(shape), s.try_cast("timestamp_ntz"))
 
 
@@ -208,4 +208,4 @@ def duration_seconds(s: Column) -> Column:
         + F.regexp_extract(part, _DURATION_PART, 1).try_cast("double")
         * F.element_at(factor, F.regexp_extract(part, _DURATION_PART, 2)),
     )
-    return F.when(s.rlike(rf"^\+?({_DURATION_PART})+$") & (total > 0), total)
+    return F.when(s.rlike(rf"^\+?({_DURATION_PART})+\z") & (total > 0), total)

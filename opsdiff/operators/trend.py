@@ -151,9 +151,15 @@ def overlay(
 
 
 def trend_wide(points: DataFrame, series: list[str]) -> DataFrame:
-    """One column per series named in ``series``, one row per host and step."""
-    named = points.withColumn("series", series_name())
-    return named.groupBy("host", "bucket").pivot("series", series).agg(F.first("value"))
+    """One column per series named in ``series``, one row per host and step.
+
+    A series has one value per step, so a plain conditional maximum picks it in
+    a single grouping.
+    """
+    named = points.withColumn("series", series_name()).where(F.col("series").isin(series))
+    return named.groupBy("host", "bucket").agg(
+        *[F.max(F.when(F.col("series") == s, F.col("value"))).alias(s) for s in series]
+    )
 
 
 def as_series(points: DataFrame) -> DataFrame:

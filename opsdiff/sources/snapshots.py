@@ -43,7 +43,7 @@ def parse_snapshots(bodies: DataFrame, body: str = "value") -> DataFrame:
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots from files with one JSON body per line."""
-    return parse_snapshots(spark.read.text(path))
+    return parse_snapshots(spark.read.text(path, lineSep="\n"))
 
 
 def explode_snapshot(snapshots: DataFrame) -> DataFrame:

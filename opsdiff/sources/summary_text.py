@@ -41,7 +41,7 @@ def read_summary_text(spark: SparkSession, path: str, host: str) -> DataFrame:
 
     ``seq`` follows the input, so that of a repeated series the last one counts.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path, lineSep="\n").select(
         F.lit(host).alias("host"), F.monotonically_increasing_id().alias("seq"), "value"
     )
     return parse_summary(lines)

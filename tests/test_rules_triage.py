@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from opsdiff.operators import diff, rules, triage
 from opsdiff.plans.reports import compare
+from opsdiff.plans.text_reports import LINE_ORDER, diff_lines
 from opsdiff.sources.catalog import builtin_catalog
 from opsdiff.sources.rules import builtin_rules, load_rules
 from tests.helpers import WINDOWS, dicts, tuples, two_sided
@@ -129,3 +130,22 @@ def test_report_json(spark, tmp_path):
     row = json.loads(spark.read.text(str(tmp_path / "r" / "rows")).first()[0])
     assert row["a"] == 1.0 and row["b"] is None and row["kind"] == "gone"
     assert spark.read.text(str(tmp_path / "r" / "triage")).count() == 5
+
+
+def test_diff_text(spark):
+    data = two_sided(spark, [
+        ("h", "network.tcp.listendrops", "", 2, 3), ("h", "kernel.all.load", "1 minute", 1, 3), ("h", "kernel.all.load", "5 minute", None, 30000),
+        ("h", "kernel.all.cpu.idle", "", 100, 100), ("g", "kernel.all.cpu.idle", "", 100, 100),
+    ])
+    lines = diff_lines(compare(data, WINDOWS)).orderBy("host", *LINE_ORDER)
+    text = {h: [r["line"] for r in dicts(lines.where(F.col("host") == h))] for h in "gh"}
+    window = "[A 03-01 10:00 -> 11:00] vs [B 03-01 12:00 -> 13:00] · threshold 15%"
+    assert text["g"] == ["[diagnosis] no known pattern matched, the rows follow.", "worse 0 · better 0 · watch 0 · flat 1", window, ""]
+    assert text["h"][1] == "  evidence: network.tcp.listendrops Δ+50.0%" and text["h"][0].startswith("[CRIT] ")
+    assert text["h"][4:] == [
+        "worse 2 · better 0 · watch 0 · flat 1 · appeared 1", window, "", "—— CPU ——",
+        "x all load [1 minute]  1.00  3.00    +200.0%  worse     u",
+        "+ all load [5 minute]  —     30.00k  ⊕        appeared  u",
+        "—— Network ——", "x tcp listendrops  2.00  3.00  +50.0%  worse  u"]
+    everything = diff_lines(compare(data, WINDOWS), show_all=True)
+    assert everything.where("host = 'g' AND line LIKE '. all cpu idle%'").count() == 1

@@ -62,6 +62,25 @@ def test_skipped_sections_can_be_left_out(spark):
     assert state.state_diff(a, b, skipped).count() == 0
 
 
+def test_report_order_of_sections(spark):
+    names = ["modules", "network", "unknown", "configs", "listen"]
+    b = facts(spark, D2, ("k", "1"), section=names[0])
+    for name in names[1:]:
+        b = b.unionByName(facts(spark, D2, ("b", "1"), ("a", "1"), section=name))
+    got = dicts(state.in_change_order(state.state_diff(b.limit(0), b)), "section", "key")
+    assert [r["section"] for r in got if r["key"] != "b"] == ["network", "listen", "configs", "modules", "unknown"]
+    assert [r["key"] for r in got][:2] == ["a", "b"]
+
+
+def test_inventory(spark):
+    stats = state.snapshot_stats(
+        facts(spark, D1, ("a", "1"), ("b", "1")),
+        spark.createDataFrame([("h", D1, "modules", "why"), ("h", D1, "sysctl", "")], "host string, taken timestamp_ntz, section string, skipped string"))
+    assert tuples(stats, "section", "facts", "skipped") == [("modules", 0, "why"), ("sysctl", 2, None)]
+    assert tuples(state.snapshot_totals(stats), "facts", "sections", "skipped") == [(2, 2, 1)]
+    assert tuples(state.newest(state.headers_of(history(spark)), 2), "taken", "host") == [(D2, "h"), (D3, "h")]
+
+
 def test_swap_mirrors(spark):
     rng = random.Random(7)
     make = lambda t: facts(spark, t, *[(f"k{i}", str(rng.randrange(3))) for i in rng.sample(range(60), 40)])
