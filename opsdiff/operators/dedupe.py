@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsdiff.operators.chunks import sortable
 from opsdiff.sources.catalog import Catalog
 
 
 def _one_per_key(df: DataFrame, keys: list[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(pick(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*sortable(keys)).agg(pick(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opsdiff.functions.judge import (
     ROW_KINDS, display_weight, effective_threshold, judge, rank_in, row_kind,
 )
+from opsdiff.operators.chunks import sortable
 from opsdiff.operators.windows import Windows, paired_means
 from opsdiff.sources.catalog import Catalog, is_core
 
@@ -70,7 +71,7 @@ def means_diff(
 
     last = F.struct("seq", "val", "units")
     both = side(means_a, "a").unionByName(side(means_b, "b"))
-    paired = both.groupBy("host", "metric", "instance").agg(
+    paired = both.groupBy(*sortable(["host", "metric", "instance"])).agg(
         F.max(F.when(F.col("side") == "a", last)).alias("in_a"),
         F.max(F.when(F.col("side") == "b", last)).alias("in_b"),
     )

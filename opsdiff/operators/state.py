@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsdiff.operators.chunks import DAY, latest_at_or_before, with_previous
+from opsdiff.operators.chunks import DAY, latest_at_or_before, sortable, with_previous
 from opsdiff.operators.windows import time_literal
 from opsdiff.session import broadcast_if_small
 from opsdiff.sources.fixed_values import SECURITY_SYSCTL, STATE_SECTIONS, VOLATILE_SYSCTL
@@ -115,7 +115,7 @@ def _diff(sided: DataFrame, group: list[str]) -> DataFrame:
     """
     side = F.col("side")
     last = F.struct("seq", "value", "note")
-    keyed = sided.groupBy(*group, "section", "key").agg(
+    keyed = sided.groupBy(*sortable([*group, "section", "key"])).agg(
         F.max(F.when(side == "a", last)).alias("old"),
         F.max(F.when(side == "b", last)).alias("new"),
     )

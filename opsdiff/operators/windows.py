@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsdiff.operators.chunks import HOUR, chunk_for, chunk_of, micros
+from opsdiff.operators.chunks import HOUR, chunk_for, chunk_of, micros, sortable
 from opsdiff.session import broadcast_if_small
 
 MAX_WINDOW_DAYS = 32
@@ -205,7 +205,7 @@ def _paired_instants(samples: DataFrame, in_a: Column, in_b: Column, keys: list[
     )
     if has_units:
         # The unit seen in B stands, else the one seen in A.
-        sums = sums.groupBy(*keys).agg(
+        sums = sums.groupBy(*sortable(keys)).agg(
             F.sum("sum_a").alias("sum_a"), F.sum("n_a").alias("n_a"),
             F.sum("sum_b").alias("sum_b"), F.sum("n_b").alias("n_b"),
             F.max_by("units", F.struct(F.col("n_b") > 0, "n_b", "n_a", "units")).alias("units"),
