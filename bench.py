@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from checks.registry import CHECKS
+from opsdiff.checks.registry import CHECKS
 
 HEADLINE = [
     "compare_report",     # R1: rows, findings, board, counts

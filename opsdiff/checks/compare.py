@@ -12,7 +12,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.registry import CHECKS
+from opsdiff.checks.registry import CHECKS
 
 
 def session(cores: str = "8") -> SparkSession:

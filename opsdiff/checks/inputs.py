@@ -38,16 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ts(t: datetime) -> str:
+def sql_ts(t: datetime) -> str:
     return f"TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}'"
 
 
-def _text(s: str) -> str:
+def sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join(_text(v) for v in values) + "]"
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join(sql_text(v) for v in values) + "]"
 
 
 # ---- samples ---------------------------------------------------------------
@@ -78,18 +78,18 @@ SAMPLES = f"""samples AS (
          CASE WHEN regexp_matches(metric, '{INSTANCED}') THEN 'i' || (user_id % 6) ELSE '' END AS instance,
          value, CASE WHEN ordinal % 3 = 0 THEN 'KB' ELSE 'count / second' END AS units
   FROM (SELECT *, event_id % {len(METRICS)} AS ordinal,
-               ({_list(METRICS)})[event_id % {len(METRICS)} + 1] AS metric FROM events))"""
+               ({sql_list(METRICS)})[event_id % {len(METRICS)} + 1] AS metric FROM events))"""
 
 CATALOG = "catalog(metric, label, category, polarity, fold, own_threshold, min_abs, cat_idx, metric_idx, core) AS (VALUES " + ", ".join(
-    f"({_text(r['metric'])}, {_text(r['label'])}, {_text(r['category'])}, {_text(r['polarity'])}, "
+    f"({sql_text(r['metric'])}, {sql_text(r['label'])}, {sql_text(r['category'])}, {sql_text(r['polarity'])}, "
     f"{r['fold']}, {r['threshold_pct']}::DOUBLE, {r['min_abs']}::DOUBLE, {r['cat_idx']}, {r['metric_idx']}, {r['core']})"
     for r in builtin_rows()
 ) + ")"
 
 RULES = "rules(rule_idx, id, severity, n_conds, cond_idx, metric, verdict, delta_gte, delta_lte, b_gte, b_gt_zero, appeared) AS (VALUES " + ", ".join(
     "({}, {}, {}, {}, {}, {}, {}, {}, {}, {}, {}, {})".format(
-        i, _text(r["id"]), _text(r["severity"]), len(r["when"]), j, _text(c["metric"]),
-        _text(c.get("verdict", "")),
+        i, sql_text(r["id"]), sql_text(r["severity"]), len(r["when"]), j, sql_text(c["metric"]),
+        sql_text(c.get("verdict", "")),
         *[f"{c[k]}::DOUBLE" if k in c else "NULL::DOUBLE" for k in ["delta_gte", "delta_lte", "b_gte"]],
         c.get("b_gt_zero", False), c.get("appeared", False),
     )
@@ -98,8 +98,8 @@ RULES = "rules(rule_idx, id, severity, n_conds, cond_idx, metric, verdict, delta
 
 
 def means_sql(w: Windows, source: str = "samples", name: str = "means") -> str:
-    in_a = f"ts >= {_ts(w.a_start)} AND ts < {_ts(w.a_end)}"
-    in_b = f"ts >= {_ts(w.b_start)} AND ts < {_ts(w.b_end)}"
+    in_a = f"ts >= {sql_ts(w.a_start)} AND ts < {sql_ts(w.a_end)}"
+    in_b = f"ts >= {sql_ts(w.b_start)} AND ts < {sql_ts(w.b_end)}"
     return f"""{name} AS (
   SELECT coalesce(x.host, y.host) AS host, coalesce(x.metric, y.metric) AS metric,
          coalesce(x.instance, y.instance) AS instance, coalesce(y.units, x.units) AS units,
@@ -161,7 +161,7 @@ def proc_samples_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROC_SAMPLES = f"""proc AS (
-  SELECT 'h' || (l_suppkey % 16) AS host, ({_list(PROC_METRICS)})[l_linenumber % 4 + 1] AS metric,
+  SELECT 'h' || (l_suppkey % 16) AS host, ({sql_list(PROC_METRICS)})[l_linenumber % 4 + 1] AS metric,
          l_suppkey || ' /usr/bin/' || replace(p_name, ' ', '-') || '-' || p_size AS instance, '' AS units,
          l_shipdate AS ts,
          CASE l_linenumber % 4 WHEN 3 THEN epoch_ms(l_shipdate)::DOUBLE WHEN 2 THEN l_extendedprice
@@ -171,12 +171,12 @@ PROC_SAMPLES = f"""proc AS (
 PROC_NAMED = f"""named AS (
   SELECT host, regexp_replace(split_part(instance, ' ', 2), '^.*/', '') AS name,
          count(a) AS n_a, count(b) AS n_b,
-         coalesce(sum(CASE WHEN metric IN ({_text(PROC_METRICS[0])}, {_text(PROC_METRICS[1])}) THEN a END), 0) AS cpu_a,
-         coalesce(sum(CASE WHEN metric IN ({_text(PROC_METRICS[0])}, {_text(PROC_METRICS[1])}) THEN b END), 0) AS cpu_b,
-         coalesce(max(CASE WHEN metric = {_text(PROC_METRICS[2])} THEN a END), 0) AS rss_a,
-         coalesce(max(CASE WHEN metric = {_text(PROC_METRICS[2])} THEN b END), 0) AS rss_b,
-         coalesce(max(CASE WHEN metric = {_text(PROC_METRICS[3])} THEN a END), 0) AS start_a,
-         coalesce(max(CASE WHEN metric = {_text(PROC_METRICS[3])} THEN b END), 0) AS start_b
+         coalesce(sum(CASE WHEN metric IN ({sql_text(PROC_METRICS[0])}, {sql_text(PROC_METRICS[1])}) THEN a END), 0) AS cpu_a,
+         coalesce(sum(CASE WHEN metric IN ({sql_text(PROC_METRICS[0])}, {sql_text(PROC_METRICS[1])}) THEN b END), 0) AS cpu_b,
+         coalesce(max(CASE WHEN metric = {sql_text(PROC_METRICS[2])} THEN a END), 0) AS rss_a,
+         coalesce(max(CASE WHEN metric = {sql_text(PROC_METRICS[2])} THEN b END), 0) AS rss_b,
+         coalesce(max(CASE WHEN metric = {sql_text(PROC_METRICS[3])} THEN a END), 0) AS start_a,
+         coalesce(max(CASE WHEN metric = {sql_text(PROC_METRICS[3])} THEN b END), 0) AS start_b
   FROM means GROUP BY ALL)"""
 
 PROC_ROWS = f"""pairs AS (
@@ -261,5 +261,5 @@ pairs AS (SELECT * FROM (SELECT host, lag(taken) OVER (PARTITION BY host ORDER B
     "host, a_taken, b_taken")}"""
 
 PRESETS = "presets(preset, metric) AS (VALUES " + ", ".join(
-    f"({_text(key)}, {_text(m)})" for key, _, metrics in TREND_PRESETS for m in metrics
+    f"({sql_text(key)}, {sql_text(m)})" for key, _, metrics in TREND_PRESETS for m in metrics
 ) + ")"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import inputs as i
-from checks.base import check, near
-from checks.tables import pairs_of, _PAIRS
+from opsdiff.checks import inputs as i
+from opsdiff.checks.base import check, near
+from opsdiff.checks.tables import PAIRS, pairs_of
 from opsdiff.functions import judge as j
 from opsdiff.functions import text as t
 
@@ -40,7 +40,7 @@ def _labelled(spark, sf_dir):
 
 _LABELLED = f"""p AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'm.x' ELSE 'm.x[' || l_suppkey || ']' END AS name,
   CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = b THEN 0 WHEN a = 0 THEN NULL ELSE (b - a) / abs(a) * 100 END AS delta
-  FROM ({_PAIRS}))"""
+  FROM ({PAIRS}))"""
 
 
 @check("evidence_line", f"""WITH {_LABELLED} SELECT {_KEYS}, CASE WHEN delta IS NOT NULL THEN name || ' Δ' || printf('%+.1f', delta) || '%'

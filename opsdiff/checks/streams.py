@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import inputs as i
-from checks.base import check, rounded
-from checks.inputs import state_diff_sql
+from opsdiff.checks import inputs as i
+from opsdiff.checks.base import check, rounded
+from opsdiff.checks.inputs import state_diff_sql
 from opsdiff.operators import windows
 from opsdiff.session import shared_dir
 from opsdiff.sources.catalog import builtin_catalog
@@ -48,7 +48,7 @@ def stream_sliding_means(spark, sf_dir):
 
 
 @check("stream_watch", f"""WITH {i.SAMPLES}, {i.CATALOG},
-base AS (SELECT host, metric, instance, avg(value) AS val FROM samples WHERE ts < {i._ts(i.HALVES.a_end)} GROUP BY ALL),
+base AS (SELECT host, metric, instance, avg(value) AS val FROM samples WHERE ts < {i.sql_ts(i.HALVES.a_end)} GROUP BY ALL),
 closed AS (SELECT host, metric, instance, time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '2024-01-03') AS start, avg(value) AS val FROM samples GROUP BY ALL),
 done AS (SELECT * FROM closed WHERE start + INTERVAL 5 DAY <= {_CLOSED}),
 means AS (SELECT coalesce(d.host, x.host) AS host, coalesce(d.metric, x.metric) AS metric, coalesce(d.instance, x.instance) AS instance,

@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import inputs as i
-from checks.base import check, near, rounded
+from opsdiff.checks import inputs as i
+from opsdiff.checks.base import check, near, rounded
 from opsdiff.functions import judge as j
 from opsdiff.operators import dedupe, diff, proc, rules, state, trend, triage, windows
 from opsdiff.operators.chunks import DAY
@@ -26,7 +26,7 @@ def diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @check("scan_window", f"WITH {i.SAMPLES} SELECT host, ts, metric, instance, value, units FROM samples "
-       f"WHERE ts >= {i._ts(i.HALVES.b_start)} AND ts < {i._ts(i.HALVES.b_end)} AND metric NOT LIKE 'site.%'")
+       f"WHERE ts >= {i.sql_ts(i.HALVES.b_start)} AND ts < {i.sql_ts(i.HALVES.b_end)} AND metric NOT LIKE 'site.%'")
 def scan_window(spark, sf_dir):
     catalog = builtin_catalog(spark)
     return windows.scan_window(
@@ -41,7 +41,7 @@ def window_means(spark, sf_dir):
 
 @check("time_weighted_means", f"""WITH {i.SAMPLES},
 held AS (SELECT *, epoch_us(coalesce(lead(ts) OVER (PARTITION BY host, metric, instance ORDER BY ts),
-                            {i._ts(i.MONTH[1])})) - epoch_us(ts) AS us FROM samples)
+                            {i.sql_ts(i.MONTH[1])})) - epoch_us(ts) AS us FROM samples)
 SELECT host, metric, instance, round(sum(value * us) / sum(us) + 3e-8, 4) AS val FROM held GROUP BY ALL""")
 def time_weighted_means(spark, sf_dir):
     return rounded(windows.time_weighted_means(i.samples(spark, sf_dir), *i.MONTH, DAY), "val")
@@ -59,7 +59,7 @@ def counter_rates(spark, sf_dir):
 
 @check("mixed_kinds", f"""WITH {i.SAMPLES}, kinds AS (SELECT *, metric LIKE '%bytes' AS counter FROM samples),
 plain AS (SELECT * FROM kinds WHERE NOT counter), {i.means_sql(i.HALVES, 'plain')},
-sided AS (SELECT *, ts >= {i._ts(i.HALVES.b_start)} AS in_b FROM kinds WHERE counter),
+sided AS (SELECT *, ts >= {i.sql_ts(i.HALVES.b_start)} AS in_b FROM kinds WHERE counter),
 steps AS (SELECT *, value - lag(value) OVER w AS dv, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us
           FROM sided WINDOW w AS (PARTITION BY host, metric, instance, in_b ORDER BY ts)),
 rates AS (SELECT host, metric, instance, units, in_b, sum(dv) / sum(us) * 1e6 AS val FROM steps WHERE dv >= 0 GROUP BY ALL)
@@ -120,7 +120,7 @@ def means_diff(spark, sf_dir):
     return rounded(rows, "a", "b", "delta_pct").drop("units")
 
 
-_PAIRS = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate,
+PAIRS = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate,
   CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity < 5 THEN 0 ELSE l_quantity - 25 END AS a,
   CASE WHEN l_tax > 0.07 THEN NULL WHEN l_tax < 0.01 THEN 0 ELSE l_extendedprice / 1000 - 25 END AS b,
   CASE l_linenumber % 3 WHEN 0 THEN 'worse_up' WHEN 1 THEN 'better_up' ELSE 'neutral' END AS polarity,
@@ -143,7 +143,7 @@ def pairs_of(spark, sf_dir):
 
 @check("judge", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(delta_pct + 3e-8, 4) AS delta_pct, exceeded, verdict,
   CASE WHEN a IS NULL AND b IS NOT NULL THEN 'new' WHEN b IS NULL AND a IS NOT NULL THEN 'gone' ELSE verdict END AS kind
-FROM (SELECT *, {i.judge_sql('threshold')} FROM ({_PAIRS}))""")
+FROM (SELECT *, {i.judge_sql('threshold')} FROM ({PAIRS}))""")
 def judge(spark, sf_dir):
     c = F.col
     verdict = j.judge(c("a"), c("b"), c("polarity"), c("threshold"), c("min_abs"))
@@ -157,7 +157,7 @@ def judge(spark, sf_dir):
 @check("change_weights", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   round(coalesce(abs(delta_pct), 1e18) + 3e-8, 4) AS triage_weight,
   round(CASE WHEN delta_pct IS NOT NULL THEN abs(delta_pct) WHEN a IS NULL OR b IS NULL THEN 1e300 ELSE 0 END + 3e-8, 4) AS display_weight
-FROM (SELECT *, {i.judge_sql('threshold')} FROM ({_PAIRS}))""")
+FROM (SELECT *, {i.judge_sql('threshold')} FROM ({PAIRS}))""")
 def change_weights(spark, sf_dir):
     delta = j.pct_change(F.col("a"), F.col("b"))
     return pairs_of(spark, sf_dir).select(
@@ -347,7 +347,7 @@ def missing_metrics(spark, sf_dir):
 
 
 @check("missing_catalog_metrics", f"""WITH {i.SAMPLES}, {i.CATALOG}, per_user AS (SELECT * REPLACE ('u' || s.user_id AS host) FROM
-  (SELECT e.user_id, x.* FROM events e, LATERAL (SELECT ({i._list(i.METRICS)})[e.event_id % {len(i.METRICS)} + 1] AS metric, '' AS host) x) s)
+  (SELECT e.user_id, x.* FROM events e, LATERAL (SELECT ({i.sql_list(i.METRICS)})[e.event_id % {len(i.METRICS)} + 1] AS metric, '' AS host) x) s)
 SELECT h.host, c.metric FROM (SELECT DISTINCT host FROM per_user) h CROSS JOIN catalog c
 EXCEPT SELECT host, metric FROM per_user""")
 def missing_catalog_metrics(spark, sf_dir):
@@ -467,7 +467,7 @@ def hosts_without_data(spark, sf_dir):
 # ---- state -----------------------------------------------------------------
 
 MID = datetime(2024, 1, 16)
-_CHANGE = "section, title, key, kind, old, new, note, section_rank"
+CHANGE = "section, title, key, kind, old, new, note, section_rank"
 
 
 def all_facts(spark, sf_dir):
@@ -477,29 +477,29 @@ def all_facts(spark, sf_dir):
     )
 
 
-_HALF_DIFF = f"WITH {i.FACTS}, " + i.state_diff_sql(
-    f"SELECT * FROM facts WHERE taken < {i._ts(MID)}", f"SELECT * FROM facts WHERE taken >= {i._ts(MID)}"
+HALF_DIFF = f"WITH {i.FACTS}, " + i.state_diff_sql(
+    f"SELECT * FROM facts WHERE taken < {i.sql_ts(MID)}", f"SELECT * FROM facts WHERE taken >= {i.sql_ts(MID)}"
 )
 
 
-@check("state_diff", _HALF_DIFF + f" SELECT host, {_CHANGE} FROM changes")
+@check("state_diff", HALF_DIFF + f" SELECT host, {CHANGE} FROM changes")
 def state_diff(spark, sf_dir):
     return state.state_diff(*all_facts(spark, sf_dir))
 
 
-@check("state_diff_skipped", _HALF_DIFF + f" SELECT host, {_CHANGE} FROM changes WHERE NOT (section = 'listen' AND host IN ('h1', 'h2'))")
+@check("state_diff_skipped", HALF_DIFF + f" SELECT host, {CHANGE} FROM changes WHERE NOT (section = 'listen' AND host IN ('h1', 'h2'))")
 def state_diff_skipped(spark, sf_dir):
     skipped = i.facts(spark, sf_dir).where((F.col("section") == "listen") & F.col("host").isin("h1", "h2"))
     return state.state_diff(*all_facts(spark, sf_dir), skipped=skipped)
 
 
-@check("change_counts", _HALF_DIFF + " SELECT host, section, title, count(*) AS total, " + ", ".join(
+@check("change_counts", HALF_DIFF + " SELECT host, section, title, count(*) AS total, " + ", ".join(
     f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in state.CHANGE_KINDS) + " FROM changes GROUP BY ALL")
 def change_counts(spark, sf_dir):
     return state.change_counts(state.state_diff(*all_facts(spark, sf_dir)))
 
 
-@check("changed", _HALF_DIFF + " SELECT DISTINCT f.host, f.host IN (SELECT host FROM changes WHERE section = 'sysctl' AND kind = 'removed') AS changed FROM facts f")
+@check("changed", HALF_DIFF + " SELECT DISTINCT f.host, f.host IN (SELECT host FROM changes WHERE section = 'sysctl' AND kind = 'removed') AS changed FROM facts f")
 def changed(spark, sf_dir):
     changes = state.state_diff(*all_facts(spark, sf_dir)).where("section = 'sysctl' AND kind = 'removed'")
     return state.changed(changes, i.facts(spark, sf_dir).select("host").distinct())
@@ -522,7 +522,7 @@ def latest_snapshot(spark, sf_dir):
     return state.latest(per_hour_headers(spark, sf_dir))
 
 
-@check("snapshot_asof", f"WITH {_HEADERS} SELECT host, max(taken) AS taken FROM headers WHERE taken <= {i._ts(MID)} GROUP BY host")
+@check("snapshot_asof", f"WITH {_HEADERS} SELECT host, max(taken) AS taken FROM headers WHERE taken <= {i.sql_ts(MID)} GROUP BY host")
 def snapshot_asof(spark, sf_dir):
     return state.snapshot_asof(per_hour_headers(spark, sf_dir), MID)
 
@@ -558,24 +558,24 @@ def consecutive_pairs(spark, sf_dir):
     return state.consecutive_pairs(per_hour_headers(spark, sf_dir))
 
 
-@check("consecutive_diff", f"WITH {i.FACTS}, {i.CONSECUTIVE} SELECT host, a_taken, b_taken, {_CHANGE} FROM changes")
+@check("consecutive_diff", f"WITH {i.FACTS}, {i.CONSECUTIVE} SELECT host, a_taken, b_taken, {CHANGE} FROM changes")
 def consecutive_diff(spark, sf_dir):
     return state.consecutive_diff(i.facts(spark, sf_dir))
 
 
-_CHOSEN = """headers AS (SELECT DISTINCT host, taken FROM facts), last AS (SELECT host, max(taken) AS b_taken FROM headers GROUP BY host),
+CHOSEN = """headers AS (SELECT DISTINCT host, taken FROM facts), last AS (SELECT host, max(taken) AS b_taken FROM headers GROUP BY host),
 pairs AS (SELECT h.host, coalesce(max(taken) FILTER (WHERE taken <= b_taken - INTERVAL 7 DAY), min(taken)) AS a_taken, b_taken
           FROM headers h JOIN last l ON h.host = l.host WHERE taken < b_taken GROUP BY h.host, b_taken), """ + i.state_diff_sql(
     "SELECT f.* FROM facts f JOIN pairs p ON f.host = p.host AND f.taken = p.a_taken",
     "SELECT f.* FROM facts f JOIN pairs p ON f.host = p.host AND f.taken = p.b_taken")
 
 
-@check("state_report", f"WITH {i.FACTS}, {_CHOSEN} SELECT p.a_taken, p.b_taken, c.* FROM changes c JOIN pairs p ON c.host = p.host")
+@check("state_report", f"WITH {i.FACTS}, {CHOSEN} SELECT p.a_taken, p.b_taken, c.* FROM changes c JOIN pairs p ON c.host = p.host")
 def state_report(spark, sf_dir):
     return reports.state_report(i.facts(spark, sf_dir), since=timedelta(days=7)).changes
 
 
-@check("summary_line", f"""WITH {i.FACTS}, {_CHOSEN} SELECT host, '[2024-01-31] ' || count(*) || ' changes: +' ||
+@check("summary_line", f"""WITH {i.FACTS}, {CHOSEN} SELECT host, '[2024-01-31] ' || count(*) || ' changes: +' ||
   count(*) FILTER (WHERE kind = 'added') || ' added ~' || count(*) FILTER (WHERE kind = 'modified') || ' modified -' ||
   count(*) FILTER (WHERE kind = 'removed') || ' removed' AS line FROM changes GROUP BY host
 UNION ALL SELECT 'quiet', '[2024-01-31] no change'""")
@@ -639,7 +639,7 @@ def volatile_keys(spark, sf_dir):
 
 # ---- trend -----------------------------------------------------------------
 
-_BUCKET = f"time_bucket(INTERVAL 15 MINUTE, ts, {i._ts(i.MONTH[0])})"
+_BUCKET = f"time_bucket(INTERVAL 15 MINUTE, ts, {i.sql_ts(i.MONTH[0])})"
 
 
 @check("trend", f"""WITH {i.SAMPLES}, {i.PRESETS} SELECT host, metric, instance, {_BUCKET} AS bucket, round(avg(value) + 3e-8, 4) AS value
@@ -660,7 +660,7 @@ def trend_last(spark, sf_dir):
   SELECT host, metric, instance, {_BUCKET} AS bucket, avg(value) AS value
   FROM samples WHERE metric IN (SELECT metric FROM presets WHERE preset = 'net') GROUP BY ALL),
 grid AS (SELECT s.*, g.bucket FROM (SELECT DISTINCT host, metric, instance FROM points) s,
-         generate_series({i._ts(i.MONTH[0])}, TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE) g(bucket))
+         generate_series({i.sql_ts(i.MONTH[0])}, TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE) g(bucket))
 SELECT g.host, g.metric, g.instance, g.bucket, round(p.value + 3e-8, 4) AS value FROM grid g LEFT JOIN points p USING (host, metric, instance, bucket)""")
 def trend_grid(spark, sf_dir):
     step = trend.trend_step(*i.MONTH)

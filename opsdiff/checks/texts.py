@@ -6,9 +6,9 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from checks import inputs as i
-from checks import tables
-from checks.base import check, near
+from opsdiff.checks import inputs as i
+from opsdiff.checks import tables
+from opsdiff.checks.base import check, near
 from opsdiff.operators import facts as etl
 from opsdiff.plans import reports, text_reports
 from opsdiff.session import shared_dir
@@ -35,7 +35,7 @@ def file_captures(spark, sf_dir):
     )
 
 
-@check("file_facts", f"""WITH x AS (SELECT 'd' || doc_id AS host, doc_id % {len(_FILES)} AS k, ({i._list(_FILES)})[doc_id % {len(_FILES)} + 1] AS path,
+@check("file_facts", f"""WITH x AS (SELECT 'd' || doc_id AS host, doc_id % {len(_FILES)} AS k, ({i.sql_list(_FILES)})[doc_id % {len(_FILES)} + 1] AS path,
   sha256(text)[1:24] AS value FROM documents)
 SELECT host, CASE WHEN k < 2 THEN 'cron' WHEN k < 4 THEN 'configs' WHEN k < 6 THEN 'security' WHEN k = 6 THEN 'network' ELSE 'storage' END AS section,
   CASE k WHEN 4 THEN 'sudoers.hash' WHEN 5 THEN 'authorized_keys:' || path WHEN 6 THEN 'hosts.hash' WHEN 7 THEN 'fstab.hash' ELSE path END AS key, value
@@ -111,7 +111,7 @@ def listing_captures(spark, sf_dir):
 
 
 def _sql_filled(form: str) -> str:
-    text = i._text(form)
+    text = i.sql_text(form)
     for mark, column in [("{k}", "o_orderkey"), ("{c}", "o_custkey"), ("{s}", "o_orderstatus")]:
         text = text.replace(mark, f"' || {column} || '")
     return f"({text})"
@@ -218,7 +218,7 @@ def snapshot_bodies(spark, sf_dir):
     return facts.groupBy("host", "section", "key").agg(F.count("*").alias("n"), F.max("value").alias("value"))
 
 
-@check("verify_report", tables._HALF_DIFF + f" SELECT host, {tables._CHANGE} FROM changes")
+@check("verify_report", tables.HALF_DIFF + f" SELECT host, {tables.CHANGE} FROM changes")
 def verify_report(spark, sf_dir):
     # The baseline of the first half is replaced once; the facts differ from day to day,
     # so one moment per host stands for the whole capture.
@@ -241,7 +241,7 @@ def _week(spark, sf_dir):
     return reports.state_report(i.facts(spark, sf_dir), since=timedelta(days=7), keep=keep)
 
 
-@check("state_lines", f"""WITH {i.FACTS}, {tables._CHOSEN} SELECT host, CASE kind WHEN 'added' THEN '  + ' || key || ' = ' || new || '  ' || note
+@check("state_lines", f"""WITH {i.FACTS}, {tables.CHOSEN} SELECT host, CASE kind WHEN 'added' THEN '  + ' || key || ' = ' || new || '  ' || note
   WHEN 'removed' THEN '  - ' || key || '  (was ' || old || ')' ELSE '  ~ ' || key || ': ' || old || ' → ' || new END AS line FROM changes
 UNION ALL SELECT host, '== ' || title || ' ==  (' || count(*) || ')' FROM changes GROUP BY host, section, title
 UNION ALL SELECT host, '' FROM changes GROUP BY host, section, title
@@ -251,7 +251,7 @@ def state_lines(spark, sf_dir):
     return text_reports.state_lines(_week(spark, sf_dir)).select("host", "line")
 
 
-@check("markdown_lines", f"""WITH {i.FACTS}, {tables._CHOSEN}, c AS (SELECT * REPLACE (
+@check("markdown_lines", f"""WITH {i.FACTS}, {tables.CHOSEN}, c AS (SELECT * REPLACE (
     translate(CASE WHEN strlen(old) > 60 THEN left(old, 57) || '...' ELSE old END, '|`', '  ') AS old,
     translate(CASE WHEN strlen(new) > 60 THEN left(new, 57) || '...' ELSE new END, '|`', '  ') AS new) FROM changes)
 SELECT host, CASE kind WHEN 'added' THEN '| 🟢 | `' || key || '` | added = `' || new || '` |'
@@ -288,7 +288,7 @@ def proc_lines(spark, sf_dir):
     return written(spark, report, lambda r: text_reports.proc_lines(r, now), "proc-lines")
 
 
-@check("report_json", tables.i.DIFF + """SELECT 'rows' AS part, host, metric, instance, verdict, a IS NULL AS no_a FROM rows_""")
+@check("report_json", i.DIFF + """SELECT 'rows' AS part, host, metric, instance, verdict, a IS NULL AS no_a FROM rows_""")
 def report_json_rows(spark, sf_dir):
     lines = report_json.json_rows(tables.diff_rows(spark, sf_dir), "rows")
     parsed = F.from_json("json", "host STRING, metric STRING, instance STRING, verdict STRING, a DOUBLE")

@@ -263,3 +263,9 @@ def test_missing_metrics(spark, catalog):
     got = dedupe.missing_catalog_metrics(data, catalog, hosts)
     assert tuples(got.where("host = 'h1'"), "metric") == sorted((m,) for m in catalog.names[:2])
     assert got.where("host = 'h2'").count() == 0 and got.where("host = 'h3'").count() == 146
+
+
+def test_copies_of_a_sample_change_nothing_in_rates(spark):
+    once = [("h", "10:00", LOAD, "", 5.0), ("h", "10:10", LOAD, "", 11.0), ("h", "10:20", LOAD, "", 11.0)]
+    rate = lambda data: tuples(windows.counter_rates(samples(spark, data)), "val")
+    assert rate(once) == rate(once * 40) == [(0.005,)]

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from checks.compare import connect, rows_of_spark, rows_of_sql
+from opsdiff.checks.compare import connect, rows_of_spark, rows_of_sql
 
 SF_DIR = "/root/testdata/sf0.001"
 
