@@ -57,6 +57,10 @@ class Pieces:
     first: np.ndarray     # whether a piece starts a word
     size: int
 
+    def arrays(self) -> tuple:
+        """What the executors get: arrays only, so that they need not have this module."""
+        return self.hashes, self.ids, self.byte_ids, self.first, self.size
+
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -218,10 +222,10 @@ def learn_pieces(words: DataFrame, types: np.ndarray, pieces: Pieces, rounds: in
     spark = words.sparkSession
     scores, stop = normalised(np.ones((len(types), pieces.size)), types, pieces, prior)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((scores, pieces))
+        sent = spark.sparkContext.broadcast((scores, pieces.arrays()))
 
         def estimate(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            now, these = sent.value
+            now, these = sent.value[0], Pieces(*sent.value[1])
             into = np.zeros(now.shape)
             for batch in _gathered(batches):
                 text = batch.column(0).to_pylist()
@@ -328,7 +332,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
     all_tokens, distinct = int(tokens.sum() + ends.sum()), (sums["v"] or 0) + (ends.sum() > 0)
 
     scores, stop = learn_pieces(vocabulary.where(total > 0), types, pieces, rounds)
-    sent = spark.sparkContext.broadcast((scores, stop, pieces))
+    sent = spark.sparkContext.broadcast((scores, stop, pieces.arrays()))
     all_of = tokens + ends
     # A class without training rows spells everything and ends after every second token.
     spelled = np.where(all_of > 0, DISCOUNT * types / np.maximum(all_of, 1), 0.5)
@@ -337,7 +341,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
         share = np.log10((ends + 1e-6) / (ends + 1e-6).sum())
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, halt, these = sent.value
+        now, halt, these = *sent.value[:2], Pieces(*sent.value[2])
         for batch in _gathered(batches):
             counts = _by_class(batch.column(1), n_classes).T
             way = lattice_scores(batch.column(0).to_pylist(), now, halt, these) + np.log(spelled)[:, None]
