@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.llm import fingerprints, lattice, mixing
+from opsdiff.llm import fingerprints, html_text, lattice, mixing, toxicity
 from opsdiff.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -28,6 +32,15 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = documents.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lattice.held_out(F.col("doc_id"))
     rows = lattice.score(table(spark, sf_dir, "documents"), ~held, lattice.read_pieces())
@@ -38,7 +51,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_html_extraction": op5_html_extraction,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op8_toxicity": op8_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
