@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.llm import fingerprints, html_text, lattice, mixing, toxicity
+from opsdiff.llm import fingerprints, html_text, lattice, mixing, ngram_join, toxicity
 from opsdiff.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lattice.held_out(F.col("doc_id"))
     rows = lattice.score(table(spark, sf_dir, "documents"), ~held, lattice.read_pieces())
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_toxicity": op8_toxicity,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
