@@ -117,7 +117,9 @@ def edited_fingerprints(documents: DataFrame, k: int = SHINGLE, fraction: float
     one id the part and sketch that sort first are used.  Rows without doc_id have no next
     document: nothing replaces the end of their text, near_next is their likeness to ''.
     """
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins below start from the same rows, so that the texts are shuffled once.
+    docs = every.where("doc_id is not null")
     parts = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ids = documents.select("doc_id")
     pairs = stored(successors(ids, parts), "next-ids")
@@ -133,9 +135,9 @@ def edited_fingerprints(documents: DataFrame, k: int = SHINGLE, fraction: float
     )
     head = F.col("text").substr(F.lit(1), (F.length("text") - F.floor(F.length("text") / 4)).cast("int"))
     tail = F.substring(F.coalesce(F.col("tail"), F.lit("")), F.lit(1), F.floor(F.length("text") / 4).cast("int"))
+    linked = docs.join(given, "doc_id", "left").unionByName(every.where("doc_id is null"), allowMissingColumns=True)
     return (
-        docs.join(given, "doc_id", "left")
-        .withColumn("edited", F.concat(head, tail))
+        linked.withColumn("edited", F.concat(head, tail))
         .select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited",
                 sketch(F.col("text"), k, fraction).alias("sketch"), sketch(F.col("edited"), k, fraction).alias("edited_sketch"),
                 F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
