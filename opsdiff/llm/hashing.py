@@ -67,8 +67,11 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def words(text: pa.Array, inside: np.ndarray = SPACES) -> Words:
-    """Words of string texts, A-Z folded; a null text has none.  No word runs over two texts."""
+def words(text: pa.Array, inside: np.ndarray = SPACES, latin: bool = False) -> Words:
+    """Words of string texts, A-Z folded; a null text has none.  No word runs over two texts.
+
+    latin: the letters À to Þ are folded, too, which UTF-8 writes as one byte and a second.
+    """
     with np.errstate(over="ignore"):
         text = text.cast(pa.string())
         n = len(text)
@@ -77,6 +80,11 @@ def words(text: pa.Array, inside: np.ndarray = SPACES) -> Words:
         data = np.frombuffer(buffers[2], np.uint8)[offsets[0]:offsets[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
         offsets -= offsets[0]
         data = _FOLD[data]
+        if latin and len(data):
+            second = (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+            second[1:] &= data[:-1] == 0xC3
+            second[0] = False
+            data[second] += 0x20
         mask = inside[data]
         if text.null_count:  # bytes below a null are undefined
             for r in np.flatnonzero(text.is_null().to_numpy(zero_copy_only=False)):

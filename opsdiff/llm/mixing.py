@@ -56,56 +56,54 @@ def uniform(seed: int, *columns: str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def mix(documents: DataFrame, sources: DataFrame, seed: int = 17, merit: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, sources: DataFrame, seed: int = 17, merit: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Adds source_size, target and copies (long) to documents(doc_id, source, size).
 
-    sources has (source, source_size, target).  A null source is a source of its own.
+    sources has (source, source_size, target).  sizes: the same rows without wide columns,
+    for the counts; the documents are then read once.  A null source is a source of its own.
     Repeated rows are documents of their own and share a rank, ties are cut in the order
     of size, doc_id and text_key if there is one.  An empty document (size 0) is never taken.
     merit: a positive column; expected copies of a document are in proportion to it.
     Where that would go past ceil(target / source size) the copies stop there.
     """
     n_sources = sources.count()
-    rows = documents.join(
-        sized_broadcast(sources.select(F.col("source").alias("_s"), "source_size", "target"), n_sources, BROADCAST_SOURCES),
-        F.col("source").eqNullSafe(F.col("_s")),
-    )
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    if merit:
-        mean = documents.groupBy(F.col("source").alias("_m")).agg(
-            (F.sum(F.col(merit) * F.col("size")) / F.sum("size")).alias("_mean")
-        )
-        rows = rows.join(sized_broadcast(mean, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_m"))).drop("_m")
-        expected = F.least(ratio * F.col(merit) / F.col("_mean"), F.ceil(ratio).cast("double"))
-    else:
-        expected = ratio
-    rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
-    u = uniform(seed, "doc_id")
-    # Random odds over inclusion odds, brought to (0, 1): q/(1+q) keeps the order.
-    odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
-    rows = rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
-
-    counts = rows.groupBy("_s").agg(
+    narrow = documents if sizes is None else sizes
+
+    def beside(rows: DataFrame, per_source: DataFrame, source: str, how: str = "inner") -> DataFrame:
+        per_source = sized_broadcast(per_source, n_sources, BROADCAST_SOURCES)
+        return rows.join(per_source, rows["source"].eqNullSafe(per_source[source]), how)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        rows = beside(rows, sources.select(F.col("source").alias("_s"), "source_size", "target"), "_s")
+        expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        if merit:
+            mean = narrow.groupBy(F.col("source").alias("_m")).agg((F.sum(F.col(merit) * F.col("size")) / F.sum("size")).alias("_mean"))
+            rows = beside(rows, mean, "_m").drop("_m")
+            expected = F.least(expected * F.col(merit) / F.col("_mean"), F.ceil(expected).cast("double"))
+        rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
+        # Random odds over inclusion odds, brought to (0, 1): q/(1+q) keeps the order.
+        u = uniform(seed, "doc_id")
+        odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
+        return rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
+
+    counts = ranked(narrow).groupBy("_s").agg(
         F.count("_rank").alias("_n"), F.sum(F.col("_whole") * F.col("size")).alias("_certain"), F.max("target").alias("_t")
-    ).select("_s", (F.col("_t") - F.col("_certain")).alias("_wanted"),
+    ).select(F.col("_s").alias("_c"), (F.col("_t") - F.col("_certain")).alias("_wanted"),
              F.greatest(F.lit(1), F.ceil(F.col("_n") / ROWS_PER_BIN) * 2).cast("long").alias("_bins"))
     counts = stored(counts, "mix-counts")
-    rows = rows.join(
-        sized_broadcast(counts.withColumnRenamed("_s", "_c"), n_sources, BROADCAST_SOURCES),
-        F.col("_s").eqNullSafe(F.col("_c")),
-    ).withColumn("_bin", F.least(F.floor(F.col("_rank") * F.col("_bins")), F.col("_bins") - 1))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return beside(ranked(rows), counts, "_c").withColumn("_bin", F.least(F.floor(F.col("_rank") * F.col("_bins")), F.col("_bins") - 1))
 
     # The bin in which the words wanted are reached, for each source.
-    bins = rows.where(F.col("_rank").isNotNull()).groupBy("_s", "_bin").agg(
+    bins = binned(narrow).where(F.col("_rank").isNotNull()).groupBy("_s", "_bin").agg(
         F.sum("size").alias("_words"), F.max("_wanted").alias("_wanted")
     )
     upto = Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("_after", F.sum("_words").over(upto)).withColumn("_before", F.col("_after") - F.col("_words"))
     edge = bins.where((F.col("_before") < F.col("_wanted")) & (F.col("_after") >= F.col("_wanted")))
     edge = stored(edge.select(F.col("_s").alias("_b"), F.col("_bin").alias("_edge"), "_before"), "mix-edges")
-    rows = rows.join(
-        sized_broadcast(edge, n_sources, BROADCAST_SOURCES), F.col("_s").eqNullSafe(F.col("_b")), "left"
-    )
+    rows = beside(binned(documents), edge, "_b", "left")
     ties = ["size", "doc_id"] + [c for c in ("text_key",) if c in documents.columns]
     inside = rows.where(F.col("_bin") == F.col("_edge"))
     run = Window.partitionBy("_s").orderBy("_rank", *ties)
@@ -164,3 +162,14 @@ def mixed_sizes(documents: DataFrame, share: float = 1.5, most: float = 2.0,
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(stored(ranked_weights(per_source), "mix-weights"), share, most), "mix-targets")
     return mix(sizes, targets, seed)
+
+
+def mixed_documents(documents: DataFrame, share: float = 1.5, most: float = 2.0,
+                    weights: tuple[float, ...] = (5.0, 2.0, 1.0), seed: int = 17) -> DataFrame:
+    """The documents the mix takes, all columns, and copies: how often each is taken."""
+    wide = documents.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
+    sizes = stored(wide.drop("row"), "mix-sizes")
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = stored(source_targets(stored(ranked_weights(per_source), "mix-weights"), share, most), "mix-targets")
+    taken = mix(wide, targets, seed, sizes=sizes).where("copies > 0")
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in documents.columns if c != "copies"], "copies")

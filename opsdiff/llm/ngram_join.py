@@ -278,3 +278,23 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     ).unionByName(rows.where("n = 0").select(
         "doc_id", "key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")
     ))
+
+
+def one_of_each(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """The documents, all columns, with one of each group: the smallest doc_id's.
+
+    Of equal rows one stays; documents without words all stay.
+    """
+    joined = stored(join(documents, k, percent).select("key", "doc_id", "component"), "join-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    grouped = joined.where("component is not null")
+    best = grouped.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.key").alias("key"))
+    times = grouped.groupBy("key").agg(F.count("*").alias("times"))
+    # Documents that go, and those that stay although their rows are repeated.
+    gone = times.join(best, "key", "left_anti").select("key", F.lit(False).alias("stays"))
+    again = times.where("times > 1").join(best, "key").select("key", F.lit(True).alias("stays"))
+    special = stored(gone.unionByName(again), "join-special")
+    rows = documents.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row")).join(special, "key", "left")
+    once = rows.where("stays").dropDuplicates(["key"])
+    every = rows.where("stays is null").unionByName(once)
+    return every.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

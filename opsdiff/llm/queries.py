@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.llm import fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, toxicity
+from opsdiff.llm import decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, toxicity
 from opsdiff.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -36,6 +40,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
@@ -58,10 +66,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scoring": op10_lm_scoring,
