@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.llm import decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, toxicity
+from opsdiff.llm import decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, secrets, toxicity
 from opsdiff.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = ~toxicity.held_out(F.col("doc_id"))  # the same quarter of the documents stays unseen
+    found = secrets.scan(table(spark, sf_dir, "documents"), train=train)
+    return found.select(
+        "doc_id", "place", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("length"),
+        "label", "probability", "secret",
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summarise(table(spark, sf_dir, "documents"))
 
@@ -68,6 +77,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_secret_scan": op3_secret_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_document_fingerprints": op6_document_fingerprints,
