@@ -382,8 +382,8 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
                 cuts = np.searchsorted(rest_of, np.arange(n + 1)).astype(np.int32)
                 yield pa.record_batch([
                     batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), pa.array(np.bincount(row, minlength=n)),
-                    pa.array(np.bincount(of, known[at], minlength=n).astype(np.int64)), pa.array(np.bincount(of, base_logs[at], minlength=n)),
-                    pa.array(by_class[best, np.arange(n)]), pa.ListArray.from_arrays(pa.array(cuts), rest),
+                    pa.array(np.bincount(of, known[at], minlength=n).astype(np.int64)), pa.array(np.bincount(of, base_logs[at], minlength=n).astype(float)),
+                    pa.array(by_class[best, np.arange(n)].astype(float)), pa.ListArray.from_arrays(pa.array(cuts), rest),
                 ], names=["key", "doc_id", "class", "n", "known", "base", "logs", "rest"])
 
     id_type = dict(docs.dtypes)["doc_id"]

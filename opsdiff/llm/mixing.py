@@ -80,7 +80,7 @@ def mix(documents: DataFrame, sources: DataFrame, seed: int = 17, merit: str | N
             mean = narrow.groupBy(F.col("source").alias("_m")).agg((F.sum(F.col(merit) * F.col("size")) / F.sum("size")).alias("_mean"))
             rows = beside(rows, mean, "_m").drop("_m")
             expected = F.least(expected * F.col(merit) / F.col("_mean"), F.ceil(expected).cast("double"))
-        rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
+        rows = rows.withColumn("_e", expected).withColumn("_whole", F.when(F.col("size") > 0, F.floor("_e")).otherwise(0)).withColumn("_p", F.col("_e") - F.col("_whole"))
         # Random odds over inclusion odds, brought to (0, 1): q/(1+q) keeps the order.
         u = uniform(seed, "doc_id")
         odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
