@@ -150,16 +150,15 @@ def parse_when(spark, sf_dir):
     )
 
 
-@check("parse_duration", """SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN user_id * 3600.0::DOUBLE WHEN 1 THEN 5400.0 + user_id WHEN 2 THEN user_id / 1000.0
-  ELSE NULL END + 3e-8, 4) AS seconds FROM events WHERE user_id > 0""")
+@check("parse_duration", """SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN nullif(user_id, 0) * 3600.0::DOUBLE WHEN 1 THEN 5400.0 + user_id
+  WHEN 2 THEN nullif(user_id, 0) / 1000.0 ELSE NULL END + 3e-8, 4) AS seconds FROM events""")
 def parse_duration(spark, sf_dir):
     user = F.col("user_id").cast("string")
     texts = F.array(
         F.concat(user, F.lit("h")), F.concat(F.lit("1h30m"), user, F.lit("s")),
         F.concat(user, F.lit("ms")), user, F.concat(F.lit("-"), user, F.lit("s")),
     )
-    events = i.table(spark, sf_dir, "events").where("user_id > 0")
-    return events.select(
+    return i.table(spark, sf_dir, "events").select(
         "event_id",
         near(t.duration_seconds(F.get(texts, (F.col("event_id") % 5).cast("int")))).alias("seconds"),
     )

@@ -334,16 +334,17 @@ def compare_report(spark, sf_dir):
 # ---- distinct, duplicates, coverage ----------------------------------------
 
 
-@check("missing_metrics", f"""WITH {i.SAMPLES}, {i.PRESETS},
-sparse AS (SELECT * FROM samples WHERE strpos(metric, substr(host, 2)) = 0 AND NOT (host = 'h1' AND metric LIKE '%some%'))
-SELECT h.host, p.metric FROM (SELECT DISTINCT host FROM sparse) h CROSS JOIN (SELECT DISTINCT metric FROM presets) p
-EXCEPT SELECT host, metric FROM sparse""")
+@check("missing_metrics", f"""WITH {i.PRESETS}, per_user AS (SELECT 'u' || user_id AS host, ({i.sql_list(i.METRICS)})[event_id % {len(i.METRICS)} + 1] AS metric FROM events)
+SELECT h.host, p.metric FROM (SELECT DISTINCT host FROM per_user) h CROSS JOIN (SELECT DISTINCT metric FROM presets) p
+EXCEPT SELECT host, metric FROM per_user""")
 def missing_metrics(spark, sf_dir):
-    host, metric = F.col("host"), F.col("metric")
-    sparse = i.samples(spark, sf_dir).where(
-        ~metric.contains(F.substring("host", 2, 9)) & ~((host == "h1") & metric.contains("some"))
+    # A host for each user: no user has all metrics.
+    names = F.array(*[F.lit(m) for m in i.METRICS])
+    per_user = i.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), "ts",
+        F.get(names, (F.col("event_id") % len(i.METRICS)).cast("int")).alias("metric"), F.lit("").alias("instance"), "value",
     )
-    return trend.trend_missing(sparse, builtin_catalog(spark).presets, *i.MONTH)
+    return trend.trend_missing(per_user, builtin_catalog(spark).presets, *i.MONTH)
 
 
 @check("missing_catalog_metrics", f"""WITH {i.SAMPLES}, {i.CATALOG}, per_user AS (SELECT * REPLACE ('u' || s.user_id AS host) FROM
@@ -470,16 +471,24 @@ MID = datetime(2024, 1, 16)
 CHANGE = "section, title, key, kind, old, new, note, section_rank"
 
 
-def all_facts(spark, sf_dir):
+def half_facts(spark, sf_dir):
+    """The facts before MID and from MID on, many snapshots of a host in either half."""
     facts = i.facts(spark, sf_dir)
     return facts.where(F.col("taken") < F.lit(str(MID)).cast("timestamp_ntz")), facts.where(
         F.col("taken") >= F.lit(str(MID)).cast("timestamp_ntz")
     )
 
 
-HALF_DIFF = f"WITH {i.FACTS}, " + i.state_diff_sql(
-    f"SELECT * FROM facts WHERE taken < {i.sql_ts(MID)}", f"SELECT * FROM facts WHERE taken >= {i.sql_ts(MID)}"
-)
+def all_facts(spark, sf_dir):
+    """One snapshot per host and side: the newest of either half."""
+    return tuple(f.join(state.latest(f), ["host", "taken"], "left_semi") for f in half_facts(spark, sf_dir))
+
+
+def _newest_of(half: str) -> str:
+    return f"SELECT * FROM facts WHERE (host, taken) IN (SELECT (host, max(taken)) FROM facts WHERE {half} GROUP BY host)"
+
+
+HALF_DIFF = f"WITH {i.FACTS}, " + i.state_diff_sql(_newest_of(f"taken < {i.sql_ts(MID)}"), _newest_of(f"taken >= {i.sql_ts(MID)}"))
 
 
 @check("state_diff", HALF_DIFF + f" SELECT host, {CHANGE} FROM changes")
@@ -499,22 +508,21 @@ def change_counts(spark, sf_dir):
     return state.change_counts(state.state_diff(*all_facts(spark, sf_dir)))
 
 
-@check("changed", HALF_DIFF + " SELECT DISTINCT f.host, f.host IN (SELECT host FROM changes WHERE section = 'sysctl' AND kind = 'removed') AS changed FROM facts f")
+@check("changed", HALF_DIFF + " SELECT DISTINCT f.host, f.host IN (SELECT host FROM changes) AS changed FROM facts f")
 def changed(spark, sf_dir):
-    changes = state.state_diff(*all_facts(spark, sf_dir)).where("section = 'sysctl' AND kind = 'removed'")
+    changes = state.state_diff(*all_facts(spark, sf_dir))
     return state.changed(changes, i.facts(spark, sf_dir).select("host").distinct())
 
 
 def per_hour_headers(spark, sf_dir):
-    """Snapshot headers: one per user and hour in which the user had an error."""
-    events = i.table(spark, sf_dir, "events").where("event_type = 'error'")
-    return events.select(
+    """Snapshot headers: one per user and hour in which the user had an event."""
+    return i.table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("taken"),
     ).distinct()
 
 
-_HEADERS = "headers AS (SELECT DISTINCT 'u' || user_id AS host, date_trunc('hour', ts)::TIMESTAMP AS taken FROM events WHERE event_type = 'error')"
+_HEADERS = "headers AS (SELECT DISTINCT 'u' || user_id AS host, date_trunc('hour', ts)::TIMESTAMP AS taken FROM events)"
 
 
 @check("latest_snapshot", f"WITH {_HEADERS} SELECT host, max(taken) AS taken FROM headers GROUP BY host")

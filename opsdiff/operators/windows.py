@@ -64,6 +64,24 @@ def bad_windows(windows: DataFrame, max_days: int = MAX_WINDOW_DAYS) -> DataFram
     )
 
 
+def checked_span(windows: DataFrame) -> tuple[datetime | None, datetime | None]:
+    """From the first start to the last end of a per-host window table, (None, None) without rows.
+
+    Raises ValueError if check_windows would reject a row.
+    """
+    def good(side: str) -> Column:
+        return F.col(f"{side}_end") > F.col(f"{side}_start")
+
+    bad = ~F.coalesce(good("a") & good("b") & F.col("threshold_pct").between(0, 10000), F.lit(False))
+    row = windows.agg(
+        F.min(F.least("a_start", "b_start")).alias("lo"), F.max(F.greatest("a_end", "b_end")).alias("hi"),
+        F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("host"))).alias("host"),
+    ).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} hosts, {row['host']!r} among them, have a window that ends before it starts or a threshold outside 0..10000")
+    return row["lo"], row["hi"]
+
+
 def time_literal(df: DataFrame, column: str, value: datetime) -> Column:
     """A literal of the column's own timestamp type, so that the filter reaches the scan."""
     return F.lit(value.isoformat(sep=" ")).cast(df.schema[column].dataType)
@@ -249,15 +267,12 @@ def paired_means(
     if metrics is not None:
         samples = samples.where(F.col("metric").isin(metrics))
     if isinstance(windows, DataFrame):
-        # The span of all windows cuts the scan; the few rows per host meet the
-        # samples by broadcast, or by a shuffle when there are very many hosts.
+        # The span of all windows cuts the scan, day folders included; the few rows per host
+        # meet the samples by broadcast, or by a shuffle when there are very many hosts.
         ts = F.col("ts")
-        span = windows.select(
-            F.least("a_start", "b_start").alias("lo"), F.greatest("a_end", "b_end").alias("hi")
-        )
-        scanned = samples.where(
-            (ts >= span.agg(F.min("lo")).scalar()) & (ts < span.agg(F.max("hi")).scalar())
-        ).join(broadcast_if_small(windows), "host")
+        lo, hi = checked_span(windows)
+        inside = day_filter(samples, lo, hi) & between(samples, lo, hi) if lo else F.lit(False)
+        scanned = samples.where(inside).join(broadcast_if_small(windows), "host")
         in_a = (ts >= F.col("a_start")) & (ts < F.col("a_end"))
         in_b = (ts >= F.col("b_start")) & (ts < F.col("b_end"))
         keys, chunk = [*SERIES, "threshold_pct"], HOUR
@@ -273,7 +288,7 @@ def paired_means(
         chunk = chunk_for(max(windows.a_end - windows.a_start, windows.b_end - windows.b_start))
     scanned = scanned.where(in_a | in_b)
     if "kind" in samples.columns:
-        is_counter = F.col("kind") == "counter"
+        is_counter = F.coalesce(F.col("kind") == "counter", F.lit(False))
         means = _paired_instants(scanned.where(~is_counter), in_a, in_b, keys).unionByName(
             _paired_counters(scanned.where(is_counter), in_a, in_b, keys, chunk)
         )

@@ -159,9 +159,10 @@ def verify_start(facts: DataFrame, path: str, name: str | None = None, now: date
 
 
 def verify_report(spark: SparkSession, name: str, after: DataFrame, path: str) -> StateReport:
-    """What changed since the named baseline."""
+    """What changed since the named baseline; of a history the newest snapshot of each host counts."""
     before = load_marker(spark, name, path)
+    newest = latest(after)
     pairs = latest(before).withColumnRenamed("taken", "a_taken").join(
-        latest(after).withColumnRenamed("taken", "b_taken"), "host"
+        newest.withColumnRenamed("taken", "b_taken"), "host"
     )
-    return _state_report(state_diff(before, after), pairs)
+    return _state_report(state_diff(before, after.join(newest, ["host", "taken"], "left_semi")), pairs)

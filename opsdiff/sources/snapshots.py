@@ -8,7 +8,9 @@ needs.  Snapshot bodies in JSON can be read as well.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +36,18 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_snapshots(bodies: DataFrame, body: str = "value") -> DataFrame:
-    """(host, taken, sections) from JSON bodies; a body that is no snapshot is dropped."""
+    """(host, taken, sections) from JSON bodies; see rejected_bodies for those that are no snapshot."""
     parsed = bodies.select(F.from_json(body, SNAPSHOT_JSON).alias("s")).select("s.*")
     return parsed.where(F.col("taken").isNotNull()).withColumn(
         "taken", F.date_trunc("second", "taken")
     )
 
 
+def rejected_bodies(bodies: DataFrame, body: str = "value") -> DataFrame:
+    """The rows whose body is no snapshot, all columns: with parse_snapshots every body is in one table."""
+    return bodies.where(F.from_json(body, SNAPSHOT_JSON)["taken"].isNull())
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots from files with one JSON body per line."""
     return parse_snapshots(spark.read.text(path, lineSep="\n"))
@@ -69,33 +76,31 @@ def explode_sections(snapshots: DataFrame) -> DataFrame:
 # ---- named baselines -------------------------------------------------------
 
 
+def _marker_path(name: str, path: str) -> str:
+    # A folder of its own for each name, spelled so that no two names share one.
+    return f"{path.rstrip('/')}/{quote(name, safe='')}.marker"
+
+
 def save_marker(name: str, facts: DataFrame, path: str) -> None:
-    """Stores facts as the baseline ``name``, replacing an earlier one of that name."""
-    (
-        facts.withColumn("name", F.lit(name))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("name").parquet(path)
-    )
+    """Stores facts as the baseline ``name``, replacing an earlier one of that name, also by none."""
+    facts.write.mode("overwrite").parquet(_marker_path(name, path))
 
 
-def latest_marker(markers: DataFrame) -> DataFrame:
-    """Of every marker name and host the facts of the newest baseline only."""
-    newest = markers.groupBy("name", "host").agg(F.max("taken").alias("taken"))
-    return markers.join(newest, ["name", "host", "taken"], "left_semi")
+def latest_marker(facts: DataFrame) -> DataFrame:
+    """Of every host the facts of the newest baseline only."""
+    newest = facts.groupBy("host").agg(F.max("taken").alias("taken"))
+    return facts.join(newest, ["host", "taken"], "left_semi")
 
 
 def load_marker(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Facts of the baseline ``name``; ValueError when there is none."""
+    """Facts of the baseline ``name``, none if it was saved empty; ValueError when there is none."""
     try:
-        markers = spark.read.option("mergeSchema", False).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+        facts = spark.read.parquet(_marker_path(name, path))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             raise ValueError(f"no baseline named {name!r}") from error
         raise
-    mine = markers.where(F.col("name") == F.lit(name))
-    if not mine.limit(1).count():
-        raise ValueError(f"no baseline named {name!r}")
-    return latest_marker(mine).drop("name")
+    return latest_marker(facts)
 
 
 # ---- retention -------------------------------------------------------------

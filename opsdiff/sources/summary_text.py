@@ -36,12 +36,18 @@ def parse_summary(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def read_summary_text(spark: SparkSession, path: str, host: str) -> DataFrame:
-    """(host, metric, instance, val, units, seq) of one host's summary files.
+def read_summary_text(spark: SparkSession, path: str, host: str | None = None, host_pattern: str | None = None) -> DataFrame:
+    """(host, metric, instance, val, units, seq) of the summary files of one host or a fleet.
 
-    ``seq`` follows the input, so that of a repeated series the last one counts.
+    The host is the same for all files, or the first group of ``host_pattern`` in a file's
+    path.  ``seq`` sorts by file and place in it, so that of a repeated series the last line of
+    the last file counts.
     """
+    if (host is None) == (host_pattern is None):
+        raise ValueError("give the host or a pattern that finds it in the path")
+    file = F.col("_metadata.file_path")
+    seq = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.text(path, lineSep="\n").select(
-        F.lit(host).alias("host"), F.monotonically_increasing_id().alias("seq"), "value"
+        (F.lit(host) if host is not None else F.regexp_extract(file, host_pattern, 1)).alias("host"), seq.alias("seq"), "value"
     )
     return parse_summary(lines)

@@ -269,3 +269,29 @@ def test_copies_of_a_sample_change_nothing_in_rates(spark):
     once = [("h", "10:00", LOAD, "", 5.0), ("h", "10:10", LOAD, "", 11.0), ("h", "10:20", LOAD, "", 11.0)]
     rate = lambda data: tuples(windows.counter_rates(samples(spark, data)), "val")
     assert rate(once) == rate(once * 40) == [(0.005,)]
+
+
+def test_series_without_a_kind_count_as_instants(spark):
+    data = two_sided(spark, [("h", LOAD, "", 1, 6)]).withColumn("kind", F.lit(None).cast("string"))
+    assert tuples(windows.paired_means(data, WINDOWS), "metric", "a", "b") == [(LOAD, 1.0, 6.0)]
+
+
+WINDOW = "host string, a_start timestamp_ntz, a_end timestamp_ntz, b_start timestamp_ntz, b_end timestamp_ntz, threshold_pct double"
+
+
+@pytest.mark.parametrize("bad", [(A1, A0, B0, B1, 10.0), (A0, A1, B0, None, 10.0), (A0, A1, B0, B1, -1.0)])
+def test_bad_windows_per_host_are_refused(spark, bad):
+    per_host = spark.createDataFrame([("g", A0, A1, B0, B1, 10.0), ("h", *bad)], WINDOW)
+    with pytest.raises(ValueError, match="'h'"):
+        windows.paired_means(two_sided(spark, [("h", LOAD, "", 1, 6)]), per_host)
+
+
+def test_windows_per_host_open_their_day_folders_only(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    data = two_sided(spark, [("h", LOAD, "", 1, 6)])
+    data.withColumn("date", F.to_date("ts")).write.partitionBy("date").parquet(path)
+    per_host = spark.createDataFrame([("h", A0, A1, B0, B1, 10.0)], WINDOW)
+    means = windows.paired_means(spark.read.parquet(path), per_host)
+    assert tuples(means, "a", "b") == [(1.0, 6.0)]
+    plan = means._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan

@@ -231,3 +231,38 @@ def test_snapshot_json(spark, tmp_path):
     assert tuples(snap.explode_snapshot(parsed), "section", "title", "key", "value", "note", "seq") == [
         ("sysctl", "T", "a", "1", "", 0), ("sysctl", "T", "b", "", "n", 1)]
     assert tuples(snap.explode_sections(parsed), "section", "skipped") == [("modules", "why"), ("sysctl", "")]
+
+
+def test_every_csv_file_has_its_own_header_and_host(spark, tmp_path):
+    (tmp_path / "web1.csv").write_text('Time,m.a,"m.b"\n2024-03-01 10:00:00,1,2\n2024-03-01 10:01:00,,5,9\n')
+    (tmp_path / "web2.csv").write_text("Time,m.c,m.a\n2024-03-01 10:00:00,3,4\n2024-03-01 10:01:00,7\n")
+    got = tuples(read_trend_csv(spark, str(tmp_path), host_pattern=r"([^/]+)\.csv$").withColumn("m", F.minute("bucket")), "host", "series", "m", "value")
+    assert got == sorted([
+        ("web1", "m.a", 0, 1.0), ("web1", "m.b", 0, 2.0), ("web1", "m.a", 1, None), ("web1", "m.b", 1, 5.0),
+        ("web2", "m.c", 0, 3.0), ("web2", "m.a", 0, 4.0), ("web2", "m.c", 1, 7.0),
+    ], key=repr)
+    with pytest.raises(ValueError):
+        read_trend_csv(spark, str(tmp_path))
+
+
+def test_markers_do_not_mix_and_are_replaced_by_none(spark, tmp_path):
+    path, t = str(tmp_path / "markers"), datetime(2024, 1, 1)
+    for name, value in (("7", "1"), ("007", "2"), ("a/b", "3")):
+        snap.save_marker(name, facts(spark, t, ("k", value)), path)
+    assert [tuples(snap.load_marker(spark, n, path), "value") for n in ("7", "007", "a/b")] == [[("1",)], [("2",)], [("3",)]]
+    snap.save_marker("7", facts(spark, t, ("k", "1")).limit(0), path)
+    assert snap.load_marker(spark, "7", path).count() == 0
+    assert tuples(snap.load_marker(spark, "007", path), "value") == [("2",)]
+
+
+def test_no_body_is_lost(spark):
+    bodies = spark.createDataFrame([('{"host":"h","taken":"2024-01-01T00:00:00Z","sections":[]}', 1), ("{broken", 2), ("[]", 3), (None, 4)], "value string, n int")
+    assert snap.parse_snapshots(bodies).count() == 1
+    assert tuples(snap.rejected_bodies(bodies), "n") == [(2,), (3,), (4,)]
+
+
+def test_summary_files_of_a_fleet(spark, tmp_path):
+    for name, lines in (("web1.0.txt", "cpu.busy 1.0 none\ncpu.busy 2.0 none\n"), ("web1.1.txt", "cpu.busy 3.0 none\n"), ("web2.0.txt", "cpu.busy 9.0 none\n")):
+        (tmp_path / name).write_text(lines)
+    got = read_summary_text(spark, str(tmp_path), host_pattern=r"([^/.]+)\.\d+\.txt$")
+    assert tuples(got.groupBy("host").agg(F.max_by("val", "seq").alias("last")), "host", "last") == [("web1", 3.0), ("web2", 9.0)]

@@ -184,3 +184,12 @@ def test_identical_text_and_summary(spark, tmp_path):
     assert tuples(text_reports.summary_line(report, hosts, D3), "line") == [("[2024-03-03] no change",)]
     text_reports.write_lines(text_reports.state_lines(report), str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).count() == 5
+
+
+def test_verify_counts_the_newest_snapshot_only(spark, tmp_path):
+    path = str(tmp_path / "markers")
+    verify_start(facts(spark, D1, ("k", "1"), ("z", "1")), path, "release")
+    history = facts(spark, D2, ("k", "1"), ("z", "1")).unionByName(facts(spark, D3, ("z", "1")))
+    got = verify_report(spark, "release", history, path)
+    assert tuples(got.changes, "key", "kind") == [("k", "removed")]
+    assert tuples(got.pairs, "b_taken") == [(D3,)]
