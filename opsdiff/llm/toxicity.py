@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdiff.llm import hashing
-from opsdiff.llm.common import slices
+from opsdiff.llm.common import slices, stored
 
 SAMPLE_ROWS = 20_000
 BITS = 20
@@ -54,7 +54,7 @@ def held_out(doc_id: Column, parts: int = 4, held: int = 2) -> Column:
 
 def features(text: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature place), sorted by row; only: the places asked for."""
-    found = hashing.words(text, hashing.LETTERS)
+    found = hashing.words(text, hashing.LETTERS, latin=True)
     with np.errstate(over="ignore"):
         kinds = [found.hash]
         for n in BEGINNINGS:
@@ -82,7 +82,7 @@ def swapper(terms: tuple[tuple[str, ...], ...]):
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                   terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> DataFrame:
-    """(toxic, features array<int>, swapped array<int> or null) of the bounded sample.
+    """toxic, features, gone, added of the bounded sample; the last two say what a swap changes.
 
     A label that is null is none; of several labels of a document the greatest counts.
     """
@@ -97,69 +97,90 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
         swap = swapper(terms)
         for part in hashing.parts(batches, 1):
             text = part.column(1)
-            changed = pa.array([None if t is None or (s := swap(t)) == t else s for t in text.to_pylist()], pa.string())
+            n = len(part)
             row, place = features(text)
+            changed = pa.array([None if t is None or (s := swap(t)) == t else s for t in text.to_pylist()], pa.string())
+            touched = np.flatnonzero(changed.is_valid().to_numpy(zero_copy_only=False))
             other_row, other = features(changed)
-            n = len(part)
-            swapped = hashing.lists(other_row, other, n, pa.int32())
-            swapped = pa.ListArray.from_arrays(swapped.offsets, swapped.values, mask=changed.is_null())
-            yield pa.record_batch([part.column(0), hashing.lists(row, place, n, pa.int32()), swapped], names=["toxic", "features", "swapped"])
+            of_touched = np.isin(row, touched)
+            old = (row[of_touched] << BITS) | place[of_touched]
+            new = (other_row << BITS) | other
+            lists = [hashing.lists(row, place.astype(np.int32), n, pa.int32())]
+            for keys in (np.setdiff1d(old, new), np.setdiff1d(new, old)):
+                lists.append(hashing.lists(keys >> BITS, (keys & ((1 << BITS) - 1)).astype(np.int32), n, pa.int32()))
+            yield pa.record_batch([part.column(0), *lists], names=["toxic", "features", "gone", "added"])
+
+    return texts.mapInArrow(extract, "toxic int, features array<int>, gone array<int>, added array<int>")
+
+
+def telling_features(sample: DataFrame, least: int = 6, away: float = 1.5) -> np.ndarray:
+    """For each place whether the model may use it.
+
+    Features of fewer than `least` texts are left out, and those whose share of toxic texts is less
+    than `away` standard deviations from the mean's.  At most 2**BITS rows come to the driver.
+    """
+
+    def count(batches):
+        every, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            place = batch.column(1).flatten().to_numpy()
+            label = np.repeat(batch.column(0).to_numpy(), np.asarray(batch.column(1).value_lengths()))
+            every += np.bincount(place, minlength=1 << BITS)
+            toxic += np.bincount(place[label > 0], minlength=1 << BITS)
+        found = np.flatnonzero(every)
+        yield pa.record_batch([pa.array(found), pa.array(every[found]), pa.array(toxic[found])], names=["place", "n", "toxic"])
 
-    return texts.mapInArrow(extract, "toxic int, features array<int>, swapped array<int>")
+    counts = sample.select("toxic", "features").mapInArrow(count, "place long, n long, toxic long")
+    counts = counts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= least).toArrow()
+    mean = sample.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("m")).first()["m"] or 0.0
+    place, n, toxic = (counts[c].to_numpy() for c in ("place", "n", "toxic"))
+    far = np.abs(toxic - n * mean) / np.sqrt(np.maximum(n * mean * (1 - mean), 1e-9))
+    out = np.zeros(1 << BITS, bool)
+    out[place[far >= away]] = True
+    return out
 
 
-def _columns(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return row, (np.concatenate(lists) if lists else np.zeros(0)).astype(np.int64)
+def _pairs(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    lists = table[column].combine_chunks()
+    return np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def fit(toxic: np.ndarray, features_: list[np.ndarray], swapped: list[np.ndarray | None], l1: float = 2e-4,
-        counterfactual: float = 1.0, least: int = 6, telling: float = 1.5, rounds: int = 150) -> Model:
-    """Accelerated proximal gradient descent over the sample, on the driver.
+def fit(sample: pa.Table, l1: float = 2e-4, counterfactual: float = 1.0, rounds: int = 150) -> Model:
+    """Accelerated proximal gradient descent over the sample's telling features, on the driver.
 
-    Features of fewer than `least` texts are left out, and those whose share of toxic texts is
-    less than `telling` standard deviations from the mean's.  Without any label the score is 1/2,
-    with labels of one kind alone near that kind.
+    Without any label the score is 1/2, with labels of one kind alone it is near that kind.
     """
+    toxic = (sample["toxic"].to_numpy() > 0).astype(float)
     n = len(toxic)
     if n == 0:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    row, place = _columns(features_)
-    count = np.bincount(place, minlength=1 << BITS)
-    pairs = [i for i, s in enumerate(swapped) if s is not None]
-    changes = [np.setxor1d(features_[i], swapped[i]) for i in pairs]
-    toxic_count = np.bincount(place, toxic[row], minlength=1 << BITS)
-    mean = toxic.mean()
-    away = np.abs(toxic_count - count * mean) / np.sqrt(np.maximum(count * mean * (1 - mean), 1e-9))
-    kept = (count >= least) & (away >= telling)
-    used = np.flatnonzero(kept)
-    new = np.full(1 << BITS, -1)
-    new[used] = np.arange(len(used))
-    inside = kept[place]
-    row, col = row[inside], new[place[inside]]
-    # What a swap adds (+1) and takes (-1).
-    d_row, d_place = _columns(changes)
-    if len(pairs):
-        gone = np.concatenate([np.isin(c, features_[i]) for c, i in zip(changes, pairs, strict=True)] or [np.zeros(0, bool)])
-        d_sign, inside = np.where(gone, -1.0, 1.0), kept[d_place]
-        d_row, d_col, d_sign = d_row[inside], new[d_place[inside]], d_sign[inside]
+    row, place = _pairs(sample, "features")
+    gone, added = _pairs(sample, "gone"), _pairs(sample, "added")
+    used = np.unique(np.concatenate([place, gone[1], added[1]]))
+    width = len(used)
+    col = np.searchsorted(used, place)
+    # What a swap takes (-1) and adds (+1); each text that names a group is one term.
+    d_row, d_col = np.concatenate([gone[0], added[0]]), np.searchsorted(used, np.concatenate([gone[1], added[1]]))
+    d_sign = np.concatenate([-np.ones(len(gone[0])), np.ones(len(added[0]))])
+    _, d_row = np.unique(d_row, return_inverse=True)
+    pairs = int(d_row.max()) + 1 if len(d_row) else 0
     share = (toxic.sum() + 0.5) / (n + 1)
-    w, bias = np.zeros(len(used)), float(np.log(share / (1 - share)))
+    w, bias = np.zeros(width), float(np.log(share / (1 - share)))
     # A step for each feature that its own curvature allows.
-    width = np.bincount(row, minlength=n).astype(float)
-    step = 1 / (0.25 * np.bincount(col, width[row], minlength=len(used)) / n + 1e-9)
-    step = np.minimum(step, 50.0)
-    if len(pairs):
-        wide = np.bincount(d_row, minlength=len(pairs)).astype(float)
-        step = 1 / (1 / step + 2 * counterfactual * np.bincount(d_col, wide[d_row], minlength=len(used)) / len(pairs))
+    filled = np.bincount(row, minlength=n).astype(float)
+    curve = 0.25 * np.bincount(col, filled[row], minlength=width) / n
+    if pairs:
+        wide = np.bincount(d_row, minlength=pairs).astype(float)
+        curve = curve + 2 * counterfactual * np.bincount(d_col, wide[d_row], minlength=width) / pairs
+    step = 1 / np.maximum(curve, 0.02)
     at, at_bias, t = w.copy(), bias, 1.0
     for _ in range(rounds):
         z = np.bincount(row, at[col], minlength=n) + at_bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
-        gradient = np.bincount(col, error[row], minlength=len(used)) / n
-        if len(pairs):
-            change = np.bincount(d_row, d_sign * at[d_col], minlength=len(pairs))
-            gradient += 2 * counterfactual * np.bincount(d_col, d_sign * change[d_row], minlength=len(used)) / len(pairs)
+        gradient = np.bincount(col, error[row], minlength=width) / n
+        if pairs:
+            change = np.bincount(d_row, d_sign * at[d_col], minlength=pairs)
+            gradient += 2 * counterfactual * np.bincount(d_col, d_sign * change[d_row], minlength=width) / pairs
         moved = at - step * gradient
         moved = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
         moved_bias = at_bias - 4.0 * error.mean()
@@ -171,12 +192,23 @@ def fit(toxic: np.ndarray, features_: list[np.ndarray], swapped: list[np.ndarray
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
-          terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, **how) -> Model:
+          terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, least: int = 6, **how) -> Model:
     """Fits on labels(doc_id, toxic) of documents(doc_id, text) that are not held out."""
-    sample = training_rows(documents, labels, rows, terms).toArrow()  # a bounded number of rows
-    as_lists = lambda c: [None if x is None else np.array(x, np.int64) for x in sample[c].to_pylist()]
-    toxic = np.array(sample["toxic"].to_pylist(), float)
-    return fit(toxic, [x if x is not None else np.zeros(0, np.int64) for x in as_lists("features")], as_lists("swapped"), **how)
+    sample = stored(training_rows(documents, labels, rows, terms), "toxic-sample")
+    mask = telling_features(sample, least)
+
+    def telling(batches):
+        for batch in batches:
+            out = [batch.column(0)]
+            for c in (1, 2, 3):
+                lists = batch.column(c)
+                row = np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths()))
+                place = lists.flatten().to_numpy(zero_copy_only=False)
+                out.append(hashing.lists(row[mask[place]], place[mask[place]], len(batch), pa.int32()))
+            yield pa.record_batch(out, names=["toxic", "features", "gone", "added"])
+
+    # A bounded number of rows, and of each only what the model may use.
+    return fit(sample.mapInArrow(telling, sample.schema).toArrow(), **how)
 
 
 def score(model: Model, text: Column) -> Column:
