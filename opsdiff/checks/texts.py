@@ -12,7 +12,7 @@ from opsdiff.checks.base import check, near
 from opsdiff.operators import facts as etl
 from opsdiff.plans import reports, text_reports
 from opsdiff.session import shared_dir
-from opsdiff.sources import report_json, snapshots, summary_text
+from opsdiff.sources import report_json, snapshots, summary_text, trend_csv
 
 # ---- captured host text ----------------------------------------------------
 # Captures are composed from the given tables: documents become files and page
@@ -218,6 +218,40 @@ def snapshot_bodies(spark, sf_dir):
     return facts.groupBy("host", "section", "key").agg(F.count("*").alias("n"), F.max("value").alias("value"))
 
 
+@check("markers", f"""WITH {i.FACTS}, sides AS (SELECT '7' AS name, * FROM ({tables._newest_of(f"taken < {i.sql_ts(tables.MID)}")})
+UNION ALL SELECT '007' AS name, * FROM ({tables._newest_of(f"taken >= {i.sql_ts(tables.MID)}")}))
+SELECT name, host, taken, section, key, value, note, seq FROM sides""")
+def markers(spark, sf_dir):
+    # Two names that look like one number, and one whose baseline is replaced by an empty one.
+    before, after = tables.half_facts(spark, sf_dir)
+    path = shared_dir(spark, "markers")
+    for name, facts in (("7", after), ("007", after), ("7", before), ("gone", before), ("gone", before.where("false"))):
+        snapshots.save_marker(name, facts, path)
+    loaded = [snapshots.load_marker(spark, n, path).withColumn("name", F.lit(n)) for n in ("7", "007", "gone")]
+    return loaded[0].unionByName(loaded[1]).unionByName(loaded[2]).select(
+        "name", "host", "taken", "section", "key", "value", "note", "seq"
+    )
+
+
+@check("trend_csv", """WITH cells AS (SELECT user_id, event_id, ts, unnest([
+    {s: CASE WHEN event_id % 2 = 0 THEN 'a.value' ELSE 'b.value' END, v: value::DOUBLE}, {s: 'a.user', v: user_id::DOUBLE}], recursive := true) FROM events)
+SELECT 'h' || (user_id % 8) AS host, s AS series, ts::TIMESTAMP AS bucket, round(v + 3e-8, 4) AS value FROM cells""")
+def trend_csv_files(spark, sf_dir):
+    # Files of every host with one of two headers, whose columns differ in name and order.
+    path = shared_dir(spark, "csv")
+    events = i.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("h"), F.col("user_id") % 8).alias("host"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Time"),
+        "event_id", "value", "user_id",
+    )
+    even, odd = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    for part, columns in (
+        (even, [F.col("value").alias("a.value"), F.col("user_id").alias("a.user")]),
+        (odd, [F.col("user_id").alias("a.user"), F.col("value").alias("b.value")]),
+    ):
+        part.select("host", "Time", *columns).write.mode("append").partitionBy("host").option("header", True).csv(path)
+    return trend_csv.read_trend_csv(spark, path, host_pattern="host=([^/]+)/").withColumn("value", near("value"))
+
+
 @check("verify_report", tables.HALF_DIFF + f" SELECT host, {tables.CHANGE} FROM changes")
 def verify_report(spark, sf_dir):
     # Baseline and facts are histories of many days; the baseline is replaced once.

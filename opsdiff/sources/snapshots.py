@@ -31,6 +31,28 @@ def write_snapshot(facts: DataFrame, path: str) -> None:
     )
 
 
+def write_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Appends whole snapshots (host, taken, sections) as three tables below ``path``.
+
+    headers has one row per snapshot, so that one without facts is there as well; sections has
+    titles and the reasons why sections were skipped; facts is what ``read_facts`` reads.
+    """
+    cut = snapshots.withColumn("taken", F.date_trunc("second", "taken").cast(snapshots.schema["taken"].dataType))
+    for name, rows in (
+        ("headers", cut.select("host", "taken").distinct()),
+        ("sections", explode_sections(cut)),
+        ("facts", explode_snapshot(cut)),
+    ):
+        rows.withColumn("date", F.to_date("taken")).write.mode("append").partitionBy("date").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_snapshot_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """headers, sections or facts of snapshots stored whole."""
+    if name not in ("headers", "sections", "facts"):
+        raise ValueError(f"no such table: {name!r}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{name}")
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

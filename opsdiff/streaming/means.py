@@ -76,11 +76,15 @@ def watch(
 
     Writes changed rows to ``out/rows`` and findings to ``out/findings``, one
     folder per micro-batch: a batch that is run again after a failure replaces
-    its own output.
+    its own output.  The baseline is written to ``out/baseline`` at the start, so
+    that no batch computes it again.
     """
+    baseline.write.mode("overwrite").parquet(f"{out}/baseline")
+    kept = baseline.sparkSession.read.schema(baseline.schema).parquet(f"{out}/baseline")
 
     def handle(closed: DataFrame, batch_id: int) -> None:
-        rows = judge_window(closed, baseline, catalog, threshold_pct).persist()
+        closed = closed.persist()  # used for the windows and for their means
+        rows = judge_window(closed, kept, catalog, threshold_pct).persist()
         try:
             _unkey(focus(rows)).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
             _unkey(findings(rows, rules)).write.mode("overwrite").parquet(
@@ -88,6 +92,7 @@ def watch(
             )
         finally:
             rows.unpersist()
+            closed.unpersist()
 
     return (
         streaming_means(samples, size, late=late)

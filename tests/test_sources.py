@@ -4,6 +4,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from opsdiff.operators import state
+from opsdiff.plans.reports import state_report
 from opsdiff.sources import catalog as cat
 from opsdiff.sources import rules as rul
 from opsdiff.sources import snapshots as snap
@@ -266,3 +268,19 @@ def test_summary_files_of_a_fleet(spark, tmp_path):
         (tmp_path / name).write_text(lines)
     got = read_summary_text(spark, str(tmp_path), host_pattern=r"([^/.]+)\.\d+\.txt$")
     assert tuples(got.groupBy("host").agg(F.max_by("val", "seq").alias("last")), "host", "last") == [("web1", 3.0), ("web2", 9.0)]
+
+
+def test_an_empty_snapshot_is_stored_and_found(spark, tmp_path):
+    bodies = [
+        '{"host":"h","taken":"2024-01-01T00:00:00Z","sections":[{"name":"sysctl","title":"T","items":[{"key":"k","value":"1"}]}]}',
+        '{"host":"h","taken":"2024-01-02T00:00:00Z","sections":[]}',
+        '{"host":"h","taken":"2024-01-03T00:00:00Z","sections":[{"name":"listen","title":"L","items":[],"skipped":"no ss"}]}',
+    ]
+    snap.write_snapshots(snap.parse_snapshots(spark.createDataFrame([(b,) for b in bodies], "value string")), str(tmp_path / "s"))
+    headers, sections, stored = (snap.read_snapshot_table(spark, str(tmp_path / "s"), n) for n in ("headers", "sections", "facts"))
+    assert headers.count() == 3 and stored.count() == 1
+    assert tuples(sections, "section", "title", "skipped") == [("listen", "L", "no ss"), ("sysctl", "T", "")]
+    asof = state.snapshot_asof(headers, datetime(2024, 1, 2, 12))
+    assert tuples(asof, "taken") == [(datetime(2024, 1, 2),)]
+    report = state_report(stored, datetime(2024, 1, 1), datetime(2024, 1, 2), headers=headers)
+    assert tuples(report.changes, "key", "kind") == [("k", "removed")]
