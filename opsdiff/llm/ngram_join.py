@@ -3,8 +3,8 @@
 A document's tokens are its distinct word shingles, as 64-bit hashes.  Documents with equal
 sets are one class, seen from then on by its smallest id.  Tokens are of two kinds, by how
 many classes have them: rare ones, and frequent ones in groups by hash.  All documents put
-their tokens in one order, rare before frequent and by hash within a kind, and index a
-prefix of them: rare tokens one by one, frequent ones in pairs of the same group.  Two
+their tokens in one order, rare ones first, very frequent ones last and by hash within a kind,
+and index a prefix of them: rare tokens one by one, frequent ones in pairs of the same group.  Two
 documents that share no index entry share no rare prefix token and at most one token a group;
 a prefix is long enough when that leaves too few common tokens for the similarity asked for.
 So no link is lost, a frequent token never makes a list of its own, and most documents need
@@ -32,9 +32,10 @@ from opsdiff.llm import hashing
 from opsdiff.llm.bitmaps import among, bitmap, place
 from opsdiff.llm.common import components, stored
 
-BITS = 27         # of the bitmaps: 16 MB
-RARE = 3          # classes that may have a rare token
-GROUP_TOKENS = 8  # frequent prefix tokens that a group is meant for
+BITS = 26         # of the bitmaps: 8 MB each
+RARE = 6          # classes that may have a rare token
+OFTEN = 64        # classes from which on a frequent token comes last in the order
+GROUP_TOKENS = 6  # frequent prefix tokens that a group is meant for
 
 
 def allowed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -111,33 +112,40 @@ def _bands(n: int, percent: int) -> list[tuple[int, int]]:
     return [(x, max(1, (1 << x) * (100 - percent) // 100 // GROUP_TOKENS)) for x in bands]
 
 
-def entries_of(tokens: np.ndarray, frequent: np.ndarray, missing: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index entries, rare tokens before each) of one document, all of whose tokens are given."""
-    rare = tokens[~frequent][:missing + 1]
+def entries_of(tokens: np.ndarray, level: np.ndarray, missing: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index entries, unmatched) of one document, all of whose tokens are given in order of hash.
+
+    level: 0 for rare tokens, 1 for frequent, 2 for very frequent ones.  unmatched: how many
+    tokens a document cannot have in common with this one if the entry is the first they share:
+    those before it but for one in each group.
+    """
+    rare = tokens[level == 0][:missing + 1]
     if len(rare) > missing:
         return rare, np.arange(len(rare))
-    often = tokens[frequent]
-    out = [rare]
+    often = np.concatenate([tokens[level == 1], tokens[level == 2]])
+    out, unmatched = [rare], [np.arange(len(rare))]
     with np.errstate(over="ignore"):
         for band, groups in _bands(len(tokens), percent):
             group = (hashing.mix(often + np.uint64(band + 1)) % np.uint64(groups)).astype(np.int64)
             # A group's first token in the prefix is not enough; every later one counts.
             first = np.zeros(len(often), bool)
             first[np.unique(group, return_index=True)[1]] = True
-            enough = np.searchsorted(np.cumsum(~first), missing + 1 - len(rare)) + 1
-            chosen, of = often[:enough], group[:enough]
+            later = np.cumsum(~first)
+            enough = np.searchsorted(later, missing + 1 - len(rare)) + 1
+            of = group[:enough]
             for g in np.unique(of):
-                inside = chosen[of == g]
-                a, b = np.triu_indices(len(inside), 1)
-                out.append(hashing.mix(hashing.mix(inside[a] + np.uint64(band)) * np.uint64(3) + inside[b]))
-    entries = np.concatenate(out)
-    return entries, np.minimum(np.arange(len(entries)), len(rare))
+                at = np.flatnonzero(of == g)
+                a, b = np.triu_indices(len(at), 1)
+                low, high = np.minimum(often[at[a]], often[at[b]]), np.maximum(often[at[a]], often[at[b]])
+                out.append(hashing.mix(hashing.mix(low + np.uint64(band)) * np.uint64(3) + high))
+                unmatched.append(len(rare) + later[at[b]] - 1)
+    return np.concatenate(out), np.concatenate(unmatched)
 
 
 def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """(entry, key, n, rare, classes, hub): the entries of classes(key, n, low) that several have.
 
-    rare: how many rare tokens of the class come before the entry in its prefix.
+    rare: how many tokens of the class a document cannot share whose first common entry this is.
     """
     spark = classes.sparkSession
 
@@ -157,25 +165,28 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
         return classes.select("key", "n", "low").mapInArrow(look, "key long")
 
-    counts = stored(counted(classes.select(F.explode("low").alias("token"))), "join-counts")
+    counts = stored(counted(classes.select(F.explode("low").alias("token"))).where("n > 1"), "join-counts")
     frequent = bitmap(counts.where(F.col("n") > RARE), BITS)
     open_ = stored(unsettled(frequent), "join-open")
     sets = full_sets(documents, open_, k)
-    frequent |= bitmap(counted(sets.select(F.explode("tokens").alias("token"))).where(F.col("n") > RARE), BITS)
+    of_open = stored(counted(sets.select(F.explode("tokens").alias("token"))).where(F.col("n") > RARE), "join-counts")
+    frequent |= bitmap(of_open, BITS)
+    often = bitmap(counts.unionByName(of_open).where(F.col("n") > OFTEN), BITS)
     open_ = stored(unsettled(frequent), "join-open")
 
     sent = spark.sparkContext.broadcast(frequent)
+    last = spark.sparkContext.broadcast(often)
     form = "entry long, key long, n int, rare int"
 
     def all_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, token, count = _lists(batch.column(1))
-            often = among(sent.value, token, BITS)
+            level = among(sent.value, token, BITS).astype(np.int8) + among(last.value, token, BITS)
             cuts = np.concatenate([[0], np.cumsum(count)])
             missing = allowed(count, percent)
             for r in range(len(batch)):
                 inside = slice(cuts[r], cuts[r + 1])
-                entries, rare = entries_of(token[inside], often[inside], int(missing[r]), percent)
+                entries, rare = entries_of(token[inside], level[inside], int(missing[r]), percent)
                 yield pa.record_batch(
                     [pa.array(entries.view(np.int64)), pa.repeat(batch.column(0)[r], len(entries)),
                      pa.repeat(pa.scalar(int(count[r]), pa.int32()), len(entries)), pa.array(rare.astype(np.int32))],
@@ -184,7 +195,7 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
     hard = stored(full_sets(documents, open_, k).mapInArrow(all_known, form), "join-hard")
     # A rare token that no second class has, and no class above, needs no entry.
-    twice = bitmap(counts.where("n > 1").select("place").unionByName(hard.select(place(F.col("entry"), BITS).alias("place"))), BITS)
+    twice = bitmap(counts.select("place").unionByName(hard.select(place(F.col("entry"), BITS).alias("place"))), BITS)
     seen = spark.sparkContext.broadcast(twice)
 
     def low_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
