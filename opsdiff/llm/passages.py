@@ -31,6 +31,7 @@ LEAST_STRETCH = 12     # of one aligned chain
 SIMILARITY = 0.8
 MARGIN = 48            # words beyond a chain's ends that the alignment may reach
 LEFT_OUT = 6           # words between stretches of one passage
+NEAR_SEEDS = 40        # words between two seeds of one passage, at most
 
 
 def minimisers(found: hashing.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,11 +59,22 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     every word between; the tree holds, for each y, the best score with the costs up to there.
     """
     n = len(x)
+    if n == 1:
+        return [np.zeros(1, np.int64)]
+    order = np.lexsort((y, x))
+    if (np.diff(x[order]) > 0).all() and (np.diff(y[order]) > 0).all():
+        # All in one order: the best match before each is the one just before.
+        cost = GAP_COST * (np.diff(x[order]) + np.diff(y[order]))
+        score, cuts = 1.0, []
+        for i, c in enumerate(cost.tolist()):
+            score = 1 + score - c if score > c else 1.0
+            if score == 1.0:
+                cuts.append(i + 1)
+        return sorted(np.split(order, cuts), key=len, reverse=True)
     rank = np.unique(y, return_inverse=True)[1] + 1
     size = int(rank.max()) + 1
     tree_score, tree_at = [-1e18] * (size + 1), [-1] * (size + 1)
     score, before = np.ones(n), np.full(n, -1)
-    order = np.lexsort((y, x))
     start = 0
     while start < n:
         end = start
@@ -173,11 +185,25 @@ def matches(documents: DataFrame) -> DataFrame:
     )
 
 
-def spans(found: DataFrame) -> DataFrame:
+def promising(x: np.ndarray, least_words: int) -> np.ndarray:
+    """Which matches lie where a document's seeds, of whatever other document, may make a passage.
+
+    Beyond its outer seeds a stretch goes on for fewer words than the 17 that would hold another.
+    """
+    at = np.unique(x)
+    cuts = np.flatnonzero(np.diff(at) > NEAR_SEEDS)
+    first, last = at[np.concatenate([[0], cuts + 1])], at[np.concatenate([cuts, [len(at) - 1]])]
+    long = last - first + K + 2 * (K + WINDOW - 2) >= least_words
+    return long[np.searchsorted(first, x, "right") - 1]
+
+
+def spans(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, other, xs, ys) of every chain of the matches; a document's matches are one group."""
 
     def chained(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         other, x, y = (rows[c].to_numpy() for c in ("other", "x", "y"))
+        kept = promising(x, least_words)
+        other, x, y = other[kept], x[kept], y[kept]
         order = np.argsort(other, kind="stable")
         out = []
         for part in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
@@ -253,7 +279,7 @@ def repeated(documents: DataFrame, least_words: int = LEAST_WORDS, similarity: f
     one document; rows without doc_id come after all others.  An empty table gives an empty result.
     """
     docs = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    chained = stored(spans(matches(docs)), "passage-chains")
+    chained = stored(spans(matches(docs), least_words), "passage-chains")
     chained = stored(chained.withColumn("id", F.xxhash64("key", "other", F.col("xs")[0], F.col("ys")[0])), "passage-ids")
     found = stretches(docs, chained)
     length = F.greatest(F.col("stop") - F.col("start"), F.col("there_stop") - F.col("there"))
