@@ -254,8 +254,8 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     linked = rows.where("n > 0")
     classes = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "n", "low")).alias("one"))
     classes = stored(classes.select("d1", "d2", "least_id", "one.*"), "join-classes")
-    # Sets too small to miss a token can only be equal.
-    large = classes.where(F.col("n") - F.ceil(F.col("n") * percent / 100) > 0)
+    # Sets so small that not even one token more is allowed in a document around them can only be equal.
+    large = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
     entries = index(large, documents, k, percent)
 
     close_to_hub = (F.col("key") != F.col("hub.key")) & close_enough(F.col("n"), F.col("rare"), F.col("hub.n"), F.col("hub.rare"), percent)

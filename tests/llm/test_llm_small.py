@@ -200,6 +200,18 @@ def test_join_equals_all_pairs(spark):
     assert rows(got, "doc_id", "n_shingles", "component_id") == by_hand_join(docs)
 
 
+@pytest.mark.parametrize("k, percent, least", [(3, 90, 9), (5, 80, 4)])
+def test_join_links_small_sets_inside_larger_ones(spark, k, percent, least):
+    docs = []
+    for base in range(12):  # the last of them share their tokens with many, so that none is rare
+        words = prose(base * 100 if base < 8 else 5000, least + k - 1)
+        docs += [(base * 10, words, "en", "s", 0), (base * 10 + 1, words + f" end{base}", "en", "s", 0), (base * 10 + 2, f"start{base} " + words, "en", "s", 0)]
+        docs += [(base * 10 + 3, " ".join(words.split()[1:]), "en", "s", 0)]
+    got = rows(ngram_join.join(spark.createDataFrame(docs, SCHEMA), k, percent), "doc_id", "n_shingles", "component_id")
+    assert got == by_hand_join(docs, k, percent)
+    assert {(1, least + 1, 0), (2, least + 1, 0), (3, least - 1, 3)} <= set(got)
+
+
 def test_join_of_odd_rows(odd, clashing, none):
     assert rows(ngram_join.join(odd), "doc_id", "n_shingles", "component_id") == by_hand_join(ODD)
     assert ngram_join.join(none).count() == 0
