@@ -460,6 +460,15 @@ def test_secrets_of_odd_rows(spark, odd, none, clashing):
 
 # Pipeline
 
+def test_near_copies_of_four_fifths_of_five_word_shingles_are_one(spark, tmp_path):
+    words = prose(0, 104).split()
+    edited = [w if i not in (30, 70) else f"new{i}" for i, w in enumerate(words)]  # 90 of 110 shingles, 96 of 108 of three words
+    far = [w if i not in (10, 30, 50, 70) else f"far{i}" for i, w in enumerate(prose(3000, 104).split())]
+    docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, prose(3000, 104)), (4, " ".join(far))]
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    assert rows(stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)), "doc_id") == [(1,), (3,), (4,)]
+
+
 def test_pipeline_stages_on_odd_rows(spark, clashing, labels, items, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
