@@ -366,6 +366,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
         _by_class(often["logs"], n_classes).T,
     ))
     begin = (share + end_score)[:, None]
+    logs_of = [f"logs{k}" for k in range(n_classes)]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known, base_logs, logs = most.value
@@ -377,36 +378,36 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
                 there = place.is_valid().to_numpy(zero_copy_only=False)
                 at, of = place.drop_null().to_numpy(), row[there]
                 by_class = begin + np.stack([np.bincount(of, logs[k][at], minlength=n) for k in range(n_classes)])
-                best = by_class.argmax(0)
                 rest, rest_of = words.filter(pa.array(~there)), row[~there]
                 cuts = np.searchsorted(rest_of, np.arange(n + 1)).astype(np.int32)
                 yield pa.record_batch([
-                    batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), pa.array(np.bincount(row, minlength=n)),
+                    batch.column(0), batch.column(1), pa.array(np.bincount(row, minlength=n)),
                     pa.array(np.bincount(of, known[at], minlength=n).astype(np.int64)), pa.array(np.bincount(of, base_logs[at], minlength=n).astype(float)),
-                    pa.array(by_class[best, np.arange(n)].astype(float)), pa.ListArray.from_arrays(pa.array(cuts), rest),
-                ], names=["key", "doc_id", "class", "n", "known", "base", "logs", "rest"])
+                    *[pa.array(x.astype(float)) for x in by_class], pa.ListArray.from_arrays(pa.array(cuts), rest),
+                ], names=["key", "doc_id", "n", "known", "base", *logs_of, "rest"])
 
     id_type = dict(docs.dtypes)["doc_id"]
     passed = stored(
         docs.select("key", "doc_id", "text").mapInArrow(
-            first_pass, f"key long, doc_id {id_type}, class int, n long, known long, base double, logs double, rest array<string>"
+            first_pass, f"key long, doc_id {id_type}, n long, known long, base double, {', '.join(f'{c} double' for c in logs_of)}, rest array<string>"
         ),
         "lm-texts",
     )
-    seldom = passed.select("key", "class", F.explode("rest").alias("word"))
+    # A text's class is chosen when all of its words are added up.
+    seldom = passed.select("key", F.explode("rest").alias("word"))
     seldom = seldom.join(scored.select("word", "count", "base", "logs"), "word").select(
-        "key", (F.col("count") > 0).cast("long").alias("known"), "base", F.element_at("logs", F.col("class") + 1).alias("logs")
+        "key", (F.col("count") > 0).cast("long").alias("known"), "base", *[F.col("logs")[k].alias(c) for k, c in enumerate(logs_of)]
     )
-    sums_of = [F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("logs").alias("logs")]
+    sums_of = [F.sum(c).alias(c) for c in ("known", "base", *logs_of)]
     none = [F.lit(None).cast("long").alias("n"), F.lit(None).cast(id_type).alias("doc_id")]
     per_text = (
-        passed.dropDuplicates(["key"]).select("key", "known", "base", "logs", "n", "doc_id")
-        .unionByName(seldom.groupBy("key").agg(*sums_of).select("key", "known", "base", "logs", *none))
+        passed.dropDuplicates(["key"]).select("key", "known", "base", *logs_of, "n", "doc_id")
+        .unionByName(seldom.groupBy("key").agg(*sums_of).select("key", "known", "base", *logs_of, *none))
         .groupBy("key").agg(*sums_of, F.max("n").alias("n"), F.max("doc_id").alias("doc_id"))
     )
     ends_known = int(ends.sum() > 0)
     return per_text.select(
         "doc_id", (F.col("n") + 1).alias("n_tokens"), (F.col("known") + ends_known).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + base(F.lit(float(ends.sum())))).alias("base_score"), F.col("logs").alias("score"),
+        (F.col("base") + base(F.lit(float(ends.sum())))).alias("base_score"), F.array_max(F.array(*logs_of)).alias("score"),
     )

@@ -373,6 +373,16 @@ def test_scores_are_probabilities_and_base_is_exact(spark):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def test_the_class_comes_from_all_words_whatever_is_broadcast(spark):
+    docs = []
+    for i in range(120):
+        lang = "en" if i % 6 else "de"
+        docs.append((i, " ".join(["the"] * 3 + [f"{lang}rare{i * 7 % 20}{c}" for c in "abcdef"]), lang, "s", 0))
+    table, train = spark.createDataFrame(docs, SCHEMA), ~lattice.held_out(F.col("doc_id"))
+    few, all_ = ({r["doc_id"]: r["score"] for r in lattice.score(table, train, lattice.read_pieces(), rounds=1, frequent=n).collect()} for n in (1, 1000))
+    assert all(math.isclose(few[i], all_[i], rel_tol=1e-9) for i in all_)
+
+
 def test_lattice_equals_all_segmentations():
     import numpy as np
 
