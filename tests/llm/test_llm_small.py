@@ -259,6 +259,17 @@ def test_lines_equal_all_pairs(spark):
     assert all(r["n_lines"] == 4 and len(r["kept_in"]) == r["n_removed"] for r in got)
 
 
+def test_repetitive_lines_have_bands_by_their_distinct_shingles(spark):
+    a = [" ".join(f"w{(i + c) % 5} z{c}q" for i in range(300 + 10 * c)) for c in range(12)]
+    b = [" ".join(f"w{(i + c) % 5} z{c}q" for i in range(600 + 10 * c)) for c in range(12)]
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(x for pair in zip(a, b) for x in pair)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    bands = [sorted(r[0]) for r in table.select("doc_id", line_dedup.signature_bands(F.lower("text")).alias("b")).orderBy("doc_id").select("b").collect()]
+    assert all(bands)
+    got = line_dedup.summarise(table).collect()
+    assert sorted((r["doc_id"], p) for r in got for p in r["removed"]) == by_hand_lines(docs)
+
+
 def test_lines_of_odd_rows(spark, odd, clashing, none):
     got = line_dedup.summarise(odd)
     assert got.count() == len(ODD) and line_dedup.summarise(none).count() == 0
