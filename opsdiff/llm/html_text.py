@@ -4,10 +4,12 @@ A page is cut into text blocks, each with its path of tags from the root.  For e
 of a page the length of its text and its punctuation are added up and divided by the number
 of its blocks; both ratios are smoothed over the page, where paths that differ in fewer tags
 weigh more, and multiplied.  Paths above a share of the page's spread are content.  The
-element that holds most of the content's text is the article: its blocks are the text.
+smallest element that holds nearly all of the content's text is the article: its blocks are
+the text.
 
-What a page says of itself comes first: elements that by name, role or class are menus,
-headers, footers, sidebars, adverts, notices, forms, scripts or comments give no blocks.
+What a page says of itself comes first: elements that by tag or role are menus, headers,
+footers, forms or scripts give no blocks.  A class or id that sounds like a sidebar, an advert,
+a notice or comments may mean something else: it lowers the ratio of the paths within.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ ENDS_P = frozenset(
     "main menu nav ol p pre section summary table ul".split()
 )
 LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# All that a head may hold: the start of any other element ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table article section main aside nav div body html td th blockquote form footer header".split())
 
 _TOKEN = re.compile(
@@ -54,12 +59,16 @@ _BOILERPLATE = re.compile(
     r"pagination|pager|copyright|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# What such a name says is there, or is not, around the content.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:no|not|has|with|without|is|hide|show)[_-]\S*", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 SMOOTHING = 1.0
 SPREAD = 0.25
+NAMED = 0.1       # share of its ratio that a path keeps within an element named like boilerplate
+NEARLY_ALL = 0.9  # of the content's text, in the element taken for the article
 NEIGHBOURS = 100  # paths on either side that a path is smoothed with
 
-Block = tuple[tuple[tuple[int, str], ...], str]  # path of (element number, tag), text
+Block = tuple[tuple[tuple[int, str], ...], str]  # path of (element number, tag, "!" added to one named like boilerplate), text
 
 
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -69,8 +78,6 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return bool(re.search(r"\bhidden\b", attributes))
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _BOILERPLATE.search(value):
-            return True
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
         if (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -78,12 +85,20 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(re.search(r"\bhidden\b", _ATTRIBUTE.sub("", attributes)))
 
 
+def _sounds_like_boilerplate(tag: str, attributes: str) -> bool:
+    if "=" not in attributes or tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return False
+    values = ("".join(values) for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
+    return any(_BOILERPLATE.search(_STATE.sub("", value)) for value in values)
+
+
 def blocks(page: str) -> Iterator[Block]:
-    """The text blocks of a page in order, without those of boilerplate elements.
+    """The text blocks of a page in order, without those of elements that are boilerplate by tag or role.
 
     Elements that are never closed end where HTML lets them end, or with the page.
     """
-    stack: list[tuple[int, str, bool]] = []  # number, tag, boilerplate: block elements and those left out
+    # number, tag, boilerplate, named like it: block elements and those left out or named
+    stack: list[tuple[int, str, bool, bool]] = []
     parts: list[str] = []
     number, at = 0, 0
 
@@ -91,14 +106,24 @@ def blocks(page: str) -> Iterator[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            yield tuple((n, t) for n, t, _ in stack), text
+            yield tuple((n, t + "!" * named) for n, t, _, named in stack), text
 
     def hidden() -> bool:
         return bool(stack) and stack[-1][2]
 
+    def has_open(*tags: str) -> bool:
+        return any(t in tags for _, t, _, _ in stack)
+
+    def end_head() -> None:
+        """Ends a head that was never closed; its templates hold whatever they like."""
+        if has_open("head") and not has_open("template"):
+            del stack[max(i for i, (_, t, _, _) in enumerate(stack) if t == "head"):]
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:  # inside the raw text of a script or the like
             continue
+        if m.start() > at and stack and stack[-1][1] == "head" and not page[at:m.start()].isspace():
+            end_head()
         if m.start() > at and not hidden():
             parts.append(page[at:m.start()])
         at = m.end()
@@ -107,7 +132,7 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         tag = tag.lower()
         if close:
-            if tag in INLINE and not any(t == tag for _, t, _ in stack):
+            if tag in INLINE and not has_open(tag):
                 continue
             if tag == "br":
                 yield from finished()
@@ -117,6 +142,8 @@ def blocks(page: str) -> Iterator[Block]:
                     del stack[depth:]
                     break
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
@@ -126,23 +153,25 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if tag in VOID:
             continue
-        boilerplate = hidden() or _is_boilerplate(tag, attributes, any(t in ("article", "main") for _, t, _ in stack))
-        if tag in INLINE and not boilerplate:
+        boilerplate = hidden() or _is_boilerplate(tag, attributes, has_open("article", "main"))
+        named = _sounds_like_boilerplate(tag, attributes)
+        # Inline elements are part of the text around them; a named one outside of paragraphs stands for itself.
+        if tag in INLINE and (hidden() or not boilerplate and (not named or has_open("p", "blockquote", "pre", *HEADINGS))):
             continue
-        if tag in INLINE and hidden():
-            continue
-        if tag not in INLINE:
+        if tag not in INLINE or not boilerplate:
             yield from finished()
         ends = LIKE.get(tag, ()) + (("p",) if tag in ENDS_P else ())
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][1] in ends:
                 del stack[depth:]
-                boilerplate = hidden() or _is_boilerplate(tag, attributes, any(t in ("article", "main") for _, t, _ in stack))
+                boilerplate = hidden() or _is_boilerplate(tag, attributes, has_open("article", "main"))
             elif stack[depth][1] in SCOPE:
                 break
         number += 1
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((number, tag, boilerplate))
+            stack.append((number, tag, boilerplate, named))
+    if at < len(page) and stack and stack[-1][1] == "head" and not page[at:].isspace():
+        end_head()
     if at < len(page) and not hidden() and not re.match(r"<[/a-zA-Z!]", page[at:at + 2]):
         parts.append(page[at:])
     yield from finished()
@@ -176,7 +205,7 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
         first, last = max(0, i - NEIGHBOURS), i + NEIGHBOURS + 1
         apart = np.array([_difference(path, other) for other in paths[first:last]], float)
         weight = np.exp(-(apart**2) / (2 * SMOOTHING**2))
-        out[path] = float(np.prod(weight @ ratios[first:last] / weight.sum()))
+        out[path] = float(np.prod(weight @ ratios[first:last] / weight.sum())) * (NAMED if any(t.endswith("!") for t in path) else 1)
     return out
 
 
@@ -188,23 +217,34 @@ def main_text(page: str | None) -> str:
     scores = path_scores(found)
     values = np.array(list(scores.values()))
     least = SPREAD * values.std()
-    content = [(path, text) for path, text in found if scores[tuple(t for _, t in path)] >= least]
-    # The deepest element with nearly all of the content; an article or main element that
-    # has most of it is the article.
+    # One named like boilerplate is content only if even so it is not below any other path.
+    plain = max((s for p, s in scores.items() if not any(t.endswith("!") for t in p)), default=0.0)
+
+    def is_content(path: tuple[tuple[int, str], ...]) -> bool:
+        tags = tuple(t for _, t in path)
+        return scores[tags] >= (max(least, plain) if any(t.endswith("!") for t in tags) else least)
+
+    content = [(path, text) for path, text in found if is_content(path)]
+    # The deepest element with nearly all of the content, an article or main element first.
     inside: dict[int, int] = {}
     names: dict[int, tuple[int, str]] = {}
     for path, text in content:
         for depth, (n, tag) in enumerate(path):
             inside[n] = inside.get(n, 0) + len(text)
-            names[n] = (depth, tag)
+            names[n] = (depth, tag.rstrip("!"))
     total = sum(len(text) for _, text in content)
-    named = [n for n, (_, tag) in names.items() if tag in ("article", "main") and inside[n] >= 0.5 * total]
-    wide = [n for n in inside if inside[n] >= 0.9 * total and names[n][1] not in ("p", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6")]
+    named = [n for n, (_, tag) in names.items() if tag in ("article", "main") and inside[n] >= NEARLY_ALL * total]
+    wide = [n for n in inside if inside[n] >= NEARLY_ALL * total and names[n][1] not in ("p", "li", "pre") and names[n][1] not in HEADINGS | INLINE]
     holder = max(named or wide, key=lambda n: names[n][0], default=None)
     if holder is None:
         kept = [text for _, text in content]
     elif named or names[holder][1] not in ("body", "html"):
-        kept = [text for path, text in found if any(n == holder for n, _ in path)]
+        # All that is in it, but what is named like boilerplate there and has a low ratio.
+        kept = []
+        for path, text in found:
+            within = [i for i, (n, _) in enumerate(path) if n == holder]
+            if within and (is_content(path) or not any(t.endswith("!") for _, t in path[within[0] + 1:])):
+                kept.append(text)
     else:
         kept = [text for _, text in content]
     return "\n".join(kept)

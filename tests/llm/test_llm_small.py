@@ -443,6 +443,28 @@ def test_article_without_what_is_around_it():
     assert html_text.main_text(soup).split("\n")[:3] == ["One long paragraph, with commas, and words.", "Another one, as long, with words.", "Yes."]
 
 
+SENTENCES = ["A long first sentence, with commas, and more of it.", "The second one, as long, has words; it ends here.", "A third, which is no shorter, closes the text."]
+PROSE = "".join(f"<p>{x}</p>" for x in SENTENCES)
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><body><div>{PROSE}</div></body></html>",
+    f"<html><head><title>T</title><meta charset=utf-8><div>{PROSE}</div></html>",
+    f"<body><div class='content no-sidebar'>{PROSE}</div></body>",
+    f"<body><div class='has-menu'>{PROSE}</div></body>",
+    f"<body><div id='social'>{PROSE}</div></body>",
+    f"<body><main><article>{PROSE[:PROSE.index('</p>') + 4]}</article><article>{PROSE[PROSE.index('</p>') + 4:]}</article></main></body>",
+])
+def test_pages_keep_their_whole_content(page):
+    assert html_text.main_text(page).split("\n") == SENTENCES
+
+
+def test_names_of_headings_and_text_before_a_body():
+    page = f"<body><article>{PROSE}<h2 id='related-work'>Related work</h2>{PROSE}<div class='share'><a>Share</a></div></article></body>"
+    assert html_text.main_text(page).split("\n") == [*SENTENCES, "Related work", *SENTENCES]
+    assert html_text.main_text("<html><head><title>T</title>Some words, no tags.") == "Some words, no tags."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p>", "text only", "<script>x", "<!-- open", "&amp", "<a href='x>y</a>", "</p></div>", "<p>" * 2000])
 def test_broken_pages(page):
     got = html_text.main_text(page)
