@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.llm import decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, secrets, toxicity
+from opsdiff.llm import (
+    collisions,
+    decontaminate,
+    fingerprints,
+    hard_negatives,
+    html_text,
+    lattice,
+    line_dedup,
+    mixing,
+    ngram_join,
+    passages,
+    secrets,
+    toxicity,
+    whitening,
+)
 from opsdiff.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +88,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -85,6 +111,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_whitening": op11_whitening,
+    "op12_near_dedup": op12_near_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Random ranks, 64-bit hashes and trained models have no SQL here; tests hold these against brute force.
