@@ -237,7 +237,8 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 F.coalesce("component", "class").alias("component")),
         "collision-placed",
     )
-    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    # Written, so that a component that holds many rows is one that the join may split.
+    least = stored(placed.groupBy("component").agg(F.min("first").alias("least")), "collision-least")
     known = placed.join(least, "component").select("label", "embedding", "links", "least")
     own = F.col("vec_id").cast("long")
     return rows.join(known, ["label", "embedding"], "left").select(
