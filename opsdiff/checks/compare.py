@@ -40,6 +40,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _plain(value):
     if isinstance(value, float):
         return None if math.isnan(value) else (0.0 if value == 0 else value)
+    if isinstance(value, list):
+        return tuple(_plain(v) for v in value)
     return value
 
 
