@@ -116,13 +116,13 @@ QUERIES: dict[str, Query] = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
 
 # Random ranks, 64-bit hashes and trained models have no SQL here; tests hold these against brute force.
 ORACLES: dict[str, str] = {
     "op12_near_dedup": f"""WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND {_FINITE} AND len([x for x in embedding if x <> 0]) > 0),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= {collisions.SIMILARITY}),
 reach AS (SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.node),
@@ -132,7 +132,7 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e JOIN least USING (vec_id) LEFT JOIN number ON number.a = e.vec_id""",
     "op13_hard_negatives": f"""WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor({hard_negatives.SCALE} * CAST(x AS DOUBLE))) AS y
+    [floor({hard_negatives.SCALE} * CAST(x AS DOUBLE)) for x in embedding] AS y
   FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
 s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, CAST(list_dot_product(a.y, v.y) AS BIGINT) AS score
   FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
@@ -141,6 +141,6 @@ SELECT anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER)
   p.score AS positive_score, n.score AS negative_score
 FROM p JOIN (SELECT * FROM s WHERE NOT same) n USING (anchor_id)
 WHERE {hard_negatives.LOWEST} * p.score <= 100 * n.score AND 100 * n.score <= {hard_negatives.HIGHEST} * p.score
-QUALIFY row_number() OVER w <= {hard_negatives.NEGATIVES}
-WINDOW w AS (PARTITION BY anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)""",
+WINDOW w AS (PARTITION BY anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= {hard_negatives.NEGATIVES}""",
 }
