@@ -111,7 +111,7 @@ def stream_restarts(spark, sf_dir):
     processes = event_stream(spark, sf_dir).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
         F.col("event_type").alias("name"),
-        F.unix_millis(F.date_trunc("hour", F.col("ts").cast("timestamp"))).cast("double").alias("start_time"),
+        F.unix_millis(F.date_trunc("hour", F.col("ts").cast("timestamp"))).cast("double").alias("start_time"), "ts",
     )
     return run(spark, feeds.restart_feed(processes), "restarts")
 

@@ -1,22 +1,26 @@
 """Stateful feeds: changes of state from snapshot to snapshot, and process restarts.
 
-These are the only places with Python workers: what to emit depends on the
-last complete map of a section, which no built-in aggregate keeps.
+What to emit depends on the last complete map of a section, or the last start of a process, which no
+built-in aggregate keeps.  Each key has entries of its own in the state store: a change writes
+the facts that changed and nothing else.  Event-time timers clear what has not been
+delivered for a while, so that hosts and processes that are gone leave no state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from opsdiff.functions.judge import RESTART_GAP_MS
 
 CHANGE = "host string, section string, taken timestamp, key string, kind string, old string, new string"
 RESTART = "host string, name string, start_before double, start_now double"
+FORGET = "40 days"
 
 
 def salted_sections(snapshots: DataFrame, salts: int) -> DataFrame:
@@ -37,85 +41,130 @@ def salted_sections(snapshots: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def _section_changes(
-    group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    host, section, _ = group
-    known, last = None, None
-    if state.exists:
-        seen, keys, values = state.get
-        known, last = dict(zip(keys, values)), pd.Timestamp(seen, unit="us")
-    arrived = pd.concat(batches).sort_values("taken", kind="stable")
-    for row in arrived.itertuples(index=False):
-        if last is not None and row.taken <= last:
-            continue
-        facts = dict(zip(row.keys, row.values))
-        if known is not None:
-            changes = [
-                (key, "added" if key not in known else "modified", known.get(key), value)
-                for key, value in facts.items()
-                if key not in known or known[key] != value
-            ] + [(key, "removed", known[key], None) for key in known if key not in facts]
-            if changes:
-                out = pd.DataFrame(changes, columns=["key", "kind", "old", "new"])
-                yield out.assign(host=host, section=section, taken=row.taken)[
-                    ["host", "section", "taken", "key", "kind", "old", "new"]
-                ]
-        known, last = facts, row.taken
-    if known is not None:
-        state.update((last.value // 1000, list(known), list(known.values())))
-
-
-def change_feed(snapshots: DataFrame, salts: int = 8) -> DataFrame:
+class SectionChanges(StatefulProcessor):
+    """State of one share of one section: its facts, one entry each, and the time of the last snapshot."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getMapState("facts", "key string", "value string")
+        self.seen = handle.getValueState("seen", "us long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        host, section, _ = key
+        first = self.seen.get()
+        last = first[0] if first is not None else None
+        # The state is read once for all snapshots that arrived; what changed is written at the end.
+        before = {k[0]: v[0] for k, v in self.facts.iterator()} if last is not None else {}
+        known = dict(before)
+        for row in pd.concat(rows).sort_values("taken", kind="stable").itertuples(index=False):
+            us = row.taken.value // 1000
+            if last is not None and us <= last:
+                continue
+            facts = dict(zip(row.keys, row.values))
+            if last is not None:
+                changes = [
+                    (k, "added" if k not in known else "modified", known.get(k), value)
+                    for k, value in facts.items() if k not in known or known[k] != value
+                ] + [(k, "removed", known[k], None) for k in known if k not in facts]
+                if changes:
+                    out = pd.DataFrame(changes, columns=["key", "kind", "old", "new"])
+                    yield out.assign(host=host, section=section, taken=row.taken)[
+                        ["host", "section", "taken", "key", "kind", "old", "new"]
+                    ]
+            known, last = facts, us
+        if last is None or (first is not None and first[0] == last):
+            return
+        for k, value in known.items():
+            if before.get(k) != value:
+                self.facts.updateValue((k,), (value,))
+        for k in before.keys() - known.keys():
+            self.facts.removeKey((k,))
+        self.seen.update((last,))
+        # The watermark lies a period behind the newest snapshot: it passes this one when nothing followed for so long.
+        if first is not None:
+            self.handle.deleteTimer(first[0] // 1000)
+        self.handle.registerTimer(last // 1000)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.facts.clear()
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def change_feed(snapshots: DataFrame, salts: int = 8, forget: str = FORGET) -> DataFrame:
     """Changes from each snapshot to the next, as snapshots(host, taken, sections) arrive.
 
-    A snapshot row carries whole sections, so a section is never compared half
-    delivered.  A snapshot not newer than the last one of its section is
-    ignored; the first one of a section only sets the state.
+    A snapshot row carries whole sections, so a section is never compared half delivered.  A
+    snapshot not newer than the last one of its section is ignored; the first one of a section only
+    sets the state.  A section without a snapshot for the period ``forget``, by the
+    time of the newest snapshot of all hosts, is forgotten: its next one is a first one again.
+    Snapshots older than that are late and ignored.  Needs ``session.rocksdb_state`` where it starts.
     """
     return (
-        salted_sections(snapshots, salts)
+        salted_sections(snapshots.withWatermark("taken", forget), salts)
         .groupBy("host", "section", "salt")
-        .applyInPandasWithState(
-            _section_changes, CHANGE, "seen long, keys array<string>, vals array<string>",
-            "append", GroupStateTimeout.NoTimeout,
-        )
+        .transformWithStateInPandas(SectionChanges(), CHANGE, "append", "EventTime")
     )
 
 
-def _distinct_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _last_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.drop_duplicates()
-
-
-def _restarts(
-    group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    host, name = group
-    known = state.get[0] if state.exists else 0.0
-    starts = sorted({start for batch in batches for start in batch["start_time"]})
-    rises = []
-    for start in starts:
-        if known > 0 and start - known > RESTART_GAP_MS:
-            rises.append((host, name, known, start))
-        known = max(known, start)
-    state.update((known,))
-    if rises:
-        yield pd.DataFrame(rises, columns=["host", "name", "start_before", "start_now"])
-
-
-def restart_feed(processes: DataFrame) -> DataFrame:
-    """Restarts as process samples (host, name, start_time) arrive.
-
-    Emits when the start time of a process rises by more than a minute.  Equal
-    start times are dropped where they are read, so what reaches the state is
-    one row per start and not one per sample.
+        yield batch.groupby(["host", "name", "start_time"], as_index=False, dropna=False)["ts"].max()
+
+
+class Restarts(StatefulProcessor):
+    """State of one process: its greatest start time, and when it was last seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "start double, ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        host, name = key
+        before = self.last.get()
+        known, ms = before if before is not None else (0.0, None)
+        arrived = pd.concat(rows)
+        rises = []
+        for start in sorted(set(arrived["start_time"])):
+            if known > 0 and start - known > RESTART_GAP_MS:
+                rises.append((host, name, known, start))
+            known = max(known, start)
+        seen = int(arrived["ts"].max().value // 1_000_000)
+        if ms is None or seen > ms:
+            if ms is not None:
+                self.handle.deleteTimer(ms)
+            self.handle.registerTimer(seen)
+            ms = seen
+        self.last.update((known, ms))
+        if rises:
+            yield pd.DataFrame(rises, columns=["host", "name", "start_before", "start_now"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def restart_feed(processes: DataFrame, forget: str = FORGET) -> DataFrame:
+    """Restarts as process samples (host, name, start_time, ts) arrive.
+
+    Emits when the start time of a process rises by more than a minute.  Equal start times are
+    merged where they are read, so what reaches the state is one row per start and not one
+    per sample.  A process without a sample for the period ``forget`` is forgotten: its next start is a
+    first one.  Samples older than that are late and ignored.  Needs ``session.rocksdb_state``
+    where it starts.
     """
-    starts = processes.where(F.col("start_time") > 0).select("host", "name", "start_time")
+    starts = processes.where(F.col("start_time") > 0).select(
+        "host", "name", "start_time", F.col("ts").cast("timestamp").alias("ts")
+    )
     return (
-        starts.mapInPandas(_distinct_starts, starts.schema)
+        starts.mapInPandas(_last_seen, "host string, name string, start_time double, ts timestamp")
+        .withWatermark("ts", forget)
         .groupBy("host", "name")
-        .applyInPandasWithState(
-            _restarts, RESTART, "start double", "append", GroupStateTimeout.NoTimeout
-        )
+        .transformWithStateInPandas(Restarts(), RESTART, "append", "EventTime")
     )

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from opsdiff.operators.diff import focus, judge_means
 from opsdiff.operators.rules import findings
 from opsdiff.operators.windows import SERIES
+from opsdiff.session import rocksdb_state
 from opsdiff.sources.catalog import Catalog
 from opsdiff.sources.rules import Rules
 
@@ -105,14 +106,15 @@ def watch(
 
 def run_available(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Runs an append stream over what is there, into parquet, and reads that back."""
-    query = (
-        df.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    query.awaitTermination()
     spark: SparkSession = df.sparkSession
+    with rocksdb_state(spark):
+        query = (
+            df.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(out)
+        )
+    query.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 

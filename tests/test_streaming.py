@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,18 +87,114 @@ def test_several_snapshots_in_one_batch(spark):
     assert tuples(got, "old", "new") == [("1", "2"), ("2", "3")]
 
 
+def state_of(feed, name):
+    """The entries of a state variable as of the last batch."""
+    return feed.spark.read.format("statestore").option("path", feed.state).option("stateVarName", name).load()
+
+
+def test_sections_of_a_gone_host_leave_no_state(spark):
+    feed = Feed(spark, SNAP)
+    stream = feeds.change_feed(feed.stream(), salts=1, forget="2 hours")
+    feed.put([snapshot("01:00", host="gone", s={"a": "1", "b": "1"}), snapshot("01:00", s={"a": "1"})])
+    feed.run(stream)
+    assert tuples(state_of(feed, "facts").select("key.host", "user_map_key.key"), "host", "key") == [("gone", "a"), ("gone", "b"), ("h", "a")]
+    feed.put([snapshot("02:30", s={"a": "2"})])
+    feed.run(stream)
+    assert state_of(feed, "facts").count() == 3  # not yet two hours
+    feed.put([snapshot("03:30", s={"a": "3"})])
+    feed.run(stream)
+    assert tuples(state_of(feed, "seen").select("key.host"), "host") == [("h",)]
+    assert tuples(state_of(feed, "facts").select("key.host", "user_map_value.value"), "host", "value") == [("h", "3")]
+    # back again: its first snapshot sets the state only
+    feed.put([snapshot("04:00", host="gone", s={"c": "1"}), snapshot("04:00", s={"a": "3"})])
+    got = feed.run(stream)
+    assert tuples(got, "host", "key", "old", "new") == [("h", "a", "1", "2"), ("h", "a", "2", "3")]
+
+
+def test_one_changed_fact_writes_one_entry(monkeypatch):
+    """The entries are written for what changed, not for the section."""
+    class Map(dict):
+        writes = 0
+
+        def iterator(self):
+            return iter([((k,), (v,)) for k, v in self.items()])
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.writes += 1
+            self[key[0]] = value[0]
+
+        def removeKey(self, key):  # noqa: N802
+            self.writes += 1
+            del self[key[0]]
+
+    class Value:
+        now = None
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+    class Handle:
+        timers = set()
+
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
+
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.add(ms)
+
+        def deleteTimer(self, ms):  # noqa: N802
+            self.timers.remove(ms)
+
+    def deliver(minute, facts):
+        frame = pd.DataFrame({"taken": [pd.Timestamp(2024, 3, 1, 10, minute)], "keys": [list(facts)], "values": [list(facts.values())]})
+        return [tuple(r) for out in one.handleInputRows(("h", "s", 0), iter([frame]), None) for r in out[["key", "kind"]].itertuples(index=False)]
+
+    one = feeds.SectionChanges()
+    one.init(Handle())
+    facts = {f"k{i}": "1" for i in range(200)}
+    assert deliver(0, facts) == [] and one.facts.writes == 200
+    assert deliver(1, facts | {"k7": "2"}) == [("k7", "modified")] and one.facts.writes == 201
+    assert deliver(1, {}) == [] and deliver(0, {}) == [] and one.facts.writes == 201
+    assert deliver(2, {k: v for k, v in facts.items() if k != "k9"} | {"k7": "2"}) == [("k9", "removed")] and one.facts.writes == 202
+    assert len(Handle.timers) == 1 and len(one.facts) == 199
+
+
+PROCESS = "host string, name string, start_time double, ts timestamp"
+
+
 def test_restart_feed(spark):
-    schema = "host string, name string, start_time double"
-    feed = Feed(spark, schema)
+    feed = Feed(spark, PROCESS)
     stream = feeds.restart_feed(feed.stream())
-    feed.put([("h", "web", 1e6)] * 50 + [("h", "db", 0.0)])
+    now = at("10:00")
+    feed.put([("h", "web", 1e6, now)] * 50 + [("h", "db", 0.0, now)])
     assert feed.run(stream).count() == 0
-    feed.put([("h", "web", 1e6 + 60000), ("h", "db", 5e6)])
+    feed.put([("h", "web", 1e6 + 60000, now), ("h", "db", 5e6, now)])
     assert feed.run(stream).count() == 0
-    feed.put([("h", "web", 1e6 + 60000 + 60001), ("h", "web", 1e6)])
+    feed.put([("h", "web", 1e6 + 60000 + 60001, now), ("h", "web", 1e6, now)])
     assert tuples(feed.run(stream), "name", "start_before", "start_now") == [("web", 1e6 + 60000, 1e6 + 120001)]
 
 
+def test_processes_not_seen_leave_no_state(spark):
+    feed = Feed(spark, PROCESS)
+    stream = feeds.restart_feed(feed.stream(), forget="1 hour")
+    feed.put([("h", "once", 1e6, at("10:00")), ("h", "web", 1e6, at("10:00"))])
+    feed.run(stream)
+    feed.put([("h", "web", 1e6, at("10:50"))])
+    feed.run(stream)
+    assert state_of(feed, "last").count() == 2
+    feed.put([("h", "web", 2e6, at("11:30"))])
+    assert tuples(feed.run(stream), "name") == [("web",)]
+    assert tuples(state_of(feed, "last").select("key.name", "value.start"), "name", "start") == [("web", 2e6)]
+    feed.put([("h", "once", 9e6, at("11:40"))])
+    assert feed.run(stream).count() == 1  # a first start again
+
+
 def test_facts_delivered_twice_count_once(spark):
     schema = "host string, taken timestamp_ntz, section string, key string, value string"
     feed = Feed(spark, schema)
