@@ -578,6 +578,18 @@ pairs AS (SELECT h.host, coalesce(max(taken) FILTER (WHERE taken <= b_taken - IN
     "SELECT f.* FROM facts f JOIN pairs p ON f.host = p.host AND f.taken = p.b_taken")
 
 
+@check("fact_intervals", f"""WITH {i.FACTS}, numbers AS (
+  SELECT host, taken, row_number() OVER (PARTITION BY host ORDER BY taken) AS n, lead(taken) OVER (PARTITION BY host ORDER BY taken) AS after
+  FROM (SELECT DISTINCT host, taken FROM facts)),
+last AS (SELECT host, taken, section, key, arg_max(value, seq) AS value, arg_max(note, seq) AS note FROM facts GROUP BY ALL),
+numbered AS (SELECT l.*, n, after, n - row_number() OVER (PARTITION BY host, section, key, value ORDER BY taken) AS island FROM last l JOIN numbers USING (host, taken))
+SELECT host, section, key, value, arg_min(note, taken) AS note, min(taken) AS since, max(taken) AS until, arg_max(coalesce(after, TIMESTAMP '9999-01-01'), taken) AS ended
+FROM numbered GROUP BY host, section, key, value, island""")
+def fact_intervals(spark, sf_dir):
+    far = F.lit("9999-01-01").cast("timestamp_ntz")
+    return state.fact_intervals(i.facts(spark, sf_dir)).withColumn("ended", F.coalesce("ended", far))
+
+
 @check("state_report", f"WITH {i.FACTS}, {CHOSEN} SELECT p.a_taken, p.b_taken, c.* FROM changes c JOIN pairs p ON c.host = p.host")
 def state_report(spark, sf_dir):
     return reports.state_report(i.facts(spark, sf_dir), since=timedelta(days=7)).changes

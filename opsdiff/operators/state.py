@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdiff.operators.chunks import DAY, latest_at_or_before, sortable, with_previous
@@ -114,7 +114,8 @@ def _diff(sided: DataFrame, group: list[str]) -> DataFrame:
     (greatest seq) stands.
     """
     side = F.col("side")
-    last = F.struct("seq", "value", "note")
+    titled = "title" in sided.columns
+    last = F.struct("seq", "value", "note", *(["title"] if titled else []))
     keyed = sided.groupBy(*sortable([*group, "section", "key"])).agg(
         F.max(F.when(side == "a", last)).alias("old"),
         F.max(F.when(side == "b", last)).alias("new"),
@@ -123,14 +124,15 @@ def _diff(sided: DataFrame, group: list[str]) -> DataFrame:
     changed = keyed.withColumn(
         "kind", change_kind(has_a, has_b, F.col("old.value"), F.col("new.value"))
     ).where(F.col("kind").isNotNull())
-    if "title" in sided.columns:
-        # A section is titled by B, else by A, whichever of its facts changed.
-        title = F.nullif("title", F.lit(""))
-        titles = sided.groupBy(*group, "section").agg(
-            F.coalesce(
-                F.max(F.when(side == "b", title)), F.max(F.when(side == "a", title)), F.lit("")
-            ).alias("title")
-        )
+    if titled:
+        # A section is titled by B, else by A, whichever of its facts changed.  Titles come from the
+        # grouped facts, whose shuffle both branches share.
+        def greatest(side: str) -> Column:
+            return F.max(F.nullif(F.col(side)["title"], F.lit("")))
+
+        titles = keyed.groupBy(*sortable([*group, "section"])).agg(
+            F.coalesce(greatest("new"), greatest("old"), F.lit("")).alias("title")
+        ).drop("_order")
         changed = changed.join(titles, [*group, "section"])
     else:
         changed = changed.withColumn("title", section_title(F.col("section")))
@@ -204,10 +206,115 @@ def consecutive_pairs(headers: DataFrame) -> DataFrame:
     )
 
 
-def consecutive_diff(facts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """Changes between each snapshot and the one before, over the whole history."""
-    return diff_pairs(
-        facts, consecutive_pairs(headers_of(facts) if headers is None else headers)
+def snapshot_neighbours(headers: DataFrame) -> DataFrame:
+    """Every snapshot with the times of the one before and after it on its host, NULL at the ends."""
+    stepped = with_previous(headers.select("host", "taken"), ["host"], "taken", "taken", "before", 30 * DAY)
+    none = F.lit(None).cast(headers.schema["taken"].dataType)
+    before = F.col("before")
+    ends = stepped.select("host", F.inline(F.array_compact(F.array(
+        F.struct("taken", "before", none.alias("after")),
+        F.when(before.isNotNull(), F.struct(before.alias("taken"), none.alias("before"), F.col("taken").alias("after"))),
+    ))))
+    return ends.groupBy("host", "taken").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+
+
+FACT_OF = ["host", "section", "key"]
+
+
+def _bordered(facts: DataFrame, headers: DataFrame) -> DataFrame:
+    """Facts beside the same fact in the snapshots before and after.
+
+    Adds before and after (times of the neighbour snapshots), old (what the fact was in the one before) and
+    held (whether it is in the one after, and with the same value).  The facts are shuffled once, by
+    fact: repeats, the order in time and what follows all need no more than that.
+    """
+    around = broadcast_if_small(snapshot_neighbours(headers).withColumnRenamed("taken", "_taken"))
+    near = facts.join(around.withColumnRenamed("host", "_host"), (F.col("host") == F.col("_host")) & (F.col("taken") == F.col("_taken")))
+    have = facts.columns
+    note = F.coalesce("note", F.lit("")) if "note" in have else F.lit("")
+    seq = F.col("seq") if "seq" in have else F.lit(0)
+    one = near.select(
+        *FACT_OF, "taken", "before", "after", F.struct(seq.alias("seq"), "value", note.alias("note")).alias("f")
+    ).repartition(*FACT_OF)
+    # Of a key delivered twice in a snapshot the last stands.
+    in_time = Window.partitionBy(*FACT_OF).orderBy("taken", "f")
+    last = one.withColumn("_next", F.lead("taken").over(in_time)).where(
+        F.col("_next").isNull() | (F.col("_next") != F.col("taken"))
+    )
+    in_time = Window.partitionBy(*FACT_OF).orderBy("taken")
+    there = F.struct("taken", F.col("f.value").alias("value"), F.col("f.note").alias("note"))
+    beside = last.withColumns({"_old": F.lag(there).over(in_time), "_new": F.lead(there).over(in_time)})
+    value = F.col("f.value")
+    return beside.select(
+        *FACT_OF, "taken", "before", "after", value.alias("value"), F.col("f.note").alias("note"),
+        F.when(F.col("_old.taken") == F.col("before"), F.col("_old")).alias("old"),
+        F.when(F.col("_new.taken") == F.col("after"), value.eqNullSafe(F.col("_new.value"))).alias("held"),
+    )
+
+
+def fact_intervals(facts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Validity of every value: (host, section, key, value, note, since, until, ended).
+
+    A row for each stretch of neighbouring snapshots that hold the value; since and until are the
+    first and last of them, note is that of the first.  ``ended`` is the time of the snapshot that
+    has another value or none, NULL while the value stands.
+    """
+    headers = headers_of(facts) if headers is None else headers
+    here = _bordered(facts, headers)
+    starts = F.col("old").isNull() | ~F.col("old.value").eqNullSafe(F.col("value"))
+    ends = ~F.coalesce(F.col("held"), F.lit(False))
+    edges = here.withColumns({"_starts": starts, "_ends": ends}).where(F.col("_starts") | F.col("_ends"))
+    in_time = Window.partitionBy(*FACT_OF).orderBy("taken")
+    close = F.struct(F.col("taken").alias("until"), F.col("after").alias("ended"))
+    closed = edges.withColumn("_close", F.when(F.col("_ends"), close).otherwise(F.lead(close).over(in_time)))
+    return closed.where("_starts").select(
+        *FACT_OF, "value", "note", F.col("taken").alias("since"), "_close.until", "_close.ended"
+    )
+
+
+def _titles(facts: DataFrame, sections: DataFrame | None) -> DataFrame:
+    """(host, taken, section, title) of sections that have one."""
+    of = facts if sections is None else sections
+    named = of.where(F.col("title") != "")
+    return named.groupBy("host", "taken", "section").agg(F.max("title").alias("title"))
+
+
+def consecutive_diff(
+    facts: DataFrame, headers: DataFrame | None = None, sections: DataFrame | None = None
+) -> DataFrame:
+    """Changes between each snapshot and the one before, over the whole history.
+
+    A fact appears where the snapshot before lacks it, and goes where the next snapshot
+    does: a gap between its snapshots that the headers do not have.  ``headers`` and ``sections``
+    are those stored with the snapshots; without them they are made from the facts.
+    """
+    headers = headers_of(facts) if headers is None else headers
+    here = _bordered(facts, headers)
+    old = F.col("old")
+    event = F.when(old.isNull(), "added").when(~old["value"].eqNullSafe(F.col("value")), "modified")
+    none = F.lit(None).cast("string")
+    arrived = F.when(F.col("before").isNotNull() & event.isNotNull(), F.struct(
+        F.col("before").alias("a_taken"), F.col("taken").alias("b_taken"), event.alias("kind"),
+        old["value"].alias("old"), F.col("value").alias("new"), F.col("note").alias("note"),
+    ))
+    left = F.when(F.col("after").isNotNull() & F.col("held").isNull(), F.struct(
+        F.col("taken").alias("a_taken"), F.col("after").alias("b_taken"), F.lit("removed").alias("kind"),
+        F.col("value").alias("old"), none.alias("new"), F.col("note").alias("note"),
+    ))
+    events = here.select(*FACT_OF, F.inline(F.array_compact(F.array(arrived, left))))
+    if "title" in facts.columns or sections is not None:
+        titles = _titles(facts, sections)
+        for side in ("b", "a"):
+            events = events.join(
+                titles.select("host", F.col("taken").alias(f"{side}_taken"), "section", F.col("title").alias(f"_{side}")),
+                ["host", f"{side}_taken", "section"], "left",
+            )
+        title = F.coalesce("_b", "_a", F.lit(""))
+    else:
+        title = section_title(F.col("section"))
+    return events.select(
+        "host", "a_taken", "b_taken", "section", title.alias("title"), "key", "kind", "old", "new", "note",
+        section_rank(F.col("section")).alias("section_rank"),
     )
 
 
@@ -222,19 +329,18 @@ def choose_pair(
     else the earliest.  A snapshot is never compared with itself: a host that
     has just one gives no pair.
     """
-    chosen_b = (latest(headers) if b is None else snapshot_asof(headers, b)).withColumnRenamed(
-        "taken", "b_taken"
-    )
+    taken = F.col("taken")
+    until_b = taken if b is None else F.when(taken <= time_literal(headers, "taken", b), taken)
     if a is not None:
-        chosen_a = snapshot_asof(headers, a).withColumnRenamed("taken", "a_taken")
-        pairs = chosen_b.join(chosen_a, "host")
+        until_a = F.when(taken <= time_literal(headers, "taken", a), taken)
+        pairs = headers.groupBy("host").agg(F.max(until_a).alias("a_taken"), F.max(until_b).alias("b_taken"))
     else:
+        # One row per snapshot beside the chosen B of its host: the headers are read once.
         back = F.make_dt_interval(secs=F.lit(since.total_seconds()))
-        taken = F.col("taken")
+        chosen = headers.select("host", "taken", F.max(until_b).over(Window.partitionBy("host")).alias("b_taken"))
         near = F.max(F.when(taken <= F.col("b_taken") - back, taken))
         pairs = (
-            headers.join(chosen_b, "host")
-            .where(taken < F.col("b_taken"))
+            chosen.where(taken < F.col("b_taken"))
             .groupBy("host", "b_taken")
             .agg(F.coalesce(near, F.min("taken")).alias("a_taken"))
         )

@@ -149,40 +149,53 @@ def _counter_step(prev: Column, here: Column) -> tuple[Column, Column]:
     )
 
 
+def _segment(points: Column, step) -> Column:
+    """struct(first, last, amount, span) of an array of samples struct(us, value) in any order.
+
+    Walks from the last sample to the first, so that of samples with equal time the greatest value
+    comes first and stands.
+    """
+    def plus(total: Column, x: Column) -> Column:
+        return total + F.coalesce(x.cast("double"), F.lit(0.0))
+
+    def walk(later: Column, here: Column) -> Column:
+        amount, span = step(here, later["first"])
+        return F.when(here["us"] == later["first"]["us"], later).otherwise(F.struct(
+            here.alias("first"), later["last"].alias("last"),
+            plus(later["amount"], amount).alias("amount"), plus(later["span"], span).alias("span"),
+        ))
+
+    def fold(sorted_: Column) -> Column:
+        end = F.struct(
+            sorted_[0].alias("first"), sorted_[0].alias("last"), F.lit(0.0).alias("amount"), F.lit(0.0).alias("span")
+        )
+        return F.aggregate(sorted_, end, walk)
+
+    # A lambda's variable is computed once.
+    return F.transform(F.array(F.sort_array(points, asc=False)), fold)[0]
+
+
 def _steps(samples: DataFrame, keys: list[str], chunk: timedelta, step) -> DataFrame:
     """Sums a quantity over neighbouring samples: (keys, total, span, last).
 
-    Neighbours inside a chunk of time meet in a window over (keys, chunk), the
-    samples on both sides of a chunk border through one row per chunk, so that
-    a series with very many samples is spread over many tasks.
+    The samples of a series and chunk of time are gathered where they are read, copies once, and
+    shuffled as one row a task; they become a segment (first, last, amount, span).  Segments are
+    linked by one small row per chunk, so that a series with very many samples is spread over
+    many tasks.
     """
     point = F.struct(micros(F.col("ts")).alias("us"), F.col("value").alias("value"))
-    # Of samples with equal time the greatest value stands, whatever the input order.
-    # Copies of a sample are merged where they are read, before any shuffle.
-    unique = (
-        samples.groupBy(*keys, "ts").agg(F.max("value").alias("value"))
-        .select(*keys, chunk_of(F.col("ts"), chunk).alias("_chunk"), point.alias("p"))
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("p.us")
-    amount, span = step(F.lag("p").over(inside), F.col("p"))
-    per_chunk = (
-        unique.select(*keys, "_chunk", "p", amount.alias("amount"), span.alias("span"))
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.sum("amount").alias("amount"), F.sum("span").alias("span"),
-            F.min("p").alias("first"), F.max("p").alias("last"),
-        )
-    )
+    chunked = samples.select(*keys, chunk_of(F.col("ts"), chunk).alias("_chunk"), point.alias("p"))
+    gathered = chunked.groupBy(*sortable([*keys, "_chunk"])).agg(F.collect_set("p").alias("points"))
+    segments = gathered.select(*keys, "_chunk", _segment(F.col("points"), step).alias("s"))
     across = Window.partitionBy(*keys).orderBy("_chunk")
-    edge_amount, edge_span = step(F.lag("last").over(across), F.col("first"))
-    linked = per_chunk.select(
-        *keys, "amount", "span", "last",
-        edge_amount.alias("edge_amount"), edge_span.alias("edge_span"),
+    amount, span = step(F.lag("s.last").over(across), F.col("s.first"))
+    linked = segments.select(
+        *keys, "s.amount", "s.span", "s.last", amount.alias("edge_amount"), span.alias("edge_span")
     )
     zero = F.lit(0.0)
 
     def total(a: str, b: str) -> Column:
-        return F.coalesce(F.sum(a), zero) + F.coalesce(F.sum(b), zero)
+        return F.sum(a) + F.coalesce(F.sum(b), zero)
 
     return linked.groupBy(*keys).agg(
         total("amount", "edge_amount").alias("total"),

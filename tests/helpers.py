@@ -34,3 +34,23 @@ def dicts(df, *columns):
 
 def tuples(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def exchanges(df, *columns):
+    """How many shuffles of the plan move all of these columns."""
+    count, plan = 0, df._jdf.queryExecution().executedPlan()
+    todo = [plan.inputPlan() if hasattr(plan, "inputPlan") and "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            out = {node.output().apply(i).name() for i in range(node.output().size())}
+            count += set(columns) <= out
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return count
+
+
+def scans(df):
+    """How many times files were read, where shuffles that are alike run once."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return final.count("FileScan")
