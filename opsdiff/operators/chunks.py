@@ -13,6 +13,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsdiff.session import fetched_if_small
+
 HOUR = timedelta(hours=1)
 DAY = timedelta(days=1)
 
@@ -68,52 +70,58 @@ def with_previous(
     )
 
 
+DEPTH = 1 << 17
+
+
 def latest_at_or_before(
     anchors: DataFrame, times: DataFrame, key: str, anchor: str, ts: str, out: str,
-    chunk: timedelta = DAY, salts: int = 8,
+    chunk: timedelta = DAY, depth: int = DEPTH,
 ) -> DataFrame:
     """Adds ``out`` to every anchor: the greatest ``ts`` of its key that is not later.
 
-    An as-of join on time alone: both sides meet in one running maximum per
-    (key, chunk), and chunks without an earlier time take the maximum so far.
-    Anchors are spread over ``salts`` shares of a chunk and the (fewer, distinct)
-    times are copied to each share, so that a busy key and day is split as well.
+    An as-of join on time alone, by a running maximum on two levels: over the chunks of a key, one
+    small row each, and inside a chunk, which starts with what the chunks before it had.  Anchors
+    are counted per chunk first; a chunk deeper than ``depth`` is split into as many shares, and
+    the (fewer, distinct) times of that chunk are copied to each.  So no task grows with a
+    busy key, a busy hour or copies of a row, and the anchors are shuffled once.
     """
     seen = F.col(ts)
     distinct = times.select(key, ts).distinct()
+    counts = anchors.groupBy(key, chunk_of(F.col(anchor), chunk).alias("_chunk")).agg(F.count("*").alias("_n"))
+    # At most one chunk for each ``depth`` anchors.
+    deep = fetched_if_small(
+        counts.where(F.col("_n") > depth).select(key, "_chunk", F.ceil(F.col("_n") / depth).cast("int").alias("_shares"))
+    )
+    tops = distinct.groupBy(key, chunk_of(seen, chunk).alias("_chunk")).agg(F.max(ts).alias("_top"))
+    asked = counts.select(key, "_chunk", F.lit(None).cast(times.schema[ts].dataType).alias("_top"))
+    edges = tops.unionByName(asked).groupBy(key, "_chunk").agg(F.max("_top").alias("_top"))
+    earlier = (
+        Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = edges.select(key, "_chunk", F.max("_top").over(earlier).alias("_seen")).where("_seen is not null")
+
     asks = anchors.select(
-        F.col(key), F.col(anchor).alias("_at"), F.lit(1).alias("_side"),
-        F.lit(None).cast(times.schema[ts].dataType).alias("_seen"),
-        F.struct(*anchors.columns).alias("_row"),
+        F.col(key), chunk_of(F.col(anchor), chunk).alias("_chunk"), F.col(anchor).alias("_at"), F.lit(1).alias("_side"),
+        F.lit(None).cast(times.schema[ts].dataType).alias("_seen"), F.struct(*anchors.columns).alias("_row"),
     )
-    marks = distinct.select(
-        F.col(key), seen.alias("_at"), F.lit(0).alias("_side"), seen.alias("_seen"),
+    # A time without a moment of its own comes before all others of its chunk.
+    marks = distinct.select(key, chunk_of(seen, chunk).alias("_chunk"), seen.alias("_at"), seen.alias("_seen")).unionByName(
+        carried.select(key, "_chunk", F.lit(None).cast(times.schema[ts].dataType).alias("_at"), "_seen")
+    ).select(
+        key, "_chunk", F.col("_at").cast(asks.schema["_at"].dataType).alias("_at"), F.lit(0).alias("_side"), "_seen",
         F.lit(None).cast(asks.schema["_row"].dataType).alias("_row"),
     )
-    at_chunk = chunk_of(F.col("_at"), chunk)
-    salted = asks.withColumn(
-        "_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")
-    ).unionByName(
-        marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    ).withColumn("_chunk", at_chunk)
+    shares = F.coalesce("_shares", F.lit(1))
+    # The task's number spreads copies of one row.
+    share = F.pmod(F.xxhash64("_row", F.spark_partition_id()), shares).cast("int")
+    columns = [key, "_chunk", "_at", "_side", "_seen", "_row"]
+    salted = asks.join(deep, [key, "_chunk"], "left").select(*columns, share.alias("_salt")).unionByName(
+        marks.join(deep, [key, "_chunk"], "left").select(*columns, F.explode(F.sequence(F.lit(0), shares - 1)).alias("_salt"))
+    )
     running = (
         Window.partitionBy(key, "_chunk", "_salt")
         .orderBy("_at", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = salted.withColumn("_near", F.max("_seen").over(running)).where("_side = 1")
-    # Chunks with anchors take the last time of all chunks before them.
-    edges = asks.select(key, at_chunk.alias("_chunk"), "_seen").unionByName(
-        marks.select(key, at_chunk.alias("_chunk"), "_seen")
-    )
-    earlier = (
-        Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        edges.groupBy(key, "_chunk")
-        .agg(F.max("_seen").alias("_top"))
-        .select(key, "_chunk", F.max("_top").over(earlier).alias("_carried"))
-    )
-    return inside.join(carried, [key, "_chunk"], "left").select(
-        "_row.*", F.coalesce("_near", "_carried").alias(out)
-    )
+    inside = salted.withColumn(out, F.max("_seen").over(running)).where("_side = 1")
+    return inside.select("_row.*", out)

@@ -46,6 +46,15 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fetched_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table of parameters computed once: rows that fit the limit come back as a table to broadcast.
+
+    More rows than that stay where they are and are joined by shuffle.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= limit else df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsdiff.operators import state, windows
-from opsdiff.operators.chunks import DAY, HOUR
+from opsdiff.operators.chunks import DAY, HOUR, latest_at_or_before
 from opsdiff.plans.reports import state_report
 from tests.helpers import SAMPLE, exchanges, scans, tuples
 
@@ -146,3 +146,47 @@ def test_samples_are_gathered_before_one_shuffle(spark):
     assert exchanges(rates, "ts") == 0 and exchanges(rates, "p") == 0
     wide = rates._jdf.queryExecution().executedPlan().toString()
     assert wide.count("Exchange hashpartitioning") == 2 and "partial_collect_set" in wide
+
+
+# As-of join
+
+def asof_by_hand(anchors, times):
+    return sorted(((*a, max((t for h, t in times if h == a[0] and t <= a[1]), default=None)) for a in anchors), key=repr)
+
+
+@pytest.mark.parametrize("chunk, depth", [(DAY, 1 << 17), (DAY, 3), (HOUR, 1), (timedelta(minutes=1), 2)])
+def test_asof_join_by_hand(spark, chunk, depth):
+    rng = random.Random(3)
+    moment = lambda: START + timedelta(minutes=rng.randrange(0, 20000, 30))
+    anchors = [(rng.choice("aaab"), moment(), n) for n in range(300)] + [("a", START, -1)] * 20 + [("nobody", START, -2), (None, START, -3), ("a", None, -4)]
+    times = [(rng.choice("ab"), moment()) for _ in range(60)] * 2 + [("c", START)]
+    got = latest_at_or_before(
+        spark.createDataFrame(anchors, "host string, t timestamp_ntz, id int").repartition(4),
+        spark.createDataFrame(times, "host string, taken timestamp_ntz"), "host", "t", "taken", "taken", chunk, depth)
+    usable = [a for a in anchors if a[1] is not None]
+    assert sorted(map(tuple, got.where("t is not null").collect()), key=repr) == asof_by_hand(usable, times)
+    assert got.count() == len(anchors)
+
+
+def test_a_busy_host_is_spread(spark):
+    """Half of all anchors are one host's, at one moment, and copies of one row, from many files."""
+    n, parts = 40_000, 64
+    busy = F.col("id") % 2 == 0
+    anchors = spark.range(0, n, 1, 256).select(
+        F.when(busy, "busy").otherwise(F.concat(F.lit("h"), F.col("id") % 997)).alias("host"),
+        F.lit(START).cast("timestamp_ntz").alias("t") + F.make_dt_interval(hours=F.when(busy, 5).otherwise(F.col("id") % 700).cast("int")),
+        F.when(~busy, F.col("id")).alias("id")).toDF("host", "t", "id")
+    times = spark.range(2000).select(F.concat(F.lit("h"), F.col("id") % 997).alias("host"), F.lit(START).cast("timestamp_ntz").alias("taken"))
+    times = times.unionByName(spark.createDataFrame([("busy", START + HOUR * k) for k in range(9)], times.schema))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = latest_at_or_before(anchors, times, "host", "t", "taken", "taken", DAY, depth=n // (16 * parts))
+        sizes = sorted(r["count"] for r in got.select(F.spark_partition_id().alias("p"), "taken").groupBy("p").agg(F.count("*").alias("count"), F.max("taken")).collect())
+        assert len(sizes) == parts and sum(sizes) == n and sizes[-1] < 3 * sizes[parts // 2]
+        assert got.where("host = 'busy'").select("taken").distinct().collect()[0][0] == START + 5 * HOUR
+        assert exchanges(got, "_row") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
