@@ -206,6 +206,28 @@ def stored_facts(spark, sf_dir):
     )
 
 
+def _store(spark, sf_dir):
+    """Two committed batches, the second one delivered again, and one whose writer stopped half way."""
+    path, facts = shared_dir(spark, "store"), i.facts(spark, sf_dir)
+    early = F.col("taken") < F.lit("2024-01-16").cast("timestamp_ntz")
+    snapshots.write_flat_snapshots(facts.where(early), path, "first")
+    snapshots.write_flat_snapshots(facts.where(~early), path, "second")
+    snapshots.write_flat_snapshots(facts, path, "second")
+    stray = facts.withColumns({"key": F.lit("stray"), "date": F.to_date("taken"), "batch": F.lit("stray")})
+    stray.write.mode("append").partitionBy("date", "batch").parquet(f"{path}/facts")
+    return path
+
+
+@check("stored_state_report", f"WITH {i.FACTS}, {tables.CHOSEN} SELECT p.a_taken, p.b_taken, c.* FROM changes c JOIN pairs p ON c.host = p.host")
+def stored_state_report(spark, sf_dir):
+    return reports.stored_state_report(spark, _store(spark, sf_dir), since=timedelta(days=7)).changes
+
+
+@check("stored_history", f"WITH {i.FACTS}, {i.CONSECUTIVE} SELECT host, a_taken, b_taken, {tables.CHANGE} FROM changes")
+def stored_history(spark, sf_dir):
+    return reports.stored_history(spark, _store(spark, sf_dir))
+
+
 @check("snapshot_bodies", f"WITH {i.FACTS} SELECT host, section, key, count(*) AS n, max(value) AS value FROM facts GROUP BY ALL")
 def snapshot_bodies(spark, sf_dir):
     # One body per fact is enough to read the nested form; bodies are made here, not stored.

@@ -15,14 +15,14 @@ from opsdiff.operators.diff import regressed, verdict_counts, window_diff
 from opsdiff.operators.proc import hosts_without_data, proc_diff, restarts
 from opsdiff.operators.rules import findings, software_block
 from opsdiff.operators.state import (
-    change_counts, choose_pair, diff_pairs, headers_of, latest, state_diff,
+    change_counts, choose_pair, consecutive_diff, diff_pairs, headers_of, latest, state_diff,
 )
 from opsdiff.operators.triage import triage
 from opsdiff.operators.windows import Windows
 from opsdiff.sources.catalog import Catalog, builtin_catalog
 from opsdiff.sources.report_json import write_json
 from opsdiff.sources.rules import Rules, builtin_rules
-from opsdiff.sources.snapshots import load_marker, save_marker
+from opsdiff.sources.snapshots import load_marker, read_snapshot_table, save_marker
 
 
 def stored(df: DataFrame, path: str | None) -> DataFrame:
@@ -151,6 +151,22 @@ def state_report(
     return _state_report(stored(diff_pairs(facts, pairs), keep), pairs)
 
 
+def stored_state_report(
+    spark: SparkSession, path: str, a: datetime | None = None, b: datetime | None = None,
+    since: timedelta = DAY, keep: str | None = None,
+) -> StateReport:
+    """state_report over stored snapshots: the pairs come from the headers alone, so that a
+    snapshot without facts counts, and of the facts the days of the pairs are read."""
+    headers = read_snapshot_table(spark, path, "headers")
+    return state_report(read_snapshot_table(spark, path, "facts"), a, b, since, headers, keep)
+
+
+def stored_history(spark: SparkSession, path: str) -> DataFrame:
+    """consecutive_diff over stored snapshots, with their headers and the titles of their sections."""
+    headers, sections, facts = (read_snapshot_table(spark, path, n) for n in ("headers", "sections", "facts"))
+    return consecutive_diff(facts, headers, sections)
+
+
 def verify_start(facts: DataFrame, path: str, name: str | None = None, now: datetime | None = None) -> str:
     """Stores the current facts as a named baseline and returns the name."""
     name = name or f"release-{now or datetime.now():%Y%m%d-%H%M%S}"

@@ -1,11 +1,13 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from opsdiff.operators import state
-from opsdiff.plans.reports import state_report
+from opsdiff.plans.reports import state_report, stored_history, stored_state_report
 from opsdiff.sources import catalog as cat
 from opsdiff.sources import rules as rul
 from opsdiff.sources import snapshots as snap
@@ -284,3 +286,66 @@ def test_an_empty_snapshot_is_stored_and_found(spark, tmp_path):
     assert tuples(asof, "taken") == [(datetime(2024, 1, 2),)]
     report = state_report(stored, datetime(2024, 1, 1), datetime(2024, 1, 2), headers=headers)
     assert tuples(report.changes, "key", "kind") == [("k", "removed")]
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", [0, 1, 2, 3])
+def test_a_batch_is_there_whole_or_not_at_all(spark, tmp_path, monkeypatch, after):
+    path, days = str(tmp_path / "s"), [datetime(2024, 1, d) for d in (1, 2)]
+    flat = lambda t, v: facts(spark, t, ("k", v)).withColumns({"title": F.lit("T"), "note": F.lit(""), "seq": F.lit(0)})
+    snap.write_flat_snapshots(flat(days[0], "1"), path, "one")
+    real, written = DataFrameWriter.parquet, []
+
+    def stops(self, to, *args, **kw):
+        if len(written) == after:
+            raise Stopped
+        written.append(to)
+        return real(self, to, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", stops)
+    with pytest.raises(Stopped):
+        snap.write_flat_snapshots(flat(days[1], "2"), path, "two")
+    monkeypatch.undo()
+    assert len(written) == after
+    count = lambda: [snap.read_snapshot_table(spark, path, n).count() for n in snap.TABLES]
+    assert count() == [1, 1, 1]
+    assert stored_history(spark, path).count() == 0
+    # The same batch again, and once more after it is committed.
+    snap.write_flat_snapshots(flat(days[1], "2"), path, "two")
+    snap.write_flat_snapshots(flat(days[1], "3"), path, "two")
+    assert count() == [2, 2, 2]
+    assert tuples(stored_history(spark, path), "key", "old", "new", "title") == [("k", "1", "2", "T")]
+    assert tuples(stored_state_report(spark, path).changes, "old", "new") == [("1", "2")]
+    assert snap.drop_uncommitted(spark, path) == after and count() == [2, 2, 2]
+
+
+def test_nothing_stored_and_first_batch_lost(spark, tmp_path):
+    with pytest.raises(ValueError):
+        snap.read_snapshot_table(spark, str(tmp_path / "none"), "facts")
+    with pytest.raises(ValueError):
+        snap.read_snapshot_table(spark, str(tmp_path / "none"), "other")
+
+
+def test_a_baseline_stays_when_its_replacement_fails(spark, tmp_path, monkeypatch):
+    path, t = str(tmp_path / "markers"), datetime(2024, 1, 1)
+    value = lambda: tuples(snap.load_marker(spark, "rel", path), "value")
+    snap.save_marker("rel", facts(spark, t, ("k", "1")), path)
+    broken = facts(spark, t, ("k", "2")).withColumn("value", F.raise_error(F.lit("disk full")))
+    with pytest.raises(Exception, match="disk full"):
+        snap.save_marker("rel", broken, path)
+    assert value() == [("1",)]
+    monkeypatch.setattr(snap, "_commit", lambda *_: (_ for _ in ()).throw(Stopped()))
+    with pytest.raises(Stopped):
+        snap.save_marker("rel", facts(spark, t, ("k", "3")), path)
+    monkeypatch.undo()
+    assert value() == [("1",)]
+    before = snap.load_marker(spark, "rel", path)
+    snap.save_marker("rel", facts(spark, t, ("k", "4")), path)
+    assert value() == [("4",)] and tuples(before, "value") == [("1",)]  # a reader that began before
+    for n in range(5, 9):
+        snap.save_marker("rel", facts(spark, t, ("k", str(n))), path)
+    kept = os.listdir(tmp_path / "markers" / "rel.marker" / "versions")
+    assert value() == [("8",)] and len(kept) <= 4  # two versions, and what failed
