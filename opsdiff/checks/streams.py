@@ -47,6 +47,21 @@ def stream_sliding_means(spark, sf_dir):
     return _plain_times(rounded(run(spark, stream, "sliding"), "val"), "start", "end")
 
 
+_TIER_1 = "(SELECT max(time_bucket(INTERVAL 10 SECOND, ts)) FROM events WHERE time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= " + _CLOSED + ")"
+_TIER_2 = f"(SELECT max(time_bucket(INTERVAL 60 SECOND, ts)) FROM events WHERE time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND <= {_TIER_1})"
+
+
+@check("stream_tiers", f"WITH {i.SAMPLES} " + " UNION ALL ".join(
+    f"""SELECT '{tier}' AS tier, host, metric, instance, time_bucket(INTERVAL {tier}, ts) AS start, time_bucket(INTERVAL {tier}, ts) + INTERVAL {tier} AS "end",
+  round(avg(value) + 3e-8, 4) AS val FROM samples WHERE time_bucket(INTERVAL {tier}, ts) + INTERVAL {tier} <= {closed} GROUP BY ALL"""
+    for tier, closed in zip(means.TIERS, (_CLOSED, _TIER_1, _TIER_2))
+))
+def stream_tiers(spark, sf_dir):
+    out = shared_dir(spark, "tiers")
+    means.start_tiers(i.samples_of(event_stream(spark, sf_dir)), out, shared_dir(spark, "tiers-state"), trigger={"availableNow": True})
+    return _plain_times(rounded(means.tier_means(spark, out), "val"), "start", "end")
+
+
 @check("stream_watch", f"""WITH {i.SAMPLES}, {i.CATALOG},
 base AS (SELECT host, metric, instance, avg(value) AS val FROM samples WHERE ts < {i.sql_ts(i.HALVES.a_end)} GROUP BY ALL),
 closed AS (SELECT host, metric, instance, time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '2024-01-03') AS start, avg(value) AS val FROM samples GROUP BY ALL),
@@ -58,6 +73,13 @@ means AS (SELECT coalesce(d.host, x.host) AS host, coalesce(d.metric, x.metric)
 SELECT host, start, start + INTERVAL 5 DAY AS "end", metric, instance, kind, round(a + 3e-8, 4) AS a, round(b + 3e-8, 4) AS b, round(delta_pct + 3e-8, 4) AS delta_pct
 FROM rows_ WHERE kind <> 'flat'""")
 def stream_watch(spark, sf_dir):
+    rows = spark.read.parquet(f"{_watched(spark, sf_dir)}/rows").select(
+        "host", "start", "end", "metric", "instance", "kind", "a", "b", "delta_pct"
+    )
+    return _plain_times(rounded(rows, "a", "b", "delta_pct"), "start", "end")
+
+
+def _watched(spark, sf_dir):
     out = shared_dir(spark, "watch")
     baseline = windows.window_means(i.samples(spark, sf_dir), i.HALVES.a_start, i.HALVES.a_end)
     query = means.watch(
@@ -66,10 +88,7 @@ def stream_watch(spark, sf_dir):
         trigger={"availableNow": True},
     )
     query.awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows").select(
-        "host", "start", "end", "metric", "instance", "kind", "a", "b", "delta_pct"
-    )
-    return _plain_times(rounded(rows, "a", "b", "delta_pct"), "start", "end")
+    return out
 
 
 def daily_snapshots(spark, sf_dir):

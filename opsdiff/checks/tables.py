@@ -394,10 +394,12 @@ def union_keys(spark, sf_dir):
     )
 
 
-@check("union_warnings", """SELECT host, warning, min(part * 1000000000 + seq) // 1000000000 AS part, min(part * 1000000000 + seq) % 1000000000 AS seq FROM (
+_WARNINGS = """SELECT host, warning, min(part * 1000000000 + seq) // 1000000000 AS part, min(part * 1000000000 + seq) % 1000000000 AS seq FROM (
   SELECT 'h' || (user_id % 8) AS host, 0 AS part, event_id AS seq, event_type || ' ' || (user_id % 5) AS warning FROM events WHERE value < 20
-  UNION ALL SELECT 'h' || (user_id % 8), 1, event_id, event_type || ' ' || (user_id % 7) FROM events WHERE value >= 20) GROUP BY ALL""")
-def union_warnings(spark, sf_dir):
+  UNION ALL SELECT 'h' || (user_id % 8), 1, event_id, event_type || ' ' || (user_id % 7) FROM events WHERE value >= 20) GROUP BY ALL"""
+
+
+def _warnings(spark, sf_dir):
     events = i.table(spark, sf_dir, "events")
 
     def part(rows, n):
@@ -406,10 +408,27 @@ def union_warnings(spark, sf_dir):
             F.concat_ws(" ", "event_type", (F.col("user_id") % n).cast("string")).alias("warning"),
         )
 
-    merged = dedupe.union_warnings(part(events.where("value < 20"), 5), part(events.where("value >= 20"), 7))
+    return [part(events.where("value < 20"), 5), part(events.where("value >= 20"), 7)]
+
+
+def _in_parts(merged):
     return merged.select("host", "warning", F.col("seen.part").cast("bigint").alias("part"), "seen.seq")
 
 
+@check("union_warnings", _WARNINGS)
+def union_warnings(spark, sf_dir):
+    return _in_parts(dedupe.union_warnings(*_warnings(spark, sf_dir)))
+
+
+@check("report_warnings", f"SELECT report, w.* FROM ({_WARNINGS}) w, (VALUES ('metrics'), ('processes')) r(report)")
+def report_warnings(spark, sf_dir):
+    warnings = _warnings(spark, sf_dir)
+    metrics = reports.compare(i.samples(spark, sf_dir), i.HALVES, warnings=warnings).warnings
+    processes = reports.proc_report(i.proc_samples_in(spark, sf_dir), i.PROC_WINDOWS, warnings=warnings).warnings
+    both = _in_parts(metrics).withColumn("report", F.lit("metrics"))
+    return both.unionByName(_in_parts(processes).withColumn("report", F.lit("processes")))
+
+
 # ---- processes -------------------------------------------------------------
 
 
@@ -711,6 +730,20 @@ def trend_wide(spark, sf_dir):
     return trend.trend_wide(points, ["kernel.all.load", "network.interface.in.bytes-i1"])
 
 
+@check("series_order", f"""WITH {i.SAMPLES}, points AS (
+  SELECT host, metric, instance, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01') AS bucket FROM samples GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY host ORDER BY metric, instance, bucket) AS n FROM points""")
+def series_order(spark, sf_dir):
+    points = trend.trend(i.samples(spark, sf_dir), i.METRICS, *i.MONTH, step=DAY).drop("value")
+    return trend.numbered_points(points)
+
+
+@check("report_order", i.DIFF + """SELECT host, metric, instance, kind, row_number() OVER (ORDER BY host, cat_idx, metric_idx, instance) AS n FROM rows_""")
+def report_order(spark, sf_dir):
+    rows = diff.window_diff(i.samples(spark, sf_dir), builtin_catalog(spark), i.HALVES)
+    return diff.numbered_rows(rows).select("host", "metric", "instance", "kind", "n")
+
+
 @check("trend_series", f"""WITH {i.SAMPLES}, points AS (
   SELECT host, CASE WHEN instance = '' THEN metric ELSE metric || '-' || instance END AS series,
          epoch_ms(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01')) AS ms, avg(value) AS v FROM samples GROUP BY ALL)

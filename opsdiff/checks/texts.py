@@ -305,6 +305,21 @@ def state_lines(spark, sf_dir):
     return text_reports.state_lines(_week(spark, sf_dir)).select("host", "line")
 
 
+@check("state_lines_numbered", f"""WITH {i.FACTS}, {tables.CHOSEN}, l AS (
+SELECT host, 2 AS part, section_rank AS major, section AS block, 0 AS minor, key AS text, 0 AS sub,
+  CASE kind WHEN 'added' THEN '  + ' || key || ' = ' || new || '  ' || note
+  WHEN 'removed' THEN '  - ' || key || '  (was ' || old || ')' ELSE '  ~ ' || key || ': ' || old || ' → ' || new END AS line FROM changes
+UNION ALL SELECT host, 2, section_rank, section, -1, '', 0, '== ' || title || ' ==  (' || count(*) || ')' FROM changes GROUP BY host, section, title, section_rank
+UNION ALL SELECT host, 2, section_rank, section, 1, '', 0, '' FROM changes GROUP BY host, section, section_rank
+UNION ALL SELECT host, 0, 0, '', 0, '', unnest([0, 1, 2, 3]), unnest(['state report', '  A ' || strftime(a_taken, '%Y-%m-%d %H:%M:%S'),
+  '  B ' || strftime(b_taken, '%Y-%m-%d %H:%M:%S'), '']) FROM pairs
+UNION ALL SELECT host, 1, 0, '', 0, '', 0, '▲ ' || count(*) || ' changes' FROM changes GROUP BY host
+UNION ALL SELECT host, 1, 0, '', 0, '', 1, '' FROM pairs)
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY part, major, block, minor, text, sub) AS line_no, line FROM l""")
+def state_lines_numbered(spark, sf_dir):
+    return text_reports.numbered_lines(text_reports.state_lines(_week(spark, sf_dir)))
+
+
 @check("markdown_lines", f"""WITH {i.FACTS}, {tables.CHOSEN}, c AS (SELECT * REPLACE (
     translate(CASE WHEN strlen(old) > 60 THEN left(old, 57) || '...' ELSE old END, '|`', '  ') AS old,
     translate(CASE WHEN strlen(new) > 60 THEN left(new, 57) || '...' ELSE new END, '|`', '  ') AS new) FROM changes)

@@ -110,21 +110,38 @@ def fmt_val(x: Column) -> Column:
     return _scaled(x, fixed, fixed(x, 2))
 
 
+def _three_digits(size: Column) -> Column:
+    """A size between 0 and 1 with three significant digits, exponential below 1e-6.
+
+    Rounded on the exact binary value, exact ties up.  The shortest form's exponent says how
+    many places that takes; a number rounded up to the next power of ten has one digit more.
+    """
+    floor = F.substring_index(F.format_string("%.17e", size), "e", -1).try_cast("int")
+    places = 2 - floor
+    plain = F.regexp_replace(F.call_function("format_number", size, places), r"^0\.0*|\.", "")
+    rounded = F.struct(F.substring(plain, 1, 3).alias("digits"), (floor + F.length(plain) - 3).alias("exponent"))
+    up = F.format_string("%.2e", size)
+    tie = F.struct(
+        F.regexp_replace(F.substring_index(up, "e", 1), r"\.", "").alias("digits"),
+        F.substring_index(up, "e", -1).try_cast("int").alias("exponent"),
+    )
+    number = F.when((size * F.pow(F.lit(2.0), places + 1)) % 2.0 == 1.0, tie).otherwise(rounded)
+    digits, exponent = number["digits"], number["exponent"]
+    point = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2))
+    return (
+        F.when(exponent < -6, F.concat(point, F.lit("e"), exponent))
+        .when(exponent >= 0, point)
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+    )
+
+
 def fmt_num(x: Column) -> Column:
     """Value on screen: one decimal from 100, two from 1, three significant digits below."""
     size = F.abs(x)
-    sci = F.format_string("%.2e", size)
-    digits = F.regexp_replace(F.substring_index(sci, "e", 1), r"\.", "")
-    exponent = F.substring_index(sci, "e", -1).try_cast("int")
-    small = (
-        F.when(exponent < -6, F.concat(F.substring_index(sci, "e", 1), F.lit("e"), exponent))
-        .when(exponent >= 0, F.substring_index(sci, "e", 1))
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-    )
     rest = (
         F.when(size >= 100, fixed_half_up(x, 1))
         .when(size >= 1, fixed_half_up(x, 2))
-        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), small))
+        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), _three_digits(size)))
     )
     return _scaled(x, fixed_half_up, rest)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdiff.operators.chunks import sortable
+from opsdiff.session import broadcast_if_small
 from opsdiff.sources.catalog import Catalog
 
 
@@ -55,24 +56,42 @@ def coverage(warnings: DataFrame) -> DataFrame:
     return warnings.select("host", name.alias("metric")).distinct()
 
 
+WORD = 64  # metrics whose presence travels in one number
+
+
+def seen_metrics(samples: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(host, words): of every host the numbers (metric, word, bit) of the metrics it has, as bits by word.
+
+    The samples are aggregated once, with a map-side step over numbers: one row per host and 64
+    metrics.  A host that has none of the metrics is there with an empty map.
+    """
+    known = samples.select("host", "metric").join(broadcast_if_small(numbered), "metric", "left")
+    bits = known.groupBy("host", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    word = F.when(F.col("word").isNotNull(), F.struct("word", "bits"))
+    return bits.groupBy("host").agg(F.map_from_entries(F.collect_list(word)).alias("words"))
+
+
 def missing_metrics(
     samples: DataFrame, wanted: DataFrame, hosts: DataFrame | None = None
 ) -> DataFrame:
     """Wanted metrics of which a host has no sample: (host, metric).
 
-    ``samples`` is already cut to the window.  Per host the set of metrics seen
-    is collected, which never exceeds the wanted list.
+    ``samples`` is already cut to the window.  The wanted metrics are numbered, hosts are a bitmap
+    of those numbers, and only what is missing becomes rows.
     """
-    names = wanted.select("metric").distinct()
-    seen = (
-        samples.join(names, "metric", "left_semi").groupBy("host")
-        .agg(F.collect_set("metric").alias("seen"))
+    names = wanted.agg(F.array_sort(F.collect_set("metric")).alias("all"))
+    place = F.col("place")
+    numbered = names.select(F.posexplode("all").alias("place", "metric")).select(
+        "metric", F.floor(place / WORD).cast("int").alias("word"), (place % WORD).alias("bit")
+    )
+    seen = seen_metrics(samples, numbered)
+    if hosts is not None:
+        seen = hosts.select("host").join(seen, "host", "left")
+    every = numbered.agg(F.collect_list(F.struct("metric", "word", "bit")))
+    absent = F.filter(
+        "every", lambda m: ~F.coalesce(F.getbit(F.try_element_at("words", m["word"]), m["bit"]) == 1, F.lit(False))
     )
-    everyone = samples.select("host").distinct() if hosts is None else hosts.select("host")
-    all_names = names.agg(F.collect_set("metric")).scalar()
-    none = F.array().cast("array<string>")
-    absent = F.array_except(all_names, F.coalesce("seen", none))
-    return everyone.join(seen, "host", "left").select("host", F.explode(absent).alias("metric"))
+    return seen.withColumn("every", every.scalar()).select("host", F.explode(F.transform(absent, lambda m: m["metric"])).alias("metric"))
 
 
 def missing_catalog_metrics(

@@ -13,6 +13,7 @@ from opsdiff.functions.judge import (
     ROW_KINDS, display_weight, effective_threshold, judge, rank_in, row_kind,
 )
 from opsdiff.operators.chunks import sortable
+from opsdiff.operators.ordinals import with_ordinal
 from opsdiff.operators.windows import Windows, paired_means
 from opsdiff.sources.catalog import Catalog, is_core
 
@@ -91,9 +92,17 @@ def focus(rows: DataFrame, kind: str = "kind") -> DataFrame:
     return rows.where(F.col(kind) != "flat")
 
 
+REPORT_ORDER = ["host", "cat_idx", "metric_idx", "instance"]
+
+
 def in_report_order(rows: DataFrame) -> DataFrame:
     """Range-sorted for writing; not meant for use inside other operators."""
-    return rows.orderBy("host", "cat_idx", "metric_idx", "instance")
+    return rows.orderBy(*REPORT_ORDER)
+
+
+def numbered_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Rows with ``n``, their place in the report of all hosts."""
+    return with_ordinal(rows, REPORT_ORDER, "n", path=path)
 
 
 def verdict_counts(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdiff.operators.dedupe import missing_metrics
+from opsdiff.operators.ordinals import with_ordinal
 from opsdiff.operators.windows import (
     SERIES, between, check_window, day_filter, scan_window, time_literal,
 )
@@ -177,7 +178,12 @@ def as_series(points: DataFrame) -> DataFrame:
 
 
 def in_series_order(points: DataFrame) -> DataFrame:
-    return points.orderBy("host", "metric", "instance", "bucket")
+    return points.orderBy(*SERIES, "bucket")
+
+
+def numbered_points(points: DataFrame, path: str | None = None) -> DataFrame:
+    """Points with ``n``, their place among those of the host in series and time order."""
+    return with_ordinal(points, [*SERIES[1:], "bucket"], "n", within=SERIES[0], path=path)
 
 
 def trend_missing(

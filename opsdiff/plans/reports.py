@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdiff.operators.chunks import DAY
-from opsdiff.operators.dedupe import missing_catalog_metrics
+from opsdiff.operators.dedupe import missing_catalog_metrics, union_warnings
 from opsdiff.operators.diff import regressed, verdict_counts, window_diff
 from opsdiff.operators.proc import hosts_without_data, proc_diff, restarts
 from opsdiff.operators.rules import findings, software_block
@@ -64,19 +64,22 @@ class DiffReport(Report):
     counts: DataFrame
     missing: DataFrame
     regressed: DataFrame
+    warnings: DataFrame | None
     windows: Windows | DataFrame
 
 
 def compare(
     samples: DataFrame, windows: Windows | DataFrame, catalog: Catalog | None = None,
     rules: Rules | None = None, hosts: DataFrame | None = None, keep: str | None = None,
+    warnings: list[DataFrame] | None = None,
 ) -> DiffReport:
     """Regression report: rows, findings, board of five blocks, counts, metrics not recorded.
 
     All tables are made from the rows.  ``keep`` names a folder on shared storage
     where the rows are written first; without it, use the report as a context
     (``with compare(...) as report``) to keep them on the executors.  ``hosts`` lists hosts that have to show up on the
-    board even when they recorded nothing.
+    board even when they recorded nothing.  ``warnings`` are those of reading window A and of
+    reading window B (host, seq, warning); the report has each text once per host.
     """
     spark = samples.sparkSession
     catalog = catalog or builtin_catalog(spark)
@@ -92,6 +95,7 @@ def compare(
         counts=verdict_counts(rows),
         missing=missing_catalog_metrics(rows, catalog, hosts),
         regressed=regressed(rows, found),
+        warnings=union_warnings(*warnings) if warnings else None,
         windows=windows,
     )
 
@@ -101,6 +105,7 @@ class ProcReport(Report):
     rows: DataFrame
     restarts: DataFrame
     no_data: DataFrame | None
+    warnings: DataFrame | None
     windows: Windows | DataFrame
 
     def cpu(self) -> DataFrame:
@@ -112,14 +117,15 @@ class ProcReport(Report):
 
 def proc_report(
     samples: DataFrame, windows: Windows | DataFrame, hosts: DataFrame | None = None,
-    keep: str | None = None,
+    keep: str | None = None, warnings: list[DataFrame] | None = None,
 ) -> ProcReport:
-    """Process report: processor and memory rows, restarts, hosts that have no process data."""
+    """Process report: processor and memory rows, restarts, hosts that have no process data, warnings."""
     rows = stored(proc_diff(samples, windows), keep)
     return ProcReport(
         rows=rows,
         restarts=restarts(rows),
         no_data=None if hosts is None else hosts_without_data(rows, hosts),
+        warnings=union_warnings(*warnings) if warnings else None,
         windows=windows,
     )
 

@@ -1,7 +1,7 @@
 """Reports as text: every line is a row, sorted by (host, *LINE_ORDER) when written.
 
-Lines carry a sort key instead of a running number, so no host has to pass
-through one task; ``write_lines`` range-sorts them at the end.
+Lines carry a sort key, so no host has to pass through one task; ``write_lines`` range-sorts them at
+the end, ``numbered_lines`` numbers them by ranges.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdiff.functions.judge import PROC_KINDS
-from opsdiff.functions.text import delta_text, fmt_val, md_escape
+from opsdiff.functions.text import delta_text, fixed, fmt_val, md_escape
 from opsdiff.operators.diff import focus
+from opsdiff.operators.ordinals import with_ordinal
 from opsdiff.operators.proc import restart_text
 from opsdiff.operators.windows import Windows
 from opsdiff.plans.reports import DiffReport, ProcReport, StateReport
+from opsdiff.session import broadcast_if_small
 
 # part, major, block: which block of the report; minor, text: which entry of the
 # block; sub: which line of the entry.
@@ -59,6 +61,11 @@ def write_lines(lines: DataFrame, path: str) -> None:
     ordered.select(F.concat_ws("\t", "host", "line").alias("value")).write.mode("overwrite").text(path)
 
 
+def numbered_lines(lines: DataFrame, path: str | None = None) -> DataFrame:
+    """(host, line_no, line) of a report's lines; the sorted lines are written below ``path`` on the way."""
+    return with_ordinal(lines, [*LINE_ORDER, "line"], "line_no", within="host", path=path).select("host", "line_no", "line")
+
+
 def _aligned(
     rows: DataFrame, keys: list[str], cells: list[Column]
 ) -> tuple[DataFrame, DataFrame]:
@@ -77,8 +84,22 @@ def _aligned(
     return lines, widths
 
 
-def _span(start: datetime, end: datetime) -> str:
-    return f"{start:%m-%d %H:%M} -> {end:%H:%M}"
+def _with_windows(hosts: DataFrame, windows: Windows | DataFrame) -> DataFrame:
+    """Hosts with a_start, a_end, b_start, b_end and threshold_pct: the same for all, or each host's own."""
+    names = ["a_start", "a_end", "b_start", "b_end", "threshold_pct"]
+    if isinstance(windows, DataFrame):
+        return hosts.join(broadcast_if_small(windows.select("host", *names)), "host", "left")
+    times = {n: F.lit(getattr(windows, n).isoformat(sep=" ")).cast("timestamp_ntz") for n in names[:4]}
+    return hosts.withColumns(times | {"threshold_pct": F.lit(float(windows.threshold_pct))})
+
+
+def _span(side: str, between: str) -> Column:
+    start = F.date_format(f"{side}_start", "MM-dd HH:mm")
+    return F.concat(start, F.lit(between), F.date_format(f"{side}_end", "HH:mm"))
+
+
+def _threshold() -> Column:
+    return F.concat(fixed(F.col("threshold_pct"), 0), F.lit("%"))
 
 
 # ---- regression report -----------------------------------------------------
@@ -94,8 +115,7 @@ def _map(column: Column, values: dict[str, str], default: str) -> Column:
 
 
 def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
-    """Findings, counts, then the rows of every category."""
-    w: Windows = report.windows
+    """Findings, counts, then the rows of every category; windows may be each host's own."""
     found = report.findings
     rule = F.col("rule_idx")
     tag = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("conclusion"))
@@ -109,9 +129,8 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
         F.lit("worse "), "n_worse", F.lit(" · better "), "n_better", F.lit(" · watch "), "n_watch",
         F.lit(" · flat "), "n_flat", tail("n_new", "appeared"), tail("n_gone", "gone"),
     )
-    window = (
-        f"[A {_span(w.a_start, w.a_end)}] vs [B {_span(w.b_start, w.b_end)}]"
-        f" · threshold {w.threshold_pct:.0f}%"
+    window = F.concat(
+        F.lit("[A "), _span("a", " -> "), F.lit("] vs [B "), _span("b", " -> "), F.lit("] · threshold "), _threshold()
     )
     diagnosed = found.select("host").distinct().withColumn("diagnosed", F.lit(True))
     shown = report.rows if show_all else focus(report.rows)
@@ -130,7 +149,7 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
     category = F.col("cat_idx")
     return _union([
         _lines(
-            report.counts.join(diagnosed, "host", "left"),
+            _with_windows(report.counts.join(diagnosed, "host", "left"), report.windows),
             _line(0, "[diagnosis] no known pattern matched, the rows follow.",
                   when=F.col("diagnosed").isNull()),
             _line(1, counts), _line(1, window, sub=1), _line(1, "", sub=2),
@@ -153,7 +172,6 @@ def diff_lines(report: DiffReport, show_all: bool = False) -> DataFrame:
 
 def proc_lines(report: ProcReport, now: datetime) -> DataFrame:
     """Restarts, then processor and memory rows that changed; ages are relative to ``now``."""
-    w: Windows = report.windows
     rows = report.rows.withColumn("measure", F.when(F.col("metric") == "cpu", 2).otherwise(3))
     measure = F.col("measure")
     ages = restart_text(F.col("start_a"), F.col("start_b"), F.lit(now.timestamp() * 1000.0))
@@ -174,11 +192,10 @@ def proc_lines(report: ProcReport, now: datetime) -> DataFrame:
     )
     return _union([
         _lines(
-            blocks,
+            _with_windows(blocks, report.windows),
             _line(0, "process report", when=once),
-            _line(0, f"  A {w.a_start:%m-%d %H:%M} ~ {w.a_end:%H:%M}", sub=1, when=once),
-            _line(0, f"  B {w.b_start:%m-%d %H:%M} ~ {w.b_end:%H:%M}  (threshold {w.threshold_pct:.0f}%)",
-                  sub=2, when=once),
+            _line(0, F.concat(F.lit("  A "), _span("a", " ~ ")), sub=1, when=once),
+            _line(0, F.concat(F.lit("  B "), _span("b", " ~ "), F.lit("  (threshold "), _threshold(), F.lit(")")), sub=2, when=once),
             _line(0, "", sub=3, when=once),
             _line(1, "⟳ restarted between the windows", major=0, when=restarted),
             _line(1, "", major=2, when=restarted),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -36,6 +36,82 @@ def streaming_means(
     )
 
 
+TIERS = ("10 seconds", "60 seconds", "5 minutes")
+SUMS = "host string, metric string, instance string, start timestamp, end timestamp, total double, n long"
+
+
+def _sums(rows: DataFrame, at: str, size: str, total: Column, n: Column) -> DataFrame:
+    grouped = rows.groupBy(F.window(at, size).alias("w"), *SERIES).agg(total.alias("total"), n.alias("n"))
+    return grouped.where("n > 0").select(
+        *SERIES, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "total", "n"
+    )
+
+
+def tier_sums(samples: DataFrame, size: str = TIERS[0], late: str = "10 minutes") -> DataFrame:
+    """Closed windows of the finest tier as sums that can be added up: SUMS."""
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return _sums(timed, "ts", size, F.sum("value"), F.count("value"))
+
+
+def rolled_up(sums: DataFrame, size: str) -> DataFrame:
+    """Closed windows of the next tier, from those of a finer one, whose size divides this one.
+
+    A finer tier delivers its windows in the order of its watermark, so that nothing is late here: a
+    window closes as soon as a finer one starts at its end or after it.
+    """
+    return _sums(sums.withWatermark("start", "0 seconds"), "start", size, F.sum("total"), F.sum("n"))
+
+
+def tier_means(spark: SparkSession, out: str, tiers: tuple[str, ...] = TIERS) -> DataFrame:
+    """What the tiers have delivered: (tier, host, metric, instance, start, end, val)."""
+    parts = [
+        spark.read.schema(SUMS).parquet(_tier_path(out, tier)).select(
+            F.lit(tier).alias("tier"), *SERIES, "start", "end", F.try_divide("total", "n").alias("val")
+        )
+        for tier in tiers
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _tier_path(out: str, tier: str) -> str:
+    return f"{out.rstrip('/')}/{tier.replace(' ', '-')}"
+
+
+def start_tiers(
+    samples: DataFrame, out: str, checkpoint: str, tiers: tuple[str, ...] = TIERS,
+    late: str = "10 minutes", trigger: dict | None = None,
+) -> list[StreamingQuery]:
+    """Keeps means of several tiers, each made from the sums of the tier before.
+
+    Only the finest tier reads the samples.  Every tier is a table of sums (SUMS) below ``out`` that
+    the next one streams from, with a checkpoint of its own: a tier that fails goes on where
+    it stopped, and one more tier can be added later.  With the trigger availableNow the tiers run
+    one after another over what is there.
+    """
+    spark, trigger = samples.sparkSession, trigger or {"processingTime": "10 seconds"}
+    queries, stream = [], tier_sums(samples, tiers[0], late)
+    for k, tier in enumerate(tiers):
+        path = _tier_path(out, tier)
+        if k:
+            finer = _tier_path(out, tiers[k - 1])
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(finer)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+            stream = rolled_up(spark.readStream.schema(SUMS).parquet(finer), tier)
+        with rocksdb_state(spark):
+            query = (
+                stream.writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{k}")
+                .trigger(**trigger).start(path)
+            )
+        if trigger.get("availableNow"):
+            query.awaitTermination()
+        queries.append(query)
+    return queries
+
+
 def judge_window(
     closed: DataFrame, baseline: DataFrame, catalog: Catalog, threshold_pct: float
 ) -> DataFrame:

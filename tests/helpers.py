@@ -38,14 +38,19 @@ def tuples(df, *columns):
 
 def exchanges(df, *columns):
     """How many shuffles of the plan move all of these columns."""
-    count, plan = 0, df._jdf.queryExecution().executedPlan()
-    todo = [plan.inputPlan() if hasattr(plan, "inputPlan") and "AdaptiveSparkPlan" in plan.nodeName() else plan]
-    while todo:
-        node = todo.pop()
-        if node.nodeName() == "Exchange":
-            out = {node.output().apply(i).name() for i in range(node.output().size())}
-            count += set(columns) <= out
-        todo += [node.children().apply(i) for i in range(node.children().size())]
+    conf, count = df.sparkSession.conf, 0
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # else shuffles are planned as the query runs
+    try:
+        todo = [df.select("*")._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange":
+                out = {node.output().apply(i).name() for i in range(node.output().size())}
+                count += set(columns) <= out
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
     return count
 
 

@@ -105,6 +105,8 @@ def test_fmt_num(spark):
         0.0: "0", 123.25: "123.3", 5.125: "5.13", 1.005: "1.00", 0.5: "0.500", 0.01234: "0.0123",
         0.9996: "1.00", 0.0000012345: "0.00000123", 0.00000012345: "1.23e-7", -0.25: "-0.250",
         45678.0: "45.68k", 1e6: "1.00M", -2e9: "-2.00G",
+        2208.5 / 7e11: "3.15e-9", 0.03125: "0.0313", -0.00390625: "-0.00391", 9.9999e-5: "0.000100", 9.9999e-8: "1.00e-7",
+        9.9949e-7: "9.99e-7", 1e-6: "0.00000100", 5e-324: "4.94e-324", 2.2250738585072014e-308: "2.23e-308", 0.1 + 0.2: "0.300",
     }
     for x, want in cases.items():
         assert one(spark, t.fmt_num(F.lit(x))) == want, x

@@ -204,3 +204,25 @@ def test_facts_delivered_twice_count_once(spark):
     assert feed.run(stream).count() == 2
     feed.put([fact, ("h", at("10:10"), "sysctl", "a", "1")])
     assert tuples(feed.run(stream), "key", "taken") == [("a", at("10:00")), ("a", at("10:10")), ("b", at("10:00"))]
+
+
+def test_tiers_are_made_from_the_tier_before(spark, tmp_path):
+    feed, out, state = Feed(spark, SAMPLE), str(tmp_path / "out"), str(tmp_path / "state")
+    row = lambda t, v, m="m": ("h", at(t), m, "", v, "u")
+    run = lambda: [q.exception() for q in means.start_tiers(feed.stream(), out, state, late="1 minute", trigger={"availableNow": True})]
+    feed.put([row("10:00:01", 1.0), row("10:00:09", 3.0), row("10:00:55", 8.0), row("10:04:00", 5.0), row("10:01:30", 7.0), row("10:00:02", None)])
+    assert run() == [None, None, None]
+    got = means.tier_means(spark, out)
+    assert tuples(got.where("tier = '10 seconds'"), "start", "val") == [(at("10:00:00"), 2.0), (at("10:00:50"), 8.0), (at("10:01:30"), 7.0)]
+    assert tuples(got.where("tier = '60 seconds'"), "start", "val") == [(at("10:00:00"), 4.0)]  # not a mean of means
+    assert got.where("tier = '5 minutes'").count() == 0
+    # The rest of the five minutes, in two more deliveries.
+    feed.put([row("10:04:30", 1.0), row("10:12:00", 1.0)])
+    run()
+    feed.put([row("10:20:00", 1.0), row("10:30:00", 1.0)])
+    run()
+    got = means.tier_means(spark, out)
+    minutes = [(at("10:00"), 4.0), (at("10:01"), 7.0), (at("10:04"), 3.0), (at("10:12"), 1.0)]
+    assert sorted(map(tuple, got.where("tier = '60 seconds'").select("start", "val").collect())) == minutes
+    assert tuples(got.where("tier = '5 minutes'"), "start", "val")[0] == (at("10:00:00"), (1 + 3 + 8 + 7 + 5 + 1) / 6)
+    assert got.groupBy("tier", "start", "metric").count().where("count > 1").count() == 0
