@@ -80,3 +80,9 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(STATE_STORE, before)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder wherever Spark can write."""
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)

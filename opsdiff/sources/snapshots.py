@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.session import fetched_if_small
+from opsdiff.session import delete_path, fetched_if_small
 
 FACT_COLUMNS = ["host", "taken", "section", "title", "key", "value", "note", "seq"]
 
@@ -60,12 +60,6 @@ def _commits(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    gone = jvm.org.apache.hadoop.fs.Path(path)
-    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-
-
 def _children(spark: SparkSession, path: str) -> list:
     """Folders below a path."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -147,7 +141,7 @@ def drop_uncommitted(spark: SparkSession, path: str) -> int:
         if folder.getName().removeprefix("batch=") not in known
     ]
     for folder in stray:
-        _delete(spark, folder.toString())
+        delete_path(spark, folder.toString())
     return len(stray)
 
 
@@ -214,7 +208,7 @@ def save_marker(name: str, facts: DataFrame, path: str) -> None:
     old = {r["folder"] for r in _versions(spark, root)[2:]}  # not what another writer is about to commit
     for folder in _children(spark, f"{root}/versions"):
         if folder.getName() in old:
-            _delete(spark, folder.toString())
+            delete_path(spark, folder.toString())
 
 
 def _versions(spark: SparkSession, root: str) -> list:
@@ -253,5 +247,5 @@ def drop_expired_days(spark: SparkSession, path: str, now: datetime, keep_days:
         if folder.getName().startswith("date=") and folder.getName()[len("date="):] < cutoff
     ]
     for folder in expired:
-        _delete(spark, folder.toString())
+        delete_path(spark, folder.toString())
     return sorted(folder.getName() for folder in expired)
