@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsdiff.session import delete_path
+
 # Words are runs of anything but ASCII white space; letters A-Z are folded, no others.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*steps: DataFrame) -> None:
+    """Deletes the folders of stored tables whose last reader is stored itself."""
+    for step in steps:
+        for folder in {file.rpartition("/")[0] for file in step.inputFiles()}:
+            delete_path(step.sparkSession, folder)
+
+
 def folded(text: Column | str) -> Column:
     """A-Z in lower case, everything else as it is; null counts as empty."""
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)

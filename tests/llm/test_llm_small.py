@@ -264,12 +264,28 @@ def test_repetitive_lines_have_bands_by_their_distinct_shingles(spark):
     b = [" ".join(f"w{(i + c) % 5} z{c}q" for i in range(600 + 10 * c)) for c in range(12)]
     docs = [(i, t, "en", "s", 0) for i, t in enumerate(x for pair in zip(a, b) for x in pair)]
     table = spark.createDataFrame(docs, SCHEMA)
-    bands = [sorted(r[0]) for r in table.select("doc_id", line_dedup.signature_bands(F.lower("text")).alias("b")).orderBy("doc_id").select("b").collect()]
-    assert all(bands)
+    signed = line_dedup.signatures(table.select(F.col("doc_id").alias("line_id"), F.lower("text").alias("line"))).collect()
+    assert {r["line_id"] for r in signed} == set(range(24)) and all(len(set(r["bands"])) == len(line_dedup.BANDS) for r in signed)
     got = line_dedup.summarise(table).collect()
     assert sorted((r["doc_id"], p) for r in got for p in r["removed"]) == by_hand_lines(docs)
 
 
+def test_lines_taken_at_every_place_by_words_and_in_pieces(spark):
+    """Similar lines share a way and are linked, whatever their length and the length of their words."""
+    def line(n, words):
+        return " ".join(f"{(i * 7919 + n * 104729) % 99991:05}" for i in range(n)) if words else "".join(chr(97 + (i * i * 7 + i * n) % 26) for i in range(n))
+
+    texts = [line(n, True) for n in (3, 9, 20, 22, 26, 27, 40, 400)] + [line(n, False) for n in (30, 127, 128, 160, 161, 900, 5000)]
+    docs = [(k, t if k % 2 == 0 else t[:-2] + "zz", "en", "s", 0) for k, t in enumerate(x for t in texts for x in (t, t))]
+    got = line_dedup.summarise(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((r["doc_id"], p) for r in got for p in r["removed"]) == by_hand_lines(docs)
+
+
+def test_text_ids_of_documents(spark):
+    docs = spark.createDataFrame([("x", "one line that is long enough\nother"), ("y", "One line that is long enough")], "doc_id string, text string")
+    assert [(r["doc_id"], r["removed"], r["kept_in"]) for r in line_dedup.summarise(docs).orderBy("doc_id").collect()] == [("x", [], []), ("y", [0], ["x"])]
+
+
 def test_lines_of_odd_rows(spark, odd, clashing, none):
     got = line_dedup.summarise(odd)
     assert got.count() == len(ODD) and line_dedup.summarise(none).count() == 0
