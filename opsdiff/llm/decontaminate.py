@@ -121,6 +121,9 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = LEAST_SCO
     part; repeated items are found each.  Without items or documents the result is empty.
     """
     docs = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    # Items are told apart by id and text: several texts of one id are items of their own.
+    names = stored(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id").distinct(), "leak-names")
+    items = items.select(F.xxhash64("item_id", "text").alias("item_id"), "text").distinct()
     words_of_items = stored(item_words(items), "leak-items")
     lengths = sorted(r["k"] for r in words_of_items.select(F.least(F.size("words"), F.lit(SEED_WORDS)).alias("k")).distinct().collect())  # five at most
     lengths = lengths or [SEED_WORDS]
@@ -161,7 +164,8 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = LEAST_SCO
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     scored = asked.mapInArrow(score, f"key long, item_id {kind}, score double, from_word int, to_word int").where(F.col("score") >= least_score)
-    best = scored.groupBy("key", "item_id").agg(F.max(F.struct("score", -F.col("from_word"), "to_word")).alias("b"))
+    named = scored.withColumnRenamed("item_id", "item").join(names, "item")
+    best = named.groupBy("key", "item_id").agg(F.max(F.struct("score", -F.col("from_word"), "to_word")).alias("b"))
     return best.select("key", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("from_word"), F.col("b.to_word").alias("to_word"))
 
 

@@ -295,6 +295,13 @@ def test_lines_of_odd_rows(spark, odd, clashing, none):
     assert {1, 2, 3, 4, 5, 7, 8} <= ids and 6 not in ids
 
 
+def test_items_of_one_id_are_found_each(spark):
+    items = spark.createDataFrame([(1, prose(0, 40)), (1, prose(500, 40)), (1, prose(0, 40)), (2, prose(0, 40))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {prose(start, 40)} after", "en", "s", 0) for k, start in enumerate((0, 500, 900))], SCHEMA)
+    assert rows(decontaminate.contaminated(docs, items), "doc_id", "item_id") == [(0, 1), (0, 2), (1, 1)]
+    assert rows(decontaminate.without_leaks(docs, items), "doc_id") == [(2,)]
+
+
 # Passages
 
 def test_passages_are_found_with_edits(spark):
