@@ -131,9 +131,10 @@ def telling_features(sample: DataFrame, least: int = 6, away: float = 1.5) -> np
         yield pa.record_batch([pa.array(found), pa.array(every[found]), pa.array(toxic[found])], names=["place", "n", "toxic"])
 
     counts = sample.select("toxic", "features").mapInArrow(count, "place long, n long, toxic long")
-    counts = counts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= least).toArrow()
+    counts = counts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= least)
+    counts = counts.select(*[F.col(c).cast("int") for c in ("place", "n", "toxic")]).toArrow()  # of a sample's rows and 2**BITS places
     mean = sample.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("m")).first()["m"] or 0.0
-    place, n, toxic = (counts[c].to_numpy() for c in ("place", "n", "toxic"))
+    place, n, toxic = (counts[c].to_numpy().astype(np.int64) for c in ("place", "n", "toxic"))
     far = np.abs(toxic - n * mean) / np.sqrt(np.maximum(n * mean * (1 - mean), 1e-9))
     out = np.zeros(1 << BITS, bool)
     out[place[far >= away]] = True
@@ -156,9 +157,14 @@ def fit(sample: pa.Table, l1: float = 2e-4, counterfactual: float = 1.0, rounds:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     row, place = _pairs(sample, "features")
     gone, added = _pairs(sample, "gone"), _pairs(sample, "added")
-    used = np.unique(np.concatenate([place, gone[1], added[1]]))
+    del sample  # the driver holds each feature of the sample once
+    seen = np.zeros(1 << BITS, bool)
+    for places in (place, gone[1], added[1]):
+        seen[places] = True
+    used = np.flatnonzero(seen)
     width = len(used)
     col = np.searchsorted(used, place)
+    del place, seen
     # What a swap takes (-1) and adds (+1); each text that names a group is one term.
     d_row, d_col = np.concatenate([gone[0], added[0]]), np.searchsorted(used, np.concatenate([gone[1], added[1]]))
     d_sign = np.concatenate([-np.ones(len(gone[0])), np.ones(len(added[0]))])
@@ -188,6 +194,7 @@ def fit(sample: pa.Table, l1: float = 2e-4, counterfactual: float = 1.0, rounds:
         at, at_bias = moved + (t - 1) / t_new * (moved - w), moved_bias + (t - 1) / t_new * (moved_bias - bias)
         w, bias, t = moved, moved_bias, t_new
     some = np.flatnonzero(w)
+    pa.default_memory_pool().release_unused()
     return Model(used[some], w[some], float(bias))
 
 
