@@ -1,13 +1,15 @@
 """Substring dedup: fuzzy passages by collinear chaining of shared k-mer seeds.
 
-Words are runs of letters and digits.  Of all runs of six words (k-mers) a document gives its
-minimisers, the smallest hash of every twelve in a row, so that any 17 words in common
-share a seed.  Every occurrence of a seed is matched with its first one, by doc_id and place:
-that many rows as occurrences, however often a seed occurs.  The matches of a document with
-one earlier document are chained in order of both, with gap costs, in a Fenwick tree of best
-scores; chains are then aligned word by word along their diagonals and between them, and
-extended at their ends.  Stretches that are similar enough and lie side by side make the
-passages of a document that an earlier one has already.
+Words are runs of letters and digits.  Of all runs of five words (k-mers) those with a hash
+divisible by three are seeds: whether one is does not depend on the words around it, so edits
+nearby cost no seeds.  Five seeds that follow one another make a wide seed of about seventeen words,
+which two documents with a passage in common share even if every short phrase of it is
+frequent elsewhere.  Every occurrence of a seed, narrow or wide, is matched with its first one,
+by doc_id and place: that many rows as occurrences, however often a seed occurs.  The matches
+of a document with one earlier document are chained in order of both, with gap costs, in a
+Fenwick tree of best scores; chains of some breadth are aligned word by word along their
+diagonals and between them, and extended at their ends.  Stretches that are similar enough and
+lie side by side make the passages of a document that an earlier one has already.
 """
 
 from __future__ import annotations
@@ -16,40 +18,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdiff.llm import hashing
-from opsdiff.llm.bitmaps import among, bitmap, place
+from opsdiff.llm.bitmaps import among, bitmap
 from opsdiff.llm.common import maybe_among, stored
 
-K, WINDOW = 6, 12
+K, ONE_IN, WIDE = 5, 3, 5
 BITS = 27
-GAP_COST = 0.02        # of a seed, for each word between two seeds, in either document
+HOT_SHARE = 5000       # a place of the bitmap with more than one in so many seeds is hot: fewer than 5,000 can be
+GAP_COST = 0.01        # of a seed, for each word between two seeds, in either document
+LEAST_BREADTH = 8      # words between the first and the last seed of a chain
 LEAST_WORDS = 45       # of a passage
-LEAST_STRETCH = 12     # of one aligned chain
+LEAST_STRETCH = 12     # equal words of one aligned chain
 SIMILARITY = 0.8
-MARGIN = 48            # words beyond a chain's ends that the alignment may reach
+MARGIN = 64            # words beyond a chain's ends that the alignment may reach
 LEFT_OUT = 6           # words between stretches of one passage
-NEAR_SEEDS = 40        # words between two seeds of one passage, at most
+BLOCK = 128            # words of a document that are fetched together
 
 
-def minimisers(found: hashing.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place among the row's words, hash) of each row's seeds."""
+def sampled(found: hashing.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place among the row's words, hash) of each row's k-mers with a hash divisible by ONE_IN."""
     row, first, h = hashing.runs(found, K, short=False)
-    n = len(h)
-    if not n:
-        return row, first, h
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = h.copy()
-    for j in range(1, min(WINDOW, n)):
-        there = row[:-j] == row[j:]
-        least[:-j] = np.minimum(least[:-j], np.where(there, h[j:], top))
-    chosen = h == least
-    for j in range(1, min(WINDOW, n)):
-        chosen[j:] |= (row[:-j] == row[j:]) & (h[j:] == least[:-j])
+    chosen = h % np.uint64(ONE_IN) == 0
+    row, first, h = row[chosen], first[chosen], h[chosen]
     firsts = np.concatenate([[0], np.cumsum(found.per_row())])
-    return row[chosen], first[chosen] - firsts[row[chosen]], h[chosen]
+    return row, first - firsts[row], h
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -152,64 +147,96 @@ def align(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, a0: int, b
     return int(x[0]) - back + a0, at_a + ahead + a0, int(y[0]) - back + b0, at_b + ahead + b0, equal + more + less
 
 
+def seeds_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place among the row's words, hash) of the seeds, and of the wide seeds at the place of their first."""
+    row, at, h = sampled(hashing.words(text, hashing.LETTERS, latin=True))
+    n = len(h) - WIDE + 1
+    if n > 0:
+        with np.errstate(over="ignore"):
+            wide = np.full(n, np.uint64(WIDE))
+            for j in range(WIDE):
+                wide = hashing.mix(wide * np.uint64(0x9E3779B97F4A7C15) + h[j:n + j])
+        one = row[:n] == row[WIDE - 1:]
+        row, at, h = np.concatenate([row, row[:n][one]]), np.concatenate([at, at[:n][one]]), np.concatenate([h, wide[one]])
+    return row, at, h
+
+
 def matches(documents: DataFrame) -> DataFrame:
     """(key, x, other, y): seeds of documents(key, doc_id, text) and their first occurrence in another one."""
     spark = documents.sparkSession
-    order = [F.col("doc_id").isNull().alias("nowhere"), "doc_id", "key"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in hashing.parts(batches, 0):
-            row, _, h = minimisers(hashing.words(part.column(0), hashing.LETTERS, latin=True))
+            row, _, h = seeds_of(part.column(0))
             row, h = hashing.distinct(row, h)
             at, n = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
             yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["place", "n"])
 
-    twice = documents.select("text").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
-    sent = spark.sparkContext.broadcast(bitmap(twice, BITS))
+    places = documents.select("text").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
+    places = stored(places, "passage-places")
+    total = places.agg(F.sum("n")).first()[0] or 0
+    hot_places = [r["place"] for r in places.where(F.col("n") > max(total / HOT_SHARE, 100)).select("place").collect()]
+    sent = spark.sparkContext.broadcast(bitmap(places, BITS))
+    hot_sent = spark.sparkContext.broadcast(np.sort(np.array(hot_places, np.uint64)))
     kind = dict(documents.dtypes)["doc_id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in hashing.parts(batches, 2):
-            row, at, h = minimisers(hashing.words(part.column(2), hashing.LETTERS, latin=True))
+            row, at, h = seeds_of(part.column(2))
             there = among(sent.value, h, BITS)
             row, at, h = row[there], at[there], h[there]
+            hot = np.isin(h >> np.uint64(64 - BITS), hot_sent.value)
             yield pa.record_batch(
-                [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))],
-                names=["key", "doc_id", "seed", "x"],
+                [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(hot)],
+                names=["key", "doc_id", "seed", "x", "hot"],
             )
 
-    seeds = stored(documents.select("key", "doc_id", "text").mapInArrow(read, f"key long, doc_id {kind}, seed long, x int"), "passage-seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct(*order, "x")).alias("first"))
-    return seeds.join(first, "seed").where(F.col("key") != F.col("first.key")).select(
-        "key", "x", F.col("first.key").alias("other"), F.col("first.x").alias("y")
-    )
-
+    form = f"key long, doc_id {kind}, seed long, x int, hot boolean"
+    seeds = stored(documents.select("key", "doc_id", "text").mapInArrow(read, form), "passage-seeds")
 
-def promising(x: np.ndarray, least_words: int) -> np.ndarray:
-    """Which matches lie where a document's seeds, of whatever other document, may make a passage.
-
-    Beyond its outer seeds a stretch goes on for fewer words than the 17 that would hold another.
-    """
-    at = np.unique(x)
-    cuts = np.flatnonzero(np.diff(at) > NEAR_SEEDS)
-    first, last = at[np.concatenate([[0], cuts + 1])], at[np.concatenate([cuts, [len(at) - 1]])]
-    long = last - first + K + 2 * (K + WINDOW - 2) >= least_words
-    return long[np.searchsorted(first, x, "right") - 1]
-
-
-def spans(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, other, xs, ys) of every chain of the matches; a document's matches are one group."""
+    def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of seed and document: the first of each seed is kept in mind."""
+        last, other, y = None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            seed, key, x = (batch.column(c).to_numpy() for c in ("seed", "key", "x"))
+            begins = np.concatenate([[last is None or seed[0] != last], seed[1:] != seed[:-1]])
+            start = np.maximum.accumulate(np.where(begins, np.arange(len(seed)), -1))
+            others = np.where(start >= 0, key[start], other)
+            ys = np.where(start >= 0, x[start], y)
+            last, other, y = seed[-1], others[-1], ys[-1]
+            kept = key != others
+            yield pa.record_batch([pa.array(c[kept]) for c in (key, x, others, ys.astype(np.int32))], names=["key", "x", "other", "y"])
+
+    order = [F.col("doc_id").asc_nulls_last(), "key", "x"]
+    few = seeds.where("not hot").repartition("seed").sortWithinPartitions("seed", *order).select("seed", "key", "x")
+    found = few.mapInArrow(with_first, "key long, x int, other long, y int")
+    # Hot seeds are reduced where they are read, and their first places sent to every task: one in 5,000 seeds each, so that few exist.
+    hot = seeds.where("hot")
+    firsts = hot.groupBy("seed").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "key", "x")).alias("first"))
+    firsts = stored(firsts.select("seed", F.col("first.key").alias("other"), F.col("first.x").alias("y")), "passage-hot")
+    firsts = F.broadcast(firsts) if firsts.count() <= 20 * HOT_SHARE else firsts
+    return found.unionByName(hot.join(firsts, "seed").where("key != other").select("key", "x", "other", "y"))
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """(key, other, xs, ys) of every chain of the matches that has some breadth; a document's matches are one group."""
 
     def chained(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         other, x, y = (rows[c].to_numpy() for c in ("other", "x", "y"))
-        kept = promising(x, least_words)
-        other, x, y = other[kept], x[kept], y[kept]
-        order = np.argsort(other, kind="stable")
+        order = np.lexsort((y, x, other))
+        other, x, y = other[order], x[order], y[order]
+        new = np.concatenate([[True], (np.diff(other) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)])
+        other, x, y = other[new], x[new], y[new]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(other)) + 1, [len(other)]])
+        broad = x[cuts[1:] - 1] - x[cuts[:-1]] >= LEAST_BREADTH
         out = []
-        for part in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
-            for chain in chains(x[part], y[part]) if len(part) else []:
-                at = part[chain]
-                out.append((key[0].as_py(), int(other[part[0]]), x[at], y[at]))
+        for start, end in zip(cuts[:-1][broad], cuts[1:][broad], strict=True):
+            xs, ys = x[start:end], y[start:end]
+            for chain in chains(xs, ys):
+                if xs[chain[-1]] - xs[chain[0]] >= LEAST_BREADTH:
+                    out.append((key[0].as_py(), int(other[start]), xs[chain], ys[chain]))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "other", "xs", "ys"])
@@ -217,56 +244,63 @@ def spans(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return found.groupBy("key").applyInArrow(chained, "key long, other long, xs array<int>, ys array<int>")
 
 
+def word_blocks(documents: DataFrame) -> DataFrame:
+    """(key, block, words): 16 bits of the hash of every word, BLOCK words a row."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in hashing.parts(batches, 1):
+            found = hashing.words(part.column(1), hashing.LETTERS, latin=True)
+            short = (found.hash >> np.uint64(48)).astype(np.uint16).view(np.int16)
+            counts = found.per_row()
+            blocks = -(-counts // BLOCK)
+            row = np.repeat(np.arange(len(part)), blocks)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            ends = np.minimum((block + 1) * BLOCK, counts[row]) + np.repeat(np.cumsum(counts) - counts, blocks)
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(short))
+            yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(block.astype(np.int32)), words], names=["key", "block", "words"])
+
+    return documents.select("key", "text").mapInArrow(cut, "key long, block int, words array<smallint>")
+
+
 def stretches(documents: DataFrame, chained: DataFrame) -> DataFrame:
-    """(key, other, start, stop, there, there_stop, equal) of every chain after alignment."""
-
-    def words_around(side: str, low: str) -> DataFrame:
-        """The words of one side of each chain, MARGIN more at either end."""
-        asked = chained.select("id", F.col(side).alias("key"), F.col(low).alias("at"))
-        asked = asked.groupBy("key").agg(F.collect_list(F.struct(
-            "id", F.greatest(F.lit(0), F.col("at")[0] - MARGIN).alias("lo"), (F.element_at("at", -1) + K + MARGIN).alias("hi"))).alias("asked"))
-        texts = maybe_among(documents.select("key", "text"), "key", asked).dropDuplicates(["key"]).join(asked, "key").select("text", "asked")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in hashing.parts(batches, 0):
-                found = hashing.words(part.column(0), hashing.LETTERS, latin=True)
-                firsts = np.concatenate([[0], np.cumsum(found.per_row())])
-                short = (found.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                spans_ = part.column(1)
-                count = np.asarray(spans_.value_lengths())
-                flat = spans_.flatten()
-                row = np.repeat(np.arange(len(part)), count)
-                lo = firsts[row] + flat.field("lo").to_numpy()
-                hi = np.minimum(firsts[row] + flat.field("hi").to_numpy(), firsts[row + 1])
-                # A bounded number of words at a time.
-                for s in range(0, len(row), 2000):
-                    pieces = [short[a:b] for a, b in zip(lo[s:s + 2000], hi[s:s + 2000], strict=True)]
-                    cuts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
-                    yield pa.record_batch(
-                        [flat.field("id").slice(s, 2000), flat.field("lo").slice(s, 2000), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(pieces)))],
-                        names=["id", "lo", "words"],
-                    )
-
-        return texts.mapInArrow(cut, "id long, lo int, words array<int>")
-
-    here = words_around("key", "xs").select("id", F.col("lo").alias("a0"), F.col("words").alias("a"))
-    there = words_around("other", "ys").select("id", F.col("lo").alias("b0"), F.col("words").alias("b"))
+    """(key, other, start, stop, there, there_stop, equal) of every chain after alignment.
+
+    Chains ask for blocks of words of both documents.  A block that very many ask for is one row of a plain join.
+    """
+    at = F.xxhash64("doc", "block").alias("at")
+    sides = F.array(*(
+        F.struct(F.lit(i).alias("side"), F.col(doc).alias("doc"), F.greatest(F.lit(0), F.col(low)[0] - MARGIN).alias("lo"),
+                 (F.element_at(low, -1) + K + MARGIN).alias("hi"))
+        for i, (doc, low) in enumerate((("key", "xs"), ("other", "ys")))
+    ))
+    asked = chained.select("id", F.explode(sides).alias("s")).select("id", "s.*")
+    asked = asked.select("*", F.explode(F.expr(f"sequence(int(lo div {BLOCK}), int((hi - 1) div {BLOCK}))")).alias("block")).select("id", "side", "block", "lo", "hi", at)
+    blocks = word_blocks(documents).select(F.col("key").alias("doc"), "block", "words")
+    blocks = stored(maybe_among(blocks.select(at, "words"), "at", asked).dropDuplicates(["at"]), "passage-words")
+    first = F.greatest(F.col("lo") - F.col("block") * BLOCK, F.lit(0))
+    pieces = asked.join(blocks, "at").select(
+        "id", F.struct("block", F.slice("words", first + 1, F.least(F.col("hi") - F.col("block") * BLOCK, F.lit(BLOCK)) - first).alias("words")).alias("piece"), "side"
+    )
+
+    def words_of(side: int) -> Column:
+        return F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("piece")))), lambda p: p["words"]))
+
+    around = pieces.groupBy("id").agg(words_of(0).alias("a"), words_of(1).alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             flat = {c: (batch.column(c).flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(batch.column(c).value_lengths()))])) for c in ("xs", "ys", "a", "b")}
-            a0, b0 = batch.column("a0").to_numpy(), batch.column("b0").to_numpy()
             for r in range(len(batch)):
                 xs, ys, a, b = (values[cuts[r]:cuts[r + 1]] for values, cuts in (flat[c] for c in ("xs", "ys", "a", "b")))
-                rows.append(align(xs, ys, a, b, int(a0[r]), int(b0[r])))
+                rows.append(align(xs, ys, a, b, max(0, int(xs[0]) - MARGIN), max(0, int(ys[0]) - MARGIN)))
             columns = np.array(rows, np.int32).reshape(-1, 5).T
             yield pa.record_batch(
                 [batch.column("key"), batch.column("other"), *[pa.array(c) for c in columns]],
                 names=["key", "other", "start", "stop", "there", "there_stop", "equal"],
             )
 
-    joined = chained.join(here, "id").join(there, "id").select("key", "other", "xs", "ys", "a", "b", "a0", "b0")
+    joined = chained.join(around, "id").select("key", "other", "xs", "ys", "a", "b")
     return joined.mapInArrow(compare, "key long, other long, start int, stop int, there int, there_stop int, equal int")
 
 
@@ -279,8 +313,8 @@ def repeated(documents: DataFrame, least_words: int = LEAST_WORDS, similarity: f
     one document; rows without doc_id come after all others.  An empty table gives an empty result.
     """
     docs = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    chained = stored(spans(matches(docs), least_words), "passage-chains")
-    chained = stored(chained.withColumn("id", F.xxhash64("key", "other", F.col("xs")[0], F.col("ys")[0])), "passage-ids")
+    chained = spans(matches(docs))
+    chained = stored(chained.withColumn("id", F.xxhash64("key", "other", F.col("xs")[0], F.col("ys")[0])), "passage-chains")
     found = stretches(docs, chained)
     length = F.greatest(F.col("stop") - F.col("start"), F.col("there_stop") - F.col("there"))
     found = found.where((F.col("equal") >= LEAST_STRETCH) & (F.col("equal") >= F.lit(similarity) * length))

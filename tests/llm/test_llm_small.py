@@ -316,6 +316,33 @@ def test_passages_are_found_with_edits(spark):
     ]
 
 
+def test_passages_whose_phrases_are_all_known_are_found(spark):
+    """Every stretch of eleven words of a passage is in an earlier document of its own, too."""
+    docs, want = [], set()
+    for trial in range(30):
+        shared = prose(10000 * trial, 60).split()
+        at = 100 * trial
+        docs += [(at + s, f"{prose(3 * 10**6 + 1000 * (at + s), 15)} {' '.join(shared[s:s + 11])} {prose(5 * 10**7 + 1000 * (at + s), 15)}") for s in range(50)]
+        docs += [(at + s, f"{prose(10**8 + 1000 * (at + s), 30)} {' '.join(shared)}") for s in (60, 61)]
+        want.add((at + 61, at + 60, 60))
+    got = passages.repeated(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["matched_doc_id"], r["equal_words"]) for r in got.collect()} == want
+
+
+def test_recall_of_edited_passages(spark):
+    """60 words with every n-th one changed: nearly all down to six in seven alike, none without likeness."""
+    docs, kind = [], {}
+    for n in (20, 12, 10, 8, 7, 2):
+        for trial in range(40):
+            at = 2 * len(kind)
+            shared = prose(10000 * at, 60).split()
+            edited = [f"x{w}" if i % n == n - 1 else w for i, w in enumerate(shared)]
+            docs += [(at, f"{prose(10000 * at + 500, 30)} {' '.join(shared)}"), (at + 1, f"{prose(10000 * at + 700, 30)} {' '.join(edited)} {prose(10000 * at + 900, 30)}")]
+            kind[at + 1] = n
+    found = [kind[r["doc_id"]] for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert all(found.count(n) >= 39 for n in (20, 12, 10)) and found.count(8) >= 36 and found.count(7) >= 36 and not found.count(2)
+
+
 def test_passages_of_odd_rows(odd, none):
     got = passages.repeated(odd)
     assert {(r["doc_id"], r["matched_doc_id"]) for r in got.collect()} == {(6, 5), (9, 5)}
