@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdiff.llm import hashing
-from opsdiff.llm.bitmaps import among, bitmap
+from opsdiff.llm.bitmaps import among
 from opsdiff.llm.common import maybe_among, stored
 
 K, ONE_IN, WIDE = 5, 3, 5
 BITS = 27
-HOT_SHARE = 5000       # a place of the bitmap with more than one in so many seeds is hot: fewer than 5,000 can be
+HOT_SHARE = 5000       # a seed that more than one in so many seeds are is hot: fewer than 5,000 can be
+LEAST_HOT = 1000       # and is at least so frequent
 GAP_COST = 0.01        # of a seed, for each word between two seeds, in either document
 LEAST_BREADTH = 8      # words between the first and the last seed of a chain
 LEAST_WORDS = 45       # of a passage
@@ -36,6 +37,7 @@ SIMILARITY = 0.8
 MARGIN = 64            # words beyond a chain's ends that the alignment may reach
 LEFT_OUT = 6           # words between stretches of one passage
 BLOCK = 128            # words of a document that are fetched together
+SALTS = 32
 
 
 def sampled(found: hashing.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,45 +149,88 @@ def align(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, a0: int, b
     return int(x[0]) - back + a0, at_a + ahead + a0, int(y[0]) - back + b0, at_b + ahead + b0, equal + more + less
 
 
-def seeds_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place among the row's words, hash) of the seeds, and of the wide seeds at the place of their first."""
-    row, at, h = sampled(hashing.words(text, hashing.LETTERS, latin=True))
+def wide_seeds(row: np.ndarray, at: np.ndarray, h: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, hash) of runs of WIDE seeds of one row that are all there, at the place of their first."""
     n = len(h) - WIDE + 1
-    if n > 0:
-        with np.errstate(over="ignore"):
-            wide = np.full(n, np.uint64(WIDE))
-            for j in range(WIDE):
-                wide = hashing.mix(wide * np.uint64(0x9E3779B97F4A7C15) + h[j:n + j])
-        one = row[:n] == row[WIDE - 1:]
-        row, at, h = np.concatenate([row, row[:n][one]]), np.concatenate([at, at[:n][one]]), np.concatenate([h, wide[one]])
-    return row, at, h
+    if n <= 0:
+        return row[:0], at[:0], h[:0]
+    wide, whole = np.full(n, np.uint64(WIDE)), row[:n] == row[WIDE - 1:]
+    with np.errstate(over="ignore"):
+        for j in range(WIDE):
+            wide = hashing.mix(wide * np.uint64(0x9E3779B97F4A7C15) + h[j:n + j])
+            whole &= there[j:n + j]
+    return row[:n][whole], at[:n][whole], wide[whole]
 
 
-def matches(documents: DataFrame) -> DataFrame:
-    """(key, x, other, y): seeds of documents(key, doc_id, text) and their first occurrence in another one."""
-    spark = documents.sparkSession
+def shared_seeds(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmap of the places that seeds of more than one document have, hot places).
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Places are the first BITS bits of hashes; tasks send 16 bits a seed, grouped by the rest of its place,
+    and count in tables whose size the number of bits gives.
+    """
+    inside = np.uint64((1 << 16) - 1)
+
+    def sent_rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        places = np.sort(np.concatenate(held))
+        blocks, starts = np.unique(places >> np.uint64(16), return_index=True)
+        data = (places & inside).astype(np.uint16).tobytes()
+        ends = np.append(starts[1:], len(places))
+        return pa.record_batch(
+            [pa.array(blocks.astype(np.int32)), pa.array([data[2 * i:2 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
+            names=["block", "offsets"],
+        )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for part in hashing.parts(batches, 0):
-            row, _, h = seeds_of(part.column(0))
-            row, h = hashing.distinct(row, h)
-            at, n = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
-            yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["place", "n"])
-
-    places = documents.select("text").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
-    places = stored(places, "passage-places")
-    total = places.agg(F.sum("n")).first()[0] or 0
-    hot_places = [r["place"] for r in places.where(F.col("n") > max(total / HOT_SHARE, 100)).select("place").collect()]
-    sent = spark.sparkContext.broadcast(bitmap(places, BITS))
-    hot_sent = spark.sparkContext.broadcast(np.sort(np.array(hot_places, np.uint64)))
+            row, _, h = sampled(hashing.words(part.column(0), hashing.LETTERS, latin=True))
+            held.append(hashing.distinct(row, h)[1] >> np.uint64(64 - BITS))
+            if sum(map(len, held)) > 1 << 21:
+                yield sent_rows(held)
+                held.clear()
+        if sum(map(len, held)):
+            yield sent_rows(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, offsets in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = counts.setdefault(block, np.zeros(1 << 16, np.int64))
+                held += np.bincount(np.frombuffer(offsets.as_buffer(), np.uint16), minlength=1 << 16)
+        seen = sum(int(n.sum()) for n in counts.values())
+        for block, n in counts.items():
+            hot = np.flatnonzero(n > max(seen / HOT_SHARE, LEAST_HOT))
+            yield pa.record_batch(
+                [pa.array([block], pa.int32()), pa.array([np.packbits(n > 1).tobytes()], pa.binary()), pa.array([int(n.sum())]),
+                 pa.array([[{"place": (block << 16) + int(i), "n": int(n[i])} for i in hot]], pa.list_(pa.struct({"place": pa.int64(), "n": pa.int64()})))],
+                names=["block", "bits", "seen", "hot"],
+            )
+
+    sent = documents.select("text").mapInArrow(read, "block int, offsets binary").repartition("block")
+    blocks = stored(sent.mapInArrow(count, "block int, bits binary, seen long, hot array<struct<place:long,n:long>>"), "passage-places")
+    total = blocks.agg(F.sum("seen")).first()[0] or 0
+    hot = blocks.select(F.inline("hot")).where(F.col("n") > max(total / HOT_SHARE, LEAST_HOT)).toArrow()  # fewer than HOT_SHARE rows
+    out = np.zeros((1 << BITS) >> 3, np.uint8)
+    found = blocks.select("block", "bits").toArrow()  # the bitmap's size at most
+    for block, bits in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[block << 13:(block + 1) << 13] = np.frombuffer(bits, np.uint8)
+    return out, np.sort(hot["place"].to_numpy().astype(np.uint64))
+
+
+def matches(documents: DataFrame) -> DataFrame:
+    """(key, x, other, y): seeds of documents(key, doc_id, text) and their first occurrence in another one."""
+    context = documents.sparkSession.sparkContext
+    shared, hot_places = shared_seeds(documents)
+    sent, hot_sent = context.broadcast(shared), context.broadcast(hot_places)
     kind = dict(documents.dtypes)["doc_id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in hashing.parts(batches, 2):
-            row, at, h = seeds_of(part.column(2))
+            row, at, h = sampled(hashing.words(part.column(2), hashing.LETTERS, latin=True))
             there = among(sent.value, h, BITS)
-            row, at, h = row[there], at[there], h[there]
-            hot = np.isin(h >> np.uint64(64 - BITS), hot_sent.value)
+            wide = wide_seeds(row, at, h, there)
+            hot = np.concatenate([np.isin(h[there] >> np.uint64(64 - BITS), hot_sent.value), np.zeros(len(wide[2]), bool)])
+            row, at, h = (np.concatenate([one[there], two]) for one, two in zip((row, at, h), wide, strict=True))
             yield pa.record_batch(
                 [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(hot)],
                 names=["key", "doc_id", "seed", "x", "hot"],
@@ -209,15 +254,26 @@ def matches(documents: DataFrame) -> DataFrame:
             kept = key != others
             yield pa.record_batch([pa.array(c[kept]) for c in (key, x, others, ys.astype(np.int32))], names=["key", "x", "other", "y"])
 
+    # Hot seeds, fewer than HOT_SHARE, are reduced where they are read; their first places go to every task.
+    rows = seeds.count()
+    hot = seeds.where("hot").groupBy("seed").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "key", "x")).alias("first")
+    ).where(F.col("n") > max(rows / HOT_SHARE, LEAST_HOT)).select("seed", F.col("first.key").alias("other"), F.col("first.x").alias("y")).orderBy("seed").toArrow()
+    firsts = context.broadcast([hot[c].to_numpy() for c in ("seed", "other", "y")])
+
+    def with_hot_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed_, other_, y_ = firsts.value
+        for batch in batches:
+            seed, key, x = (batch.column(c).to_numpy() for c in ("seed", "key", "x"))
+            at = np.searchsorted(seed_, seed)
+            kept = other_[at] != key
+            yield pa.record_batch([pa.array(c) for c in (key[kept], x[kept], other_[at][kept], y_[at][kept])], names=["key", "x", "other", "y"])
+
+    form = "key long, x int, other long, y int"
+    is_hot = F.col("seed").isin(hot["seed"].to_pylist()) if len(hot) else F.lit(False)
     order = [F.col("doc_id").asc_nulls_last(), "key", "x"]
-    few = seeds.where("not hot").repartition("seed").sortWithinPartitions("seed", *order).select("seed", "key", "x")
-    found = few.mapInArrow(with_first, "key long, x int, other long, y int")
-    # Hot seeds are reduced where they are read, and their first places sent to every task: one in 5,000 seeds each, so that few exist.
-    hot = seeds.where("hot")
-    firsts = hot.groupBy("seed").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "key", "x")).alias("first"))
-    firsts = stored(firsts.select("seed", F.col("first.key").alias("other"), F.col("first.x").alias("y")), "passage-hot")
-    firsts = F.broadcast(firsts) if firsts.count() <= 20 * HOT_SHARE else firsts
-    return found.unionByName(hot.join(firsts, "seed").where("key != other").select("key", "x", "other", "y"))
+    few = seeds.where(~is_hot).repartition("seed").sortWithinPartitions("seed", *order).select("seed", "key", "x")
+    return few.mapInArrow(with_first, form).unionByName(seeds.where(is_hot).select("seed", "key", "x").mapInArrow(with_hot_first, form))
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -342,8 +398,13 @@ def repeated(documents: DataFrame, least_words: int = LEAST_WORDS, similarity: f
     form = "key long, from_word int, to_word int, other long, matched_from int, matched_to int, equal_words int"
     passages = stored(found.groupBy("key").applyInArrow(merged, form), "passages")
     ids = docs.select("key", "doc_id")
-    of_other = ids.select(F.col("key").alias("other"), F.col("doc_id").alias("matched_doc_id")).dropDuplicates(["other"])
-    return ids.join(passages.join(of_other, "other"), "key").select(
+    # A document may be the first holder for very many: its id is joined in shares.
+    salts = F.array(*(F.lit(i) for i in range(SALTS)))
+    of_other = ids.join(passages.select(F.col("other").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).select(
+        F.col("key").alias("other"), F.col("doc_id").alias("matched_doc_id"), F.explode(salts).alias("salt")
+    )
+    salted = passages.withColumn("salt", F.pmod(F.xxhash64("key", "from_word"), F.lit(SALTS)).cast("int"))
+    return ids.join(salted.join(of_other, ["other", "salt"]), "key").select(
         "doc_id", "from_word", "to_word", (F.col("to_word") - F.col("from_word")).alias("n_words"),
         "matched_doc_id", "matched_from", "matched_to", "equal_words",
     )

@@ -329,6 +329,16 @@ def test_passages_whose_phrases_are_all_known_are_found(spark):
     assert {(r["doc_id"], r["matched_doc_id"], r["equal_words"]) for r in got.collect()} == want
 
 
+def test_a_passage_of_very_many_documents_has_one_first_holder(spark):
+    """More holders than a hot seed has at least, so that its first place is sent instead of joined."""
+    shared = prose(0, 50)
+    docs = [(i, f"{prose(10**6 + 100 * i, 12)} {shared if i % 3 else ''} {prose(10**7 + 100 * i, 5)}") for i in range(3 * passages.LEAST_HOT // 2 + 60)]
+    got = passages.repeated(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {tuple(r) for r in got.select("doc_id", "from_word", "to_word", "matched_doc_id", "equal_words").collect()} == {
+        (i, 12, 62, 1, 50) for i, _ in docs if i % 3 and i > 1
+    }
+
+
 def test_recall_of_edited_passages(spark):
     """60 words with every n-th one changed: nearly all down to six in seven alike, none without likeness."""
     docs, kind = [], {}
