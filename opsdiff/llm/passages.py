@@ -191,22 +191,29 @@ def shared_seeds(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if sum(map(len, held)):
             yield sent_rows(held)
 
+    def counted(block: int, n: np.ndarray) -> pa.RecordBatch:
+        seen = int(n.sum())
+        hot = np.flatnonzero(n > max(seen / HOT_SHARE, LEAST_HOT))
+        return pa.record_batch(
+            [pa.array([block], pa.int32()), pa.array([np.packbits(n > 1).tobytes()], pa.binary()), pa.array([seen]),
+             pa.array([[{"place": (block << 16) + int(i), "n": int(n[i])} for i in hot]], pa.list_(pa.struct({"place": pa.int64(), "n": pa.int64()})))],
+            names=["block", "bits", "seen", "hot"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
+        """Rows in order of blocks, one table of counts at a time."""
+        now, n = None, np.zeros(1 << 16, np.int64)
         for batch in batches:
             for block, offsets in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = counts.setdefault(block, np.zeros(1 << 16, np.int64))
-                held += np.bincount(np.frombuffer(offsets.as_buffer(), np.uint16), minlength=1 << 16)
-        seen = sum(int(n.sum()) for n in counts.values())
-        for block, n in counts.items():
-            hot = np.flatnonzero(n > max(seen / HOT_SHARE, LEAST_HOT))
-            yield pa.record_batch(
-                [pa.array([block], pa.int32()), pa.array([np.packbits(n > 1).tobytes()], pa.binary()), pa.array([int(n.sum())]),
-                 pa.array([[{"place": (block << 16) + int(i), "n": int(n[i])} for i in hot]], pa.list_(pa.struct({"place": pa.int64(), "n": pa.int64()})))],
-                names=["block", "bits", "seen", "hot"],
-            )
-
-    sent = documents.select("text").mapInArrow(read, "block int, offsets binary").repartition("block")
+                if now is not None and block != now:
+                    yield counted(now, n)
+                    n[:] = 0
+                now = block
+                n += np.bincount(np.frombuffer(offsets.as_buffer(), np.uint16), minlength=1 << 16)
+        if now is not None:
+            yield counted(now, n)
+
+    sent = documents.select("text").mapInArrow(read, "block int, offsets binary").repartition("block").sortWithinPartitions("block")
     blocks = stored(sent.mapInArrow(count, "block int, bits binary, seen long, hot array<struct<place:long,n:long>>"), "passage-places")
     total = blocks.agg(F.sum("seen")).first()[0] or 0
     hot = blocks.select(F.inline("hot")).where(F.col("n") > max(total / HOT_SHARE, LEAST_HOT)).toArrow()  # fewer than HOT_SHARE rows
