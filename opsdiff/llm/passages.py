@@ -246,8 +246,16 @@ def matches(documents: DataFrame) -> DataFrame:
     form = f"key long, doc_id {kind}, seed long, x int, hot boolean"
     seeds = stored(documents.select("key", "doc_id", "text").mapInArrow(read, form), "passage-seeds")
 
+    # Hot seeds, fewer than HOT_SHARE, are reduced where they are read and spread over tasks; their first places go to every task.
+    rows = seeds.count()
+    hot = seeds.where("hot").groupBy("seed").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "key", "x")).alias("first")
+    ).where(F.col("n") > max(rows / HOT_SHARE, LEAST_HOT)).select("seed", F.col("first.key").alias("other"), F.col("first.x").alias("y")).orderBy("seed").toArrow()
+    firsts = context.broadcast([hot[c].to_numpy() for c in ("seed", "other", "y")])
+
     def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of seed and document: the first of each seed is kept in mind."""
+        """Rows in order of seed and document: the first of each seed is kept in mind, but for hot ones."""
+        hot_seed, hot_other, hot_y = firsts.value
         last, other, y = None, 0, 0
         for batch in batches:
             if not len(batch):
@@ -258,29 +266,18 @@ def matches(documents: DataFrame) -> DataFrame:
             others = np.where(start >= 0, key[start], other)
             ys = np.where(start >= 0, x[start], y)
             last, other, y = seed[-1], others[-1], ys[-1]
+            if len(hot_seed):
+                at = np.minimum(np.searchsorted(hot_seed, seed), len(hot_seed) - 1)
+                is_hot = hot_seed[at] == seed
+                others, ys = np.where(is_hot, hot_other[at], others), np.where(is_hot, hot_y[at], ys)
             kept = key != others
             yield pa.record_batch([pa.array(c[kept]) for c in (key, x, others, ys.astype(np.int32))], names=["key", "x", "other", "y"])
 
-    # Hot seeds, fewer than HOT_SHARE, are reduced where they are read; their first places go to every task.
-    rows = seeds.count()
-    hot = seeds.where("hot").groupBy("seed").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "key", "x")).alias("first")
-    ).where(F.col("n") > max(rows / HOT_SHARE, LEAST_HOT)).select("seed", F.col("first.key").alias("other"), F.col("first.x").alias("y")).orderBy("seed").toArrow()
-    firsts = context.broadcast([hot[c].to_numpy() for c in ("seed", "other", "y")])
-
-    def with_hot_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed_, other_, y_ = firsts.value
-        for batch in batches:
-            seed, key, x = (batch.column(c).to_numpy() for c in ("seed", "key", "x"))
-            at = np.searchsorted(seed_, seed)
-            kept = other_[at] != key
-            yield pa.record_batch([pa.array(c) for c in (key[kept], x[kept], other_[at][kept], y_[at][kept])], names=["key", "x", "other", "y"])
-
-    form = "key long, x int, other long, y int"
     is_hot = F.col("seed").isin(hot["seed"].to_pylist()) if len(hot) else F.lit(False)
+    share = F.when(is_hot, F.pmod("key", F.lit(1024))).otherwise(0)
     order = [F.col("doc_id").asc_nulls_last(), "key", "x"]
-    few = seeds.where(~is_hot).repartition("seed").sortWithinPartitions("seed", *order).select("seed", "key", "x")
-    return few.mapInArrow(with_first, form).unionByName(seeds.where(is_hot).select("seed", "key", "x").mapInArrow(with_hot_first, form))
+    dealt = seeds.withColumn("share", share).repartition("seed", "share").sortWithinPartitions("seed", *order).select("seed", "key", "x")
+    return dealt.mapInArrow(with_first, "key long, x int, other long, y int")
 
 
 def spans(found: DataFrame) -> DataFrame:
