@@ -2,14 +2,16 @@
 
 A page is cut into text blocks, each with its path of tags from the root.  For every path
 of a page the length of its text and its punctuation are added up and divided by the number
-of its blocks; both ratios are smoothed over the page, where paths that differ in fewer tags
-weigh more, and multiplied.  Paths above a share of the page's spread are content.  The
+of its blocks; both ratios are smoothed over the tree of paths, where paths that differ in fewer
+tags weigh more, and multiplied.  Paths above a share of the page's spread are content.  The
 smallest element that holds nearly all of the content's text is the article: its blocks are
 the text.
 
 What a page says of itself comes first: elements that by tag or role are menus, headers,
 footers, forms or scripts give no blocks.  A class or id that sounds like a sidebar, an advert,
-a notice or comments may mean something else: it lowers the ratio of the paths within.
+a notice or comments may mean something else.  Where sentences in an article or main element, two
+blocks of sentences of one path, or a tenth of all sentences lie outside of such names, what has them goes as well, however long it
+is; else a name lowers the ratio of the paths within.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +69,38 @@ SMOOTHING = 1.0
 SPREAD = 0.25
 NAMED = 0.1       # share of its ratio that a path keeps within an element named like boilerplate
 NEARLY_ALL = 0.9  # of the content's text, in the element taken for the article
-NEIGHBOURS = 100  # paths on either side that a path is smoothed with
-
-Block = tuple[tuple[tuple[int, str], ...], str]  # path of (element number, tag, "!" added to one named like boilerplate), text
+FARTHEST = 6      # tags between paths that are smoothed together; farther ones would weigh less than one in 10 million
+FEW_PATHS = 150   # up to which distances are taken pair by pair; the results are the same
+SENTENCE = 25     # code points before the mark at a sentence's end, at least
+_END = re.compile(r"[.!?…。！？]")
+
+
+@dataclass
+class Page:
+    """Elements by number, parents first, 0 around the whole page; tag paths as a tree of their own; blocks of text."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    depth: list[int] = field(default_factory=lambda: [0])
+    names: list[int] = field(default_factory=lambda: [0])          # elements named like boilerplate, itself and around it
+    in_article: list[bool] = field(default_factory=lambda: [False])
+    path: list[int] = field(default_factory=lambda: [0])
+    path_parent: list[int] = field(default_factory=lambda: [-1])
+    path_number: dict[tuple[int, str, bool], int] = field(default_factory=dict)
+    blocks: list[tuple[int, str]] = field(default_factory=list)    # (element, text) in page order
+
+    def add(self, parent: int, tag: str, named: bool) -> int:
+        key = (self.path[parent], tag, named)
+        if key not in self.path_number:
+            self.path_number[key] = len(self.path_parent)
+            self.path_parent.append(self.path[parent])
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.depth.append(self.depth[parent] + 1)
+        self.names.append(self.names[parent] + named)
+        self.in_article.append(self.in_article[parent] or tag in ("article", "main"))
+        self.path.append(self.path_number[key])
+        return len(self.parent) - 1
 
 
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -92,37 +124,44 @@ def _sounds_like_boilerplate(tag: str, attributes: str) -> bool:
     return any(_BOILERPLATE.search(_STATE.sub("", value)) for value in values)
 
 
-def blocks(page: str) -> Iterator[Block]:
+def parse(page: str) -> Page:
     """The text blocks of a page in order, without those of elements that are boilerplate by tag or role.
 
     Elements that are never closed end where HTML lets them end, or with the page.
     """
-    # number, tag, boilerplate, named like it: block elements and those left out or named
-    stack: list[tuple[int, str, bool, bool]] = []
+    out = Page()
+    # element, tag, boilerplate: block elements and those left out or named
+    stack: list[tuple[int, str, bool]] = [(0, "", False)]
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    number, at = 0, 0
+    at = 0
 
-    def finished() -> Iterator[Block]:
+    def finish() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            yield tuple((n, t + "!" * named) for n, t, _, named in stack), text
+            out.blocks.append((stack[-1][0], text))
 
     def hidden() -> bool:
-        return bool(stack) and stack[-1][2]
+        return stack[-1][2]
 
     def has_open(*tags: str) -> bool:
-        return any(t in tags for _, t, _, _ in stack)
+        return any(opened.get(t) for t in tags)
+
+    def cut(depth: int) -> None:
+        for _, t, _ in stack[depth:]:
+            opened[t] -= 1
+        del stack[depth:]
 
     def end_head() -> None:
         """Ends a head that was never closed; its templates hold whatever they like."""
         if has_open("head") and not has_open("template"):
-            del stack[max(i for i, (_, t, _, _) in enumerate(stack) if t == "head"):]
+            cut(max(i for i, (_, t, _) in enumerate(stack) if t == "head"))
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:  # inside the raw text of a script or the like
             continue
-        if m.start() > at and stack and stack[-1][1] == "head" and not page[at:m.start()].isspace():
+        if m.start() > at and stack[-1][1] == "head" and not page[at:m.start()].isspace():
             end_head()
         if m.start() > at and not hidden():
             parts.append(page[at:m.start()])
@@ -132,15 +171,15 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         tag = tag.lower()
         if close:
-            if tag in INLINE and not has_open(tag):
-                continue
             if tag == "br":
-                yield from finished()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][1] == tag:
-                    yield from finished()
-                    del stack[depth:]
-                    break
+                finish()
+            if not has_open(tag):
+                continue
+            depth = len(stack) - 1
+            while stack[depth][1] != tag:
+                depth -= 1
+            finish()
+            cut(depth)
             continue
         if tag not in IN_HEAD:
             end_head()
@@ -149,7 +188,7 @@ def blocks(page: str) -> Iterator[Block]:
             at = end.end() if end else len(page)
             continue
         if tag in ("br", "hr"):
-            yield from finished()
+            finish()
             continue
         if tag in VOID:
             continue
@@ -159,95 +198,131 @@ def blocks(page: str) -> Iterator[Block]:
         if tag in INLINE and (hidden() or not boilerplate and (not named or has_open("p", "blockquote", "pre", *HEADINGS))):
             continue
         if tag not in INLINE or not boilerplate:
-            yield from finished()
+            finish()
         ends = LIKE.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-        for depth in range(len(stack) - 1, -1, -1):
+        depth = len(stack) - 1
+        while has_open(*ends) and stack[depth][1] not in SCOPE and depth:
             if stack[depth][1] in ends:
-                del stack[depth:]
+                cut(depth)
                 boilerplate = hidden() or _is_boilerplate(tag, attributes, has_open("article", "main"))
-            elif stack[depth][1] in SCOPE:
-                break
-        number += 1
+            depth -= 1
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((number, tag, boilerplate, named))
-    if at < len(page) and stack and stack[-1][1] == "head" and not page[at:].isspace():
+            stack.append((out.add(stack[-1][0], tag, named), tag, boilerplate))
+            opened[tag] = opened.get(tag, 0) + 1
+    if at < len(page) and stack[-1][1] == "head" and not page[at:].isspace():
         end_head()
     if at < len(page) and not hidden() and not re.match(r"<[/a-zA-Z!]", page[at:at + 2]):
         parts.append(page[at:])
-    yield from finished()
-
-
-def _difference(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Tags to take away and add to get from one path to another, along their common start."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused, smoothed ratio of each tag path."""
-    length: dict[tuple[str, ...], float] = {}
-    marks: dict[tuple[str, ...], float] = {}
-    count: dict[tuple[str, ...], int] = {}
-    for path, text in found:
-        tags = tuple(t for _, t in path)
-        length[tags] = length.get(tags, 0) + len(text)
-        marks[tags] = marks.get(tags, 0) + len(_PUNCTUATION.findall(text))
-        count[tags] = count.get(tags, 0) + 1
-    # In order of their names near paths are neighbours.
-    paths = sorted(length)
-    ratios = np.array([[length[p] / count[p], (marks[p] + 0.5) / count[p]] for p in paths])
-    out = {}
-    for i, path in enumerate(paths):
-        first, last = max(0, i - NEIGHBOURS), i + NEIGHBOURS + 1
-        apart = np.array([_difference(path, other) for other in paths[first:last]], float)
-        weight = np.exp(-(apart**2) / (2 * SMOOTHING**2))
-        out[path] = float(np.prod(weight @ ratios[first:last] / weight.sum())) * (NAMED if any(t.endswith("!") for t in path) else 1)
+    finish()
+    return out
+
+
+def near_sums(parent: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """For each path the sums of all paths' ratios, weighed by their distance in the tree.
+
+    Sums at a distance come from sums over what lies below each path and its ancestors.
+    """
+    n = len(parent)
+    below = [ratios]
+    for _ in range(FARTHEST):
+        up = np.zeros_like(ratios)
+        np.add.at(up, parent[1:], below[-1][1:])
+        below.append(up)
+    ancestors = [np.arange(n)]
+    for _ in range(FARTHEST):
+        ancestors.append(np.where(ancestors[-1] >= 0, parent[ancestors[-1]], -1))
+    out = np.zeros_like(ratios)
+    for apart in range(FARTHEST + 1):
+        there = below[apart].copy()
+        for up in range(1, apart + 1):
+            one = ancestors[up] >= 0
+            there[one] += below[apart - up][ancestors[up][one]]
+            if apart - up:
+                there[one] -= below[apart - up - 1][ancestors[up - 1][one]]
+        out += np.exp(-(apart**2) / (2 * SMOOTHING**2)) * there
     return out
 
 
-def main_text(page: str | None) -> str:
+def near_sums_of_few(parent: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """The same from all distances, which is faster for few paths."""
+    n = len(parent)
+    over = np.eye(n, dtype=np.float32)  # which paths are above each, itself included; parents come first
+    for i in range(1, n):
+        over[i] += over[parent[i]]
+    depth = over.sum(axis=1)
+    apart = depth[:, None] + depth[None, :] - 2 * (over @ over.T)
+    return np.where(apart <= FARTHEST, np.exp(-(apart.astype(float)**2) / (2 * SMOOTHING**2)), 0) @ ratios
+
+
+def path_scores(page: Page, blocks: list[tuple[int, str]]) -> np.ndarray:
+    """Fused, smoothed ratio of each tag path; those without text have none (NaN)."""
+    parent = np.array(page.path_parent)
+    n = len(parent)
+    at = np.array([page.path[e] for e, _ in blocks])
+    length = np.bincount(at, [len(text) for _, text in blocks], n)
+    marks = np.bincount(at, [len(_PUNCTUATION.findall(text)) for _, text in blocks], n)
+    count = np.bincount(at, minlength=n)
+    has = count > 0
+    ratios = np.zeros((n, 3))
+    ratios[has] = np.column_stack([length[has] / count[has], (marks[has] + 0.5) / count[has], np.ones(has.sum())])
+    smooth = (near_sums_of_few if n <= FEW_PATHS else near_sums)(parent, ratios)
+    out = np.full(n, np.nan)
+    out[has] = np.prod(smooth[has, :2] / smooth[has, 2:], axis=1)
+    return out
+
+
+def told(page: Page) -> bool:
+    """Whether the page has an article that nothing names like boilerplate: then all that is named so is."""
+    plain = named = 0
+    paths: set[int] = set()
+    for element, text in page.blocks:
+        if any(len(part) >= SENTENCE for part in _END.split(text)[:-1]):
+            if page.names[element]:
+                named += len(text)
+            elif page.in_article[element] or page.path[element] in paths:
+                return True
+            else:
+                paths.add(page.path[element])
+                plain += len(text)
+    return plain > 0 and plain >= (1 - NEARLY_ALL) * (plain + named)
+
+
+def main_text(html_: str | None) -> str:
     """The article's blocks, one a line; empty if the page has no text."""
-    found = list(blocks(page or ""))
+    page = parse(html_ or "")
+    found = page.blocks
+    if told(page):
+        found = [(element, text) for element, text in found if not page.names[element]]
     if not found:
         return ""
-    scores = path_scores(found)
-    values = np.array(list(scores.values()))
+    scores = path_scores(page, found)
+    of = [float(scores[page.path[element]]) * (NAMED if page.names[element] else 1) for element, _ in found]
+    values = np.array(list({page.path[element]: score for (element, _), score in zip(found, of, strict=True)}.values()))
     least = SPREAD * values.std()
     # One named like boilerplate is content only if even so it is not below any other path.
-    plain = max((s for p, s in scores.items() if not any(t.endswith("!") for t in p)), default=0.0)
-
-    def is_content(path: tuple[tuple[int, str], ...]) -> bool:
-        tags = tuple(t for _, t in path)
-        return scores[tags] >= (max(least, plain) if any(t.endswith("!") for t in tags) else least)
-
-    content = [(path, text) for path, text in found if is_content(path)]
+    plain = max((score for (element, _), score in zip(found, of, strict=True) if not page.names[element]), default=0.0)
+    content = [score >= (max(least, plain) if page.names[element] else least) for (element, _), score in zip(found, of, strict=True)]
     # The deepest element with nearly all of the content, an article or main element first.
-    inside: dict[int, int] = {}
-    names: dict[int, tuple[int, str]] = {}
-    for path, text in content:
-        for depth, (n, tag) in enumerate(path):
-            inside[n] = inside.get(n, 0) + len(text)
-            names[n] = (depth, tag.rstrip("!"))
-    total = sum(len(text) for _, text in content)
-    named = [n for n, (_, tag) in names.items() if tag in ("article", "main") and inside[n] >= NEARLY_ALL * total]
-    wide = [n for n in inside if inside[n] >= NEARLY_ALL * total and names[n][1] not in ("p", "li", "pre") and names[n][1] not in HEADINGS | INLINE]
-    holder = max(named or wide, key=lambda n: names[n][0], default=None)
-    if holder is None:
-        kept = [text for _, text in content]
-    elif named or names[holder][1] not in ("body", "html"):
-        # All that is in it, but what is named like boilerplate there and has a low ratio.
-        kept = []
-        for path, text in found:
-            within = [i for i, (n, _) in enumerate(path) if n == holder]
-            if within and (is_content(path) or not any(t.endswith("!") for _, t in path[within[0] + 1:])):
-                kept.append(text)
-    else:
-        kept = [text for _, text in content]
-    return "\n".join(kept)
+    inside = [0] * len(page.parent)
+    for (element, text), is_content in zip(found, content, strict=True):
+        inside[element] += len(text) * is_content
+    total = sum(inside)
+    for element in range(len(inside) - 1, 0, -1):
+        inside[page.parent[element]] += inside[element]
+    full = [e for e in range(1, len(inside)) if inside[e] >= NEARLY_ALL * total and inside[e]]
+    articles = [e for e in full if page.tag[e] in ("article", "main")]
+    wide = [e for e in full if page.tag[e] not in ("p", "li", "pre") and page.tag[e] not in HEADINGS | INLINE]
+    holder = max(articles or wide, key=lambda e: page.depth[e], default=None)
+    if holder is None or (not articles and page.tag[holder] in ("body", "html")):
+        return "\n".join(text for (_, text), is_content in zip(found, content, strict=True) if is_content)
+    # All that is in it, but what is named like boilerplate there and has a low ratio.
+    within = [e == holder for e in range(len(inside))]
+    for element in range(holder + 1, len(within)):
+        within[element] = within[page.parent[element]]
+    return "\n".join(
+        text for (element, text), is_content in zip(found, content, strict=True)
+        if within[element] and (is_content or page.names[element] == page.names[holder])
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -519,6 +519,43 @@ def test_pages_keep_their_whole_content(page):
     assert html_text.main_text(page).split("\n") == SENTENCES
 
 
+COMMENT = "A reader says, at length, that this is so, and that it is not; and more, and more, to no end. " * 5
+
+
+@pytest.mark.parametrize("body", [
+    "<article>{0}</article><section id='comments'>{1}</section>",
+    "<article>{0}<section class='comments'>{1}</section></article>",
+    "<div class='story'>{0}</div><div class='comment-list comments'>{1}</div>",
+    "<main>{0}</main><div class='comments'><article>{1}</article></div>",
+])
+def test_comments_longer_than_the_article_go(body):
+    page = body.format("".join(f"<p>{x}</p>" for x in SENTENCES), "".join(f"<p>{COMMENT}</p>" for _ in range(8)))
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == SENTENCES
+
+
+def test_sums_over_near_paths_agree():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    parent = np.array([-1] + [int(draw.integers(max(0, i - 6), i)) for i in range(1, 140)])
+    ratios = draw.random((140, 3))
+    assert np.allclose(html_text.near_sums(parent, ratios), html_text.near_sums_of_few(parent, ratios), rtol=1e-6)
+
+
+def test_unnamed_header_and_footer_go():
+    page = f"<body><div><a>Home</a></div><div>{''.join(f'<p>{x * 3}</p>' for x in SENTENCES)}</div><div><span>2020 Us</span></div></body>"
+    assert html_text.main_text(page).split("\n") == [x * 3 for x in SENTENCES]
+
+
+@pytest.mark.parametrize("tag", ["<div>x", "<p><center>x", "<ul><li>x", "<b class=x>x", "<table><tr><td>x", "<x-y>x"])
+def test_deep_nesting_takes_seconds(tag):
+    import time
+
+    start = time.monotonic()
+    assert html_text.main_text(tag * 20000).count("x") > 0
+    assert time.monotonic() - start < 20
+
+
 def test_names_of_headings_and_text_before_a_body():
     page = f"<body><article>{PROSE}<h2 id='related-work'>Related work</h2>{PROSE}<div class='share'><a>Share</a></div></article></body>"
     assert html_text.main_text(page).split("\n") == [*SENTENCES, "Related work", *SENTENCES]
