@@ -14,8 +14,8 @@ that every text has a probability, and these sum to one over all texts.
 The pieces' probabilities are learned: expected counts of the pieces over all segmentations
 of every distinct training word (expectation maximisation), for each class by itself, plus a
 small constant.  Classes are the values of a column of the training rows, the most frequent
-ones and one for the rest; a text to score has no class given: it gets the class under which
-its frequent words are likeliest, times that class's share.
+ones and one for the rest; a text to score has no class given: its probability is the sum over
+all classes, each times its share.
 
 Only distinct words are segmented.  The most used words, bounded in number, meet the
 documents by broadcast, all others by a join; neither a frequent word nor the vocabulary
@@ -393,7 +393,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
         ),
         "lm-texts",
     )
-    # A text's class is chosen when all of its words are added up.
+    # Classes are summed when all of a text's words are added up.
     seldom = passed.select("key", F.explode("rest").alias("word"))
     seldom = seldom.join(scored.select("word", "count", "base", "logs"), "word").select(
         "key", (F.col("count") > 0).cast("long").alias("known"), "base", *[F.col("logs")[k].alias(c) for k, c in enumerate(logs_of)]
@@ -406,8 +406,10 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
         .groupBy("key").agg(*sums_of, F.max("n").alias("n"), F.max("doc_id").alias("doc_id"))
     )
     ends_known = int(ends.sum() > 0)
+    best = F.array_max(F.array(*logs_of))  # the sum over all classes, relative to the likeliest
+    total_log = F.when(best > float("-inf"), best + F.log10(sum((F.pow(F.lit(10.0), F.col(c) - best) for c in logs_of), F.lit(0.0)))).otherwise(best)
     return per_text.select(
         "doc_id", (F.col("n") + 1).alias("n_tokens"), (F.col("known") + ends_known).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + base(F.lit(float(ends.sum())))).alias("base_score"), F.array_max(F.array(*logs_of)).alias("score"),
+        (F.col("base") + base(F.lit(float(ends.sum())))).alias("base_score"), total_log.alias("score"),
     )
