@@ -110,23 +110,32 @@ def fmt_val(x: Column) -> Column:
     return _scaled(x, fixed, fixed(x, 2))
 
 
-def _three_digits(size: Column) -> Column:
+# Doubles below this have so few bits that their shortest form has less than three exact digits.
+_COARSE, _LEAST = 4e-320, 5e-324
+
+
+def _three_digits(size: Column, half_up: bool) -> Column:
     """A size between 0 and 1 with three significant digits, exponential below 1e-6.
 
-    Rounded on the exact binary value, exact ties up.  The shortest form's exponent says how
+    Rounded on the exact binary value, exact ties up or to even.  The shortest form's exponent says how
     many places that takes; a number rounded up to the next power of ten has one digit more.
     """
+    # A coarse size is a multiple of the least double, 4.94...e-324: that multiple of 4.94...e-3 is as good as exact.
+    coarse = size < _COARSE
+    size = F.when(coarse, size / F.lit(_LEAST) * 0.004940656458412465).otherwise(size)
+    shift = F.when(coarse, -321).otherwise(0)
     floor = F.substring_index(F.format_string("%.17e", size), "e", -1).try_cast("int")
     places = 2 - floor
     plain = F.regexp_replace(F.call_function("format_number", size, places), r"^0\.0*|\.", "")
-    rounded = F.struct(F.substring(plain, 1, 3).alias("digits"), (floor + F.length(plain) - 3).alias("exponent"))
-    up = F.format_string("%.2e", size)
-    tie = F.struct(
-        F.regexp_replace(F.substring_index(up, "e", 1), r"\.", "").alias("digits"),
-        F.substring_index(up, "e", -1).try_cast("int").alias("exponent"),
-    )
-    number = F.when((size * F.pow(F.lit(2.0), places + 1)) % 2.0 == 1.0, tie).otherwise(rounded)
-    digits, exponent = number["digits"], number["exponent"]
+    number = F.struct(F.substring(plain, 1, 3).alias("digits"), (floor + F.length(plain) - 3).alias("exponent"))
+    if half_up:
+        up = F.format_string("%.2e", size)
+        tie = F.struct(
+            F.regexp_replace(F.substring_index(up, "e", 1), r"\.", "").alias("digits"),
+            F.substring_index(up, "e", -1).try_cast("int").alias("exponent"),
+        )
+        number = F.when((size * F.pow(F.lit(2.0), places + 1)) % 2.0 == 1.0, tie).otherwise(number)
+    digits, exponent = number["digits"], number["exponent"] + shift
     point = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2))
     return (
         F.when(exponent < -6, F.concat(point, F.lit("e"), exponent))
@@ -135,15 +144,18 @@ def _three_digits(size: Column) -> Column:
     )
 
 
-def fmt_num(x: Column) -> Column:
-    """Value on screen: one decimal from 100, two from 1, three significant digits below."""
-    size = F.abs(x)
+def fmt_num(x: Column, half_up: bool = True) -> Column:
+    """Value on screen: one decimal from 100, two from 1, three significant digits below.
+
+    Exact ties go away from zero as in the browser or, as in SQL's printf, to even.
+    """
+    size, fmt = F.abs(x), fixed_half_up if half_up else fixed
     rest = (
-        F.when(size >= 100, fixed_half_up(x, 1))
-        .when(size >= 1, fixed_half_up(x, 2))
-        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), _three_digits(size)))
+        F.when(size >= 100, fmt(x, 1))
+        .when(size >= 1, fmt(x, 2))
+        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), _three_digits(size, half_up)))
     )
-    return _scaled(x, fixed_half_up, rest)
+    return _scaled(x, fmt, rest)
 
 
 def delta_text(kind: Column, delta: Column) -> Column:

@@ -112,6 +112,21 @@ def test_fmt_num(spark):
         assert one(spark, t.fmt_num(F.lit(x))) == want, x
 
 
+def test_fmt_num_ties_to_even(spark):
+    cases = {
+        -89.625: "-89.62", 89.635: "89.64", 1291.25: "1291.2", 1291.75: "1291.8", 10125000.0: "10.12M", 0.03125: "0.0312", 0.09375: "0.0938",
+        -0.1875: "-0.188", 0.0625: "0.0625", 62737.5 * (-1 / 7e2): "-89.62", 0.0: "0", 0.9996: "1.00", 1e-322: "9.88e-323", 3.95e-321: "3.95e-321",
+    }
+    got = spark.createDataFrame([(x,) for x in cases], "x double").select("x", t.fmt_num(F.col("x"), half_up=False).alias("text"))
+    assert dict(map(tuple, got.collect())) == cases
+
+
+def test_fmt_num_of_the_smallest_numbers(spark):
+    sizes = [k * 5e-324 for k in (*range(1, 300), 999, 1001, 2025, 8000, 8095, 8096, 8100, 8192, 20000)]
+    got = spark.createDataFrame([(x,) for x in sizes], "x double").select("x", t.fmt_num(F.col("x")).alias("text"))
+    assert {x: text for x, text in got.collect()} == {x: f"{x:.2e}" for x in sizes}
+
+
 def test_evidence_headline_and_delta(spark):
     n = F.lit(None).cast("double")
     line = lambda inst, a, b, d: one(spark, t.evidence_line(F.lit("m.x"), F.lit(inst), a, b, d))
