@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -116,33 +116,40 @@ def _last_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Restarts(StatefulProcessor):
-    """State of one process: its greatest start time, and when it was last seen."""
+    """State of one process: its greatest start time, and when it was last seen.
+
+    A process has few rows at a time, for which a pandas frame of its own takes longer than the rows do.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "start double, ms long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         host, name = key
         before = self.last.get()
         known, ms = before if before is not None else (0.0, None)
-        arrived = pd.concat(rows)
-        rises = []
-        for start in sorted(set(arrived["start_time"])):
+        old = (known, ms)
+        rises, starts, seen = [], set(), None
+        for row in rows:
+            starts.add(row.start_time)
+            if row.ms is not None:
+                seen = row.ms if seen is None else max(seen, row.ms)
+        for start in sorted(starts):
             if known > 0 and start - known > RESTART_GAP_MS:
-                rises.append((host, name, known, start))
+                rises.append(Row(host=host, name=name, start_before=known, start_now=start))
             known = max(known, start)
-        seen = int(arrived["ts"].max().value // 1_000_000)
-        if ms is None or seen > ms:
+        if seen is not None and (ms is None or seen > ms):
             if ms is not None:
                 self.handle.deleteTimer(ms)
             self.handle.registerTimer(seen)
             ms = seen
-        self.last.update((known, ms))
-        if rises:
-            yield pd.DataFrame(rises, columns=["host", "name", "start_before", "start_now"])
+        # Every call to the state is a message of its own: none is sent for what stays.
+        if (known, ms) != old:
+            self.last.update((known, ms))
+        return iter(rises)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         self.last.clear()
         return iter(())
 
@@ -165,6 +172,7 @@ def restart_feed(processes: DataFrame, forget: str = FORGET) -> DataFrame:
     return (
         starts.mapInPandas(_last_seen, "host string, name string, start_time double, ts timestamp")
         .withWatermark("ts", forget)
+        .select("host", "name", "start_time", "ts", F.unix_millis("ts").alias("ms"))
         .groupBy("host", "name")
-        .transformWithStateInPandas(Restarts(), RESTART, "append", "EventTime")
+        .transformWithState(Restarts(), RESTART, "append", "EventTime")
     )

@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from opsdiff.operators import windows
@@ -180,6 +181,43 @@ def test_restart_feed(spark):
     assert tuples(feed.run(stream), "name", "start_before", "start_now") == [("web", 1e6 + 60000, 1e6 + 120001)]
 
 
+def test_restarts_take_rows_and_write_what_changed():
+    class Value:
+        now, writes = None, 0
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+            self.writes += 1
+
+    class Handle:
+        timers, calls = set(), 0
+
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.add(ms)
+            Handle.calls += 1
+
+        def deleteTimer(self, ms):  # noqa: N802
+            self.timers.remove(ms)
+            Handle.calls += 1
+
+    def deliver(*rows):
+        return [(r.start_before, r.start_now) for r in one.handleInputRows(("h", "n"), iter([Row(start_time=s, ms=ms) for s, ms in rows]), None)]
+
+    one = feeds.Restarts()
+    one.init(Handle())
+    assert deliver((1e6, 10), (3e6, 30), (2e6, 20), (2e6 + 1, None)) == [(1e6, 2e6), (2e6 + 1, 3e6)]
+    assert one.last.now == (3e6, 30) and Handle.timers == {30} and (one.last.writes, Handle.calls) == (1, 1)
+    assert deliver((3e6, 30), (1e6, 5)) == [] and (one.last.writes, Handle.calls) == (1, 1)
+    assert deliver((3e6, 40)) == [] and one.last.now == (3e6, 40) and Handle.timers == {40}
+    assert deliver((4e6, None)) == [(3e6, 4e6)] and one.last.now == (4e6, 40)
+
+
 def test_processes_not_seen_leave_no_state(spark):
     feed = Feed(spark, PROCESS)
     stream = feeds.restart_feed(feed.stream(), forget="1 hour")
