@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+TEXTS_AT_ONCE = 2_000  # rows of an Arrow batch, for texts of some KB each
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Inside, Python gets batches of so many rows at most; the session's own setting is put back."""
+    before = spark.conf.get(ARROW_ROWS)
+    if most and not 0 < int(before) <= most:
+        spark.conf.set(ARROW_ROWS, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """The table written to the shared folder and read back: its lineage ends there.
 
     The files stay for as long as the caller keeps the shared folder, since the result
-    of an operator is read later than the operator returns.
+    of an operator is read later than the operator returns.  batch_rows: for steps in Python on
+    large rows, of which a batch is held by the JVM and by Python at a time.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

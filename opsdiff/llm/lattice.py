@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdiff.llm.common import slices, stored
+from opsdiff.llm.common import TEXTS_AT_ONCE, slices, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -45,6 +45,8 @@ ROUNDS = 2
 LONGEST_RUN = 10_000      # longer words are cut there first, which only leaves out segmentations
 ADD = 0.1
 WORDS_AT_ONCE = 60_000
+TEXT_BYTES = 4 << 20      # of texts split at once: their words take some twenty times as much
+COUNTS_AT_ONCE = 400_000  # rows of counts put together before they leave a task
 
 
 @dataclass(frozen=True)
@@ -277,16 +279,24 @@ def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def count_words(docs: DataFrame, classes: int) -> DataFrame:
     """(word, counts array<long> by class in training, uses in all) from docs(text, class int; null: not in training)."""
 
+    def merged(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        summed = pa.concat_tables(held).group_by(["word", "class"]).aggregate([("n", "sum")])
+        yield pa.record_batch([summed[c].combine_chunks() for c in ("word", "class", "n_sum")], names=["word", "class", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TEXT_BYTES):
                 words, row = _split(part.column(0))
                 kind = pc.fill_null(part.column(1), -1).to_numpy().astype(np.int32)[row]
                 grouped = pa.table({"word": words, "class": kind}).group_by(["word", "class"]).aggregate([([], "count_all")])
-                yield pa.record_batch(
-                    [grouped["word"].combine_chunks(), grouped["class"].combine_chunks(), grouped["count_all"].combine_chunks()],
-                    names=["word", "class", "n"],
-                )
+                held.append(grouped.select(["word", "class", "count_all"]).rename_columns(["word", "class", "n"]))
+                n += len(grouped)
+                if n >= COUNTS_AT_ONCE:
+                    yield from merged(held)
+                    held, n = [], 0
+        if n:
+            yield from merged(held)
 
     rows = docs.select("text", "class").mapInArrow(count, "word string, class int, n long")
     by_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
@@ -320,7 +330,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
     ends_by = {r["class"]: r["n"] for r in docs.where("train").groupBy("class").agg(F.count("*").alias("n")).collect()}
     ends = np.array([ends_by.get(k, 0) for k in range(n_classes)], float)
 
-    vocabulary = stored(count_words(docs, n_classes), "lm-words")
+    vocabulary = stored(count_words(docs, n_classes), "lm-words", TEXTS_AT_ONCE)
     each = [F.col("counts")[k] for k in range(n_classes)]
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     sums = vocabulary.agg(
@@ -371,7 +381,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known, base_logs, logs = most.value
         for whole_batch in batches:
-            for batch in slices(whole_batch, 2):
+            for batch in slices(whole_batch, 2, TEXT_BYTES):
                 n = len(batch)
                 words, row = _split(batch.column(2))
                 place = pc.index_in(words, value_set=known_words)
@@ -391,7 +401,7 @@ def score(documents: DataFrame, train: Column, pieces: Pieces, by: str | None =
         docs.select("key", "doc_id", "text").mapInArrow(
             first_pass, f"key long, doc_id {id_type}, n long, known long, base double, {', '.join(f'{c} double' for c in logs_of)}, rest array<string>"
         ),
-        "lm-texts",
+        "lm-texts", TEXTS_AT_ONCE,
     )
     # Classes are summed when all of a text's words are added up.
     seldom = passed.select("key", F.explode("rest").alias("word"))

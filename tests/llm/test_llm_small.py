@@ -5,11 +5,12 @@ import math
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from opsdiff.llm import decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, secrets, toxicity
+from opsdiff.llm import common, decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, secrets, toxicity
 from opsdiff.llm.common import components, maybe_among
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -620,3 +621,30 @@ def test_pipeline_stages_on_odd_rows(spark, clashing, labels, items, tmp_path):
     empty = clashing.drop("copies").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stored_steps_may_ask_for_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    before = spark.conf.get(common.ARROW_ROWS)
+    rows = spark.range(0, 100, 1, 2).mapInArrow(sizes, "n long")
+    got = [r["n"] for r in common.stored(rows, "small", 7).collect()]
+    assert sum(got) == 100 and max(got) == 7 and spark.conf.get(common.ARROW_ROWS) == before
+    assert sorted(r["n"] for r in common.stored(rows, "large").collect()) == [50, 50]
+
+
+def test_words_are_counted_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "TEXT_BYTES", 40)
+    monkeypatch.setattr(lattice, "COUNTS_AT_ONCE", 6)
+    rows = [(f"a B{i % 5} a\tc{i % 3} {'x' * 50}", i % 2 if i % 7 else None) for i in range(60)] + [(None, 0), ("", 1)]
+    want = {}
+    for text, kind in rows:
+        for word in (text or "").lower().split():
+            counts = want.setdefault(word, [0, 0, 0])
+            counts[2] += 1
+            if kind is not None:
+                counts[kind] += 1
+    got = lattice.count_words(spark.createDataFrame(rows, "text string, class int").coalesce(1), 2).collect()
+    assert {r["word"]: [*r["counts"], r["uses"]] for r in got} == want
