@@ -45,7 +45,7 @@ ROUNDS = 2
 LONGEST_RUN = 10_000      # longer words are cut there first, which only leaves out segmentations
 ADD = 0.1
 WORDS_AT_ONCE = 60_000
-TEXT_BYTES = 4 << 20      # of texts split at once: their words take some twenty times as much
+TEXT_BYTES = 4 << 20      # of texts split at once: their words take several times as much
 COUNTS_AT_ONCE = 400_000  # rows of counts put together before they leave a task
 
 

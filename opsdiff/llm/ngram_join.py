@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from opsdiff.llm import hashing
 from opsdiff.llm.bitmaps import among, bitmap, place
-from opsdiff.llm.common import components, stored
+from opsdiff.llm.common import TEXTS_AT_ONCE, components, stored
 
 BITS = 26         # of the bitmaps: 8 MB each
 RARE = 6          # classes that may have a rare token
@@ -167,12 +167,12 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
     counts = stored(counted(classes.select(F.explode("low").alias("token"))).where("n > 1"), "join-counts")
     frequent = bitmap(counts.where(F.col("n") > RARE), BITS)
-    open_ = stored(unsettled(frequent), "join-open")
+    open_ = stored(unsettled(frequent), "join-open", TEXTS_AT_ONCE)
     sets = full_sets(documents, open_, k)
-    of_open = stored(counted(sets.select(F.explode("tokens").alias("token"))).where(F.col("n") > RARE), "join-counts")
+    of_open = stored(counted(sets.select(F.explode("tokens").alias("token"))).where(F.col("n") > RARE), "join-counts", TEXTS_AT_ONCE)
     frequent |= bitmap(of_open, BITS)
     often = bitmap(counts.unionByName(of_open).where(F.col("n") > OFTEN), BITS)
-    open_ = stored(unsettled(frequent), "join-open")
+    open_ = stored(unsettled(frequent), "join-open", TEXTS_AT_ONCE)
 
     sent = spark.sparkContext.broadcast(frequent)
     last = spark.sparkContext.broadcast(often)
@@ -193,7 +193,7 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
                     names=["entry", "key", "n", "rare"],
                 )
 
-    hard = stored(full_sets(documents, open_, k).mapInArrow(all_known, form), "join-hard")
+    hard = stored(full_sets(documents, open_, k).mapInArrow(all_known, form), "join-hard", TEXTS_AT_ONCE)
     # A rare token that no second class has, and no class above, needs no entry.
     twice = bitmap(counts.select("place").unionByName(hard.select(place(F.col("entry"), BITS).alias("place"))), BITS)
     seen = spark.sparkContext.broadcast(twice)
@@ -216,7 +216,7 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
     easy = classes.select("key", "n", "low").mapInArrow(low_enough, form)
     # Entries that no other class has are of no further use.
-    entries = stored(easy.unionByName(hard), "join-entries")
+    entries = stored(easy.unionByName(hard), "join-entries", TEXTS_AT_ONCE)
     shared = entries.groupBy("entry").agg(F.count("*").alias("classes"), F.min(F.struct("rare", "key", "n")).alias("hub")).where("classes > 1")
     return stored(entries.join(shared, "entry"), "join-index")
 
@@ -230,7 +230,7 @@ def close_enough(n_a, rare_a, n_b, rare_b, percent: int):
 def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = stored(full_sets(documents, stored(keys, "join-keys"), k), "join-sets")
+    sets = stored(full_sets(documents, stored(keys, "join-keys"), k), "join-sets", TEXTS_AT_ONCE)
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("of_a"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
@@ -250,7 +250,7 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     component names the group of a document with tokens, null for others.
     """
     documents = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    rows = stored(summaries(documents, k, percent), "join-summaries")
+    rows = stored(summaries(documents, k, percent), "join-summaries", TEXTS_AT_ONCE)
     linked = rows.where("n > 0")
     classes = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "n", "low")).alias("one"))
     classes = stored(classes.select("d1", "d2", "least_id", "one.*"), "join-classes")

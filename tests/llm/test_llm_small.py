@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from opsdiff.llm import common, decontaminate, fingerprints, html_text, lattice, line_dedup, mixing, ngram_join, passages, secrets, toxicity
+from opsdiff.llm import common, decontaminate, fingerprints, hashing, html_text, lattice, line_dedup, mixing, ngram_join, passages, secrets, toxicity
 from opsdiff.llm.common import components, maybe_among
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -648,3 +648,8 @@ def test_words_are_counted_in_small_parts(spark, monkeypatch):
                 counts[kind] += 1
     got = lattice.count_words(spark.createDataFrame(rows, "text string, class int").coalesce(1), 2).collect()
     assert {r["word"]: [*r["counts"], r["uses"]] for r in got} == want
+
+
+def test_texts_are_hashed_half_a_megabyte_at_a_time():
+    batch = pa.record_batch([pa.array(["x" * 300_000] * 4 + ["y"] * 3)], names=["text"])
+    assert [len(part) for part in hashing.parts(iter([batch]), 0)] == [1, 1, 1, 4]
