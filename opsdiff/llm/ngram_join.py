@@ -15,8 +15,9 @@ many classes share is not expanded into pairs: each class meets the entry's hub,
 fewest rare tokens, and is verified against it; only classes that are then still in
 different components meet each other.
 
-Which tokens are frequent is a bitmap of fixed size, made from counts over all classes; a
-token that shares a bit with frequent ones counts as frequent, for all documents alike.
+Tokens are counted one by one over all classes.  Which are frequent is a bitmap of fixed size made from
+these counts; a token that shares a bit with frequent ones counts as frequent, for all documents alike.  An entry
+stays only if its token is truly in a second class, which a join decides.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from opsdiff.llm import hashing
 from opsdiff.llm.bitmaps import among, bitmap, place
-from opsdiff.llm.common import TEXTS_AT_ONCE, components, stored
+from opsdiff.llm.common import TEXTS_AT_ONCE, components, maybe_among, removed, stored
 
 BITS = 26         # of the bitmaps: 8 MB each
 RARE = 6          # classes that may have a rare token
@@ -52,8 +53,8 @@ def token_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def lowest(count: np.ndarray, percent: int) -> np.ndarray:
-    """Tokens kept at first: twice the prefix of rare tokens and some."""
-    return np.minimum(count, 2 * (allowed(count, percent) + 1) + 4)
+    """Tokens kept at first: one and a half times the prefix of rare tokens and some."""
+    return np.minimum(count, 3 * (allowed(count, percent) + 1) // 2 + 4)
 
 
 def summaries(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -150,7 +151,10 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
     spark = classes.sparkSession
 
     def counted(tokens: DataFrame) -> DataFrame:
-        return tokens.select(place(F.col("token"), BITS).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
+        return tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+
+    def marked(tokens: DataFrame) -> np.ndarray:
+        return bitmap(tokens.select(place(F.col("token"), BITS).alias("place")), BITS)
 
     def unsettled(frequent: np.ndarray) -> DataFrame:
         """Classes whose smallest tokens hold too few rare ones."""
@@ -165,14 +169,15 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
         return classes.select("key", "n", "low").mapInArrow(look, "key long")
 
-    counts = stored(counted(classes.select(F.explode("low").alias("token"))).where("n > 1"), "join-counts")
-    frequent = bitmap(counts.where(F.col("n") > RARE), BITS)
-    open_ = stored(unsettled(frequent), "join-open", TEXTS_AT_ONCE)
-    sets = full_sets(documents, open_, k)
+    counts = stored(counted(classes.select(F.explode("low").alias("token"))), "join-counts")
+    frequent = marked(counts.where(F.col("n") > RARE))
+    first = stored(unsettled(frequent), "join-open", TEXTS_AT_ONCE)
+    sets = full_sets(documents, first, k)
     of_open = stored(counted(sets.select(F.explode("tokens").alias("token"))).where(F.col("n") > RARE), "join-counts", TEXTS_AT_ONCE)
-    frequent |= bitmap(of_open, BITS)
-    often = bitmap(counts.unionByName(of_open).where(F.col("n") > OFTEN), BITS)
+    frequent |= marked(of_open)
+    often = marked(counts.unionByName(of_open).where(F.col("n") > OFTEN))
     open_ = stored(unsettled(frequent), "join-open", TEXTS_AT_ONCE)
+    removed(first, of_open)
 
     sent = spark.sparkContext.broadcast(frequent)
     last = spark.sparkContext.broadcast(often)
@@ -195,8 +200,8 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
     hard = stored(full_sets(documents, open_, k).mapInArrow(all_known, form), "join-hard", TEXTS_AT_ONCE)
     # A rare token that no second class has, and no class above, needs no entry.
-    twice = bitmap(counts.select("place").unionByName(hard.select(place(F.col("entry"), BITS).alias("place"))), BITS)
-    seen = spark.sparkContext.broadcast(twice)
+    twice = counts.select("token").unionByName(hard.select(F.col("entry").alias("token")))
+    seen = spark.sparkContext.broadcast(marked(twice))
 
     def low_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +220,15 @@ def index(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
             )
 
     easy = classes.select("key", "n", "low").mapInArrow(low_enough, form)
-    # Entries that no other class has are of no further use.
+    # The bitmap lets more and more others through as tokens become many; the join lets none.
+    easy = easy.join(twice.select(F.col("token").alias("entry")), "entry", "left_semi")
     entries = stored(easy.unionByName(hard), "join-entries", TEXTS_AT_ONCE)
+    removed(counts, open_, hard)
+    # Entries that no other class has are of no further use.
     shared = entries.groupBy("entry").agg(F.count("*").alias("classes"), F.min(F.struct("rare", "key", "n")).alias("hub")).where("classes > 1")
-    return stored(entries.join(shared, "entry"), "join-index")
+    found = stored(entries.join(shared, "entry"), "join-index")
+    removed(entries)
+    return found
 
 
 def close_enough(n_a, rare_a, n_b, rare_b, percent: int):
@@ -228,15 +238,17 @@ def close_enough(n_a, rare_a, n_b, rare_b, percent: int):
 
 
 def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = stored(full_sets(documents, stored(keys, "join-keys"), k), "join-sets", TEXTS_AT_ONCE)
+    """The pairs (a, b) whose sets are similar enough; written."""
+    keys = stored(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "join-keys")
+    sets = stored(full_sets(documents, keys, k), "join-sets", TEXTS_AT_ONCE)
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("of_a"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where(
+    links = stored(both.where(
         F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * percent
-    ).select("a", "b")
+    ).select("a", "b"), "join-links")
+    removed(keys, sets)
+    return links
 
 
 def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -250,18 +262,27 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     component names the group of a document with tokens, null for others.
     """
     documents = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    rows = stored(summaries(documents, k, percent), "join-summaries", TEXTS_AT_ONCE)
+    wide = stored(summaries(documents, k, percent), "join-summaries", TEXTS_AT_ONCE)
+    rows = stored(wide.drop("low"), "join-documents")
     linked = rows.where("n > 0")
-    classes = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "n", "low")).alias("one"))
-    classes = stored(classes.select("d1", "d2", "least_id", "one.*"), "join-classes")
+    classes = linked.groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("least_id"), F.min(F.struct("key", "n")).alias("one"), F.count("*").alias("times")
+    )
+    classes = stored(classes.select("d1", "d2", "least_id", "one.*", "times"), "join-classes")
+    # The tokens of a document without copies stay where they are; of copies, one's are taken.
+    copied = classes.where("times > 1")
+    alone = maybe_among(wide, "d1", copied, inside=False).where("n > 0").select("key", "n", "low")
+    some = maybe_among(wide, "d1", copied).where("n > 0").select("key", "n", "low")
+    some = stored(some.join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"]), "join-copies")
     # Sets so small that not even one token more is allowed in a document around them can only be equal.
-    large = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    large = alone.unionByName(some).where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
     entries = index(large, documents, k, percent)
+    removed(wide, some)
 
     close_to_hub = (F.col("key") != F.col("hub.key")) & close_enough(F.col("n"), F.col("rare"), F.col("hub.n"), F.col("hub.rare"), percent)
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(ordered(entries.where(close_to_hub).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))), "join-pairs")
-    links = stored(verified(pairs, documents, k, percent), "join-links")
+    links = verified(pairs, documents, k, percent)
     found = components(links)
 
     # Classes of one entry that are not yet connected meet each other.
@@ -276,12 +297,14 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     )
     rest = ordered(rest.select(F.col("key").alias("a"), F.col("o_key").alias("b"))).join(pairs, ["a", "b"], "left_anti")
     rest = stored(rest, "join-rest")
+    removed(entries, mixed, pairs)
     if rest.limit(1).count():
         links = stored(links.unionByName(verified(rest, documents, k, percent)), "join-links")
         found = components(links)
 
     placed = classes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
     placed = stored(placed.select("d1", "d2", "least_id", F.coalesce("component", "key").alias("component")), "join-placed")
+    removed(classes, rest)
     smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = placed.select("d1", "d2", "component").join(smallest, "component")
     return linked.join(of_class, ["d1", "d2"]).select(

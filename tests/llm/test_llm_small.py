@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -296,6 +297,43 @@ def test_lines_of_odd_rows(spark, odd, clashing, none):
     assert {1, 2, 3, 4, 5, 7, 8} <= ids and 6 not in ids
 
 
+def counted_steps(monkeypatch, module):
+    """Rows of every step that the module stores from now on, by name."""
+    rows_of, real = {}, module.stored
+
+    def stored(df, name, *rest):
+        out = real(df, name, *rest)
+        rows_of.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "stored", stored)
+    return rows_of
+
+
+def test_unlike_lines_of_one_band_do_not_meet_in_pairs(spark, monkeypatch):
+    """Lines that share three fifths of their shingles share bands; none is similar to another but for the last two."""
+    steps = counted_steps(monkeypatch, line_dedup)
+    lines = [prose(0, 20)[:75] + "".join(chr(97 + (i * 31 + k * k * (i + 7) + k * 5) % 26) for k in range(25)) for i in range(60)]
+    lines.append(lines[0][:-1] + "_")
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(lines)]
+    got = line_dedup.summarise(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((r["doc_id"], p) for r in got for p in r["removed"]) == by_hand_lines(docs)
+    assert sum(steps["line-pairs"] + steps["line-rest"]) <= len(lines)
+
+
+def test_outlines_keep_all_similar_pairs(spark):
+    lines = [prose(b * 100, 4 + 9 * b)[: 500 + 20 * (b % 3)] for b in range(10)]
+    lines += [t[: len(t) * cut // 100] + "x" * e for t in lines for cut in (99, 92, 83, 78) for e in (0, 3)] + ["", "abc", "abcde", "abcdef"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, line string").select(
+        "id", line_dedup.outline(F.col("line")).alias("o"), line_dedup.shingle_set(F.col("line")).alias("s"))
+    other = made.select(*[F.col(c).alias("of_" + c) for c in made.columns])
+    common = F.size(F.array_intersect("s", "of_s"))
+    near = common >= 0.8 * (F.size("s") + F.size("of_s") - common)
+    kept = line_dedup.may_reach(F.col("o"), F.col("of_o"), 0.8)
+    got = {(r["near"], r["kept"]): r["count"] for r in made.crossJoin(other).groupBy(near.alias("near"), kept.alias("kept")).count().collect()}
+    assert (True, False) not in got and got[(True, True)] > len(lines) and got[(False, False)] > 2 * got[(False, True)]
+
+
 def test_items_of_one_id_are_found_each(spark):
     items = spark.createDataFrame([(1, prose(0, 40)), (1, prose(500, 40)), (1, prose(0, 40)), (2, prose(0, 40))], "item_id long, text string")
     docs = spark.createDataFrame([(k, f"before {prose(start, 40)} after", "en", "s", 0) for k, start in enumerate((0, 500, 900))], SCHEMA)
@@ -599,6 +637,20 @@ def test_secrets_of_odd_rows(spark, odd, none, clashing):
     assert [(r["value"], r["probability"]) for r in secrets.scan(one).collect()] == [("abcdef0123456789zz", 0.5)]
 
 
+def test_entries_of_unshared_tokens_go_however_small_the_bitmaps(spark, monkeypatch):
+    """Bitmaps in which most places have several tokens: entries are those of shared tokens, the links all links."""
+    monkeypatch.setattr(ngram_join, "BITS", 12)
+    steps = counted_steps(monkeypatch, ngram_join)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 0) for i in range(400)]
+    docs += [(1000 + i, docs[i][1] + " end", "en", "s", 0) for i in range(3)] + [(2000, docs[5][1], "en", "s", 0), (2001, docs[5][1], "en", "s", 0)]
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    got = rows(ngram_join.join(spark.createDataFrame(docs, SCHEMA)), "doc_id", "n_shingles", "component_id")
+    assert got == by_hand_join(docs)
+    assert sum(steps["join-entries"]) <= 3 * 2 * 8  # eight tokens at most of two documents
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert not [x for x in left if x.startswith(("join-summaries", "join-entries", "join-index", "join-sets", "join-counts"))]
+
+
 # Pipeline
 
 def test_near_copies_of_four_fifths_of_five_word_shingles_are_one(spark, tmp_path):
