@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from opsdiff.llm import hashing
 from opsdiff.llm.bitmaps import among, bitmap, place
-from opsdiff.llm.common import TEXTS_AT_ONCE, components, maybe_among, removed, stored
+from opsdiff.llm.common import TEXTS_AT_ONCE, components, joined_components, maybe_among, removed, stored
 
 BITS = 26         # of the bitmaps: 8 MB each
 RARE = 6          # classes that may have a rare token
@@ -282,8 +282,7 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     close_to_hub = (F.col("key") != F.col("hub.key")) & close_enough(F.col("n"), F.col("rare"), F.col("hub.n"), F.col("hub.rare"), percent)
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(ordered(entries.where(close_to_hub).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))), "join-pairs")
-    links = verified(pairs, documents, k, percent)
-    found = components(links)
+    found = components(verified(pairs, documents, k, percent))
 
     # Classes of one entry that are not yet connected meet each other.
     placed = entries.where("classes > 2").join(found.select(F.col("node").alias("key"), "component"), "key", "left")
@@ -299,8 +298,7 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rest = stored(rest, "join-rest")
     removed(entries, mixed, pairs)
     if rest.limit(1).count():
-        links = stored(links.unionByName(verified(rest, documents, k, percent)), "join-links")
-        found = components(links)
+        found = joined_components(found, verified(rest, documents, k, percent))
 
     placed = classes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
     placed = stored(placed.select("d1", "d2", "least_id", F.coalesce("component", "key").alias("component")), "join-placed")

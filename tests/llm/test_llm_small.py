@@ -321,6 +321,31 @@ def test_unlike_lines_of_one_band_do_not_meet_in_pairs(spark, monkeypatch):
     assert sum(steps["line-pairs"] + steps["line-rest"]) <= len(lines)
 
 
+def test_later_links_join_components_and_not_lines(spark, monkeypatch):
+    """Chains of lines that drift: the links found last are walked alone, one a pair of components."""
+    steps = counted_steps(monkeypatch, common)
+    lines = []
+    for chain in range(30):
+        line = [chr(97 + (i * i * 7 + i * (chain + 3) + chain * 11) % 26) for i in range(120)]
+        for step in range(12):
+            line = line[:]
+            line[(step * 37 + chain) % 120] = chr(48 + step % 10)
+            lines.append("".join(line))
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(lines)]
+    got = line_dedup.summarise(spark.createDataFrame(docs, SCHEMA)).collect()
+    removed, by_hand = {(r["doc_id"], p) for r in got for p in r["removed"]}, set(by_hand_lines(docs))
+    assert removed <= by_hand and len(removed) >= 0.98 * len(by_hand)  # MinHash is not exhaustive
+    first, later = steps["edges"]
+    assert later < first / 2
+
+
+def test_joined_components_are_those_of_all_links(spark):
+    first, later = [(1, 5), (5, 9), (2, 6), (3, 7)], [(9, 6), (5, 2), (20, 21), (7, 0), (21, 3), (1, 9)]
+    edges = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = common.joined_components(components(edges(first)), edges(later))
+    assert rows(got, "node", "component") == rows(components(edges(first + later)), "node", "component")
+
+
 def test_outlines_keep_all_similar_pairs(spark):
     lines = [prose(b * 100, 4 + 9 * b)[: 500 + 20 * (b % 3)] for b in range(10)]
     lines += [t[: len(t) * cut // 100] + "x" * e for t in lines for cut in (99, 92, 83, 78) for e in (0, 3)] + ["", "abc", "abcde", "abcdef"]
