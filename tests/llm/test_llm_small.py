@@ -321,6 +321,40 @@ def test_unlike_lines_of_one_band_do_not_meet_in_pairs(spark, monkeypatch):
     assert sum(steps["line-pairs"] + steps["line-rest"]) <= len(lines)
 
 
+def test_unlike_long_lines_of_one_band_do_not_meet_in_pairs(spark, monkeypatch):
+    """The same with lines of 1,500 characters."""
+    steps = counted_steps(monkeypatch, line_dedup)
+    lines = [" ".join(f"{(i * 7919 if i < 190 else i * 104729 + k * 15485863) % 99991:05}" for i in range(250)) for k in range(60)]
+    lines.append(lines[0][:-1] + "_")
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(lines)]
+    got = line_dedup.summarise(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((r["doc_id"], p) for r in got for p in r["removed"]) == by_hand_lines(docs) == [(60, 0)]
+    assert sum(steps["line-pairs"] + steps["line-rest"]) <= len(lines)
+
+
+def test_near_copies_meet_hubs_and_not_each_other(spark, monkeypatch):
+    """Copies of one line with changes of their own: many pairs are similar, few of them are compared."""
+    steps = counted_steps(monkeypatch, line_dedup)
+    lines = []
+    for k in range(200):
+        line = [chr(97 + (i * i * 7919 + i * 104729) % 99991 % 26) for i in range(400)]
+        for j in range(5):
+            line[(k * 7919 + j * j * 104729 + j * 31) % 97 * 4] = chr(48 + (k + j) % 10)
+        lines.append("".join(line[:len(line) - k % 30]))
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(lines)]
+    got = line_dedup.summarise(spark.createDataFrame(docs, SCHEMA)).collect()
+    removed, by_hand = {(r["doc_id"], p) for r in got for p in r["removed"]}, set(by_hand_lines(docs))
+    assert removed <= by_hand and len(removed) >= 0.98 * len(by_hand) > 100  # MinHash is not exhaustive
+    assert sum(steps["line-pairs"] + steps["line-rest"]) <= sum(line_dedup.HUBS) * len(lines)
+
+
+def test_equal_lines_have_one_signature(spark):
+    lines = [(1, "a line of some words"), (1, "a line of some words"), (2, prose(0, 23)), (2, prose(0, 23)), (2, prose(0, 23)), (3, "one")]
+    signed = line_dedup.signatures(spark.createDataFrame(lines, "line_id long, line string"))
+    assert len(lines[2][1]) in range(line_dedup.SHORT, line_dedup.LONG + 1)  # taken both ways
+    assert rows(signed, "line_id", "way", "times") == [(1, 0, 2), (2, 0, 3), (2, 1, 3), (3, 0, 1)]
+
+
 def test_later_links_join_components_and_not_lines(spark, monkeypatch):
     """Chains of lines that drift: the links found last are walked alone, one a pair of components."""
     steps = counted_steps(monkeypatch, common)
@@ -359,6 +393,19 @@ def test_outlines_keep_all_similar_pairs(spark):
     assert (True, False) not in got and got[(True, True)] > len(lines) and got[(False, False)] > 2 * got[(False, True)]
 
 
+def test_fine_outlines_keep_all_similar_pairs_of_long_lines(spark):
+    lines = [prose(b * 1000, 30 + 45 * b) for b in range(8)]
+    lines += [t[: len(t) * cut // 100] + "x" * e for t in lines for cut in (99, 92, 83, 78, 60, 40) for e in (0, 3)] + ["", "abc", "abcde"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, line string").select(
+        "id", line_dedup.outline(F.col("line"), line_dedup.FINE).alias("o"), line_dedup.shingle_set(F.col("line")).alias("s"))
+    other = made.select(*[F.col(c).alias("of_" + c) for c in made.columns])
+    common = F.size(F.array_intersect("s", "of_s"))
+    near = common >= 0.8 * (F.size("s") + F.size("of_s") - common)
+    kept = line_dedup.may_reach(F.col("o"), F.col("of_o"), 0.8, line_dedup.FINE)
+    got = {(r["near"], r["kept"]): r["count"] for r in made.crossJoin(other).groupBy(near.alias("near"), kept.alias("kept")).count().collect()}
+    assert (True, False) not in got and got[(True, True)] > len(lines) and got[(False, False)] > 50 * got.get((False, True), 0)
+
+
 def test_items_of_one_id_are_found_each(spark):
     items = spark.createDataFrame([(1, prose(0, 40)), (1, prose(500, 40)), (1, prose(0, 40)), (2, prose(0, 40))], "item_id long, text string")
     docs = spark.createDataFrame([(k, f"before {prose(start, 40)} after", "en", "s", 0) for k, start in enumerate((0, 500, 900))], SCHEMA)
